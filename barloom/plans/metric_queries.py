@@ -13,10 +13,13 @@ from .views_sql import sql
 WS = "PARTITION BY strategy ORDER BY date"
 WU = f"({WS} ROWS UNBOUNDED PRECEDING)"
 
+# The SQL engine multiplies window frames in tree order, so on a day without a
+# return its value may differ from the peak by one unit in the last place.
+# Returns have 8 digits; a real drawdown is never below 1e-12.
 CURVE = f"""
 cv AS (SELECT *, product(1 + ret) OVER {WU} AS value, row_number() OVER ({WS}) AS rn FROM returns_book),
 cp AS (SELECT *, max(value) OVER {WU} AS peak FROM cv),
-cd AS (SELECT *, (value - peak) / peak AS drawdown FROM cp)"""
+cd AS (SELECT *, round((value - peak) / peak, 12) AS drawdown FROM cp)"""
 
 
 def metrics_cte(src: str, cv: str, out: str, bench: bool) -> str:
@@ -80,7 +83,7 @@ _BENCH_CTE = f""",
 bcv AS (SELECT 'Benchmark' AS strategy, date, bench AS ret, product(1 + bench) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS value,
    row_number() OVER (ORDER BY date) AS rn FROM returns_benchmark),
 bcp AS (SELECT *, max(value) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS peak FROM bcv),
-bcd AS (SELECT *, (value - peak) / peak AS drawdown FROM bcp),""" + metrics_cte("", "bcd", "bm", False)
+bcd AS (SELECT *, round((value - peak) / peak, 12) AS drawdown FROM bcp),""" + metrics_cte("", "bcd", "bm", False)
 
 
 @query(

@@ -17,12 +17,12 @@ def _bars(symbol: str, date: str, frm: str) -> str:
 
 VIEWS = {
     "bars_brand": _bars("p_brand", "CAST(l_shipdate AS DATE)", "lineitem JOIN part ON l_partkey = p_partkey"),
-    "bars_supp": "SELECT *, round(amount / volume, 6) AS vwap FROM ("
+    "bars_supp": "SELECT *, amount / volume AS vwap FROM ("
     + _bars("lpad(CAST(l_suppkey AS VARCHAR), 6, '0')", "CAST(date_trunc('month', l_shipdate) AS DATE)", "lineitem")
     + ")",
     "prices_supp": """
   SELECT lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS symbol, CAST(date_trunc('month', l_shipdate) AS DATE) AS date,
-         round(round(sum(l_extendedprice), 2) / sum(l_quantity), 6) AS close, sum(l_quantity) AS volume
+         round(sum(l_extendedprice), 2) / sum(l_quantity) AS close, sum(l_quantity) AS volume
   FROM lineitem WHERE l_quantity > 0 GROUP BY 1, 2""",
     "bars_event": """
   SELECT event_type AS symbol, CAST(ts AS DATE) AS date,

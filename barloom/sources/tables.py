@@ -56,7 +56,7 @@ def bars_supp(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.lpad(F.col("l_suppkey").cast("string"), 6, "0")
     month = F.trunc(F.col("l_shipdate").cast("date"), "month")
     bars = ticks_to_bars(_lineitem_ticks(li, code, month))
-    return bars.withColumn("vwap", F.round(F.col("amount") / F.col("volume"), 6))
+    return bars.withColumn("vwap", (F.col("amount") / F.col("volume")))
 
 
 def prices_supp(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ def prices_supp(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.trunc(F.col("l_shipdate").cast("date"), "month").alias("date"),
         )
         .agg(F.round(F.sum("l_extendedprice"), 2).alias("amount"), F.sum("l_quantity").alias("volume"))
-        .select("symbol", "date", F.round(F.col("amount") / F.col("volume"), 6).alias("close"), "volume")
+        .select("symbol", "date", (F.col("amount") / F.col("volume")).alias("close"), "volume")
     )
 
 
