@@ -29,8 +29,11 @@ def exact_quantiles(
     m = len(ps)
 
     def slot(i: int):
-        lo = F.lit(float("-inf")) if ps[i] - eps <= 0 else F.col("_cut")[i]
-        hi = F.lit(float("inf")) if ps[i] + eps >= 1 else F.col("_cut")[m + i]
+        # a group no larger than the sketch is kept whole: its ranks are too
+        # coarse for a bracket, and it is small anyway
+        small = F.col("_n") <= accuracy
+        lo = F.lit(float("-inf")) if ps[i] - eps <= 0 else F.when(~small, F.col("_cut")[i]).otherwise(float("-inf"))
+        hi = F.lit(float("inf")) if ps[i] + eps >= 1 else F.when(~small, F.col("_cut")[m + i]).otherwise(float("inf"))
         inside = F.when(F.col("_v") >= lo, F.col("_v"))
         return F.when(
             F.col("_v") <= hi, F.struct(F.lit(i).alias("slot"), F.lit(ps[i]).alias("p"), inside.alias("v"))
