@@ -62,6 +62,8 @@ VIEWS = {
   FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 0""",
     "predictions": """
   SELECT l_returnflag || l_linestatus AS model, CAST(l_shipdate AS DATE) AS date, l_orderkey AS row_id,
+         row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY CAST(l_shipdate AS DATE), l_orderkey, l_linenumber,
+                            l_partkey, l_suppkey, l_extendedprice, l_quantity) AS seq,
          round(l_discount - 0.05, 4) AS y_true, round(l_tax - 0.04, 4) AS y_pred
   FROM lineitem""",
 }

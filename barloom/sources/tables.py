@@ -177,10 +177,13 @@ def ledger_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(model, row_id, date, y_true, y_pred): each ship mode flag pair is a model."""
+    """(model, date, seq, y_true, y_pred): each flag pair is a model."""
     li = table(spark, sf_dir, "lineitem")
     return li.select(
         F.concat("l_returnflag", "l_linestatus").alias("model"),
+        F.struct(
+            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"
+        ).alias("seq"),
         F.col("l_shipdate").cast("date").alias("date"),
         F.col("l_orderkey").alias("row_id"),
         F.round(F.col("l_discount") - 0.05, 4).alias("y_true"),
