@@ -58,7 +58,7 @@ VIEWS = {
          row_number() OVER (PARTITION BY l_linestatus, p_brand ORDER BY l_shipdate, l_orderkey, l_linenumber,
                             l_partkey, l_suppkey, l_extendedprice, l_quantity) AS seq,
          CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS side, l_quantity AS quantity,
-         round(l_extendedprice / l_quantity, 4) AS price
+         l_extendedprice / l_quantity AS price
   FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 0""",
     "predictions": """
   SELECT l_returnflag || l_linestatus AS model, CAST(l_shipdate AS DATE) AS date, l_orderkey AS row_id,
