@@ -35,9 +35,9 @@ def densify(df: DataFrame, dates: DataFrame, cols) -> DataFrame:
 
     The dates travel as one array, which the calendar bounds.
     """
-    calendar = dates.agg(F.sort_array(F.collect_set("date")).alias("_d")).withColumn("_g", F.lit(0))
+    calendar = dates.agg(F.sort_array(F.collect_set("date")))
     grid = (
-        df.select("symbol").distinct().withColumn("_g", F.lit(0)).join(calendar, "_g")
+        df.select("symbol").distinct().withColumn("_d", calendar.scalar())
         .select("symbol", F.explode("_d").alias("date"))
     )
     return grid.join(df.select("symbol", "date", *cols), ["symbol", "date"], "left")
@@ -52,8 +52,8 @@ def union_align(prices: DataFrame, signals: DataFrame, sizes: DataFrame) -> Data
     dates = prices.select("date").union(signals.select("date")).union(sizes.select("date")).distinct()
     grid = densify(prices, dates, ["close"])
     grid = grid.withColumn("close", F.last("close", ignorenulls=True).over(running()))
-    first = prices.where("close IS NOT NULL").agg(F.min("date").alias("_first")).withColumn("_g", F.lit(0))
-    grid = grid.withColumn("_g", F.lit(0)).join(first, "_g").where("date >= _first").drop("_g", "_first")
+    first = prices.where("close IS NOT NULL").agg(F.min("date"))
+    grid = grid.withColumn("_first", first.scalar()).where("date >= _first").drop("_first")
     out = grid.join(signals.select("symbol", "date", "signal"), ["symbol", "date"], "left")
     out = out.join(sizes.select("symbol", "date", "size"), ["symbol", "date"], "left")
     return out.fillna(0, ["signal"]).fillna(0.0, ["size"])

@@ -118,9 +118,8 @@ def with_costs(trades: DataFrame, rules: CostRules = STANDARD, market_data: bool
 
 def cost_report(costs: DataFrame) -> DataFrame:
     """One row: totals, cost-rate statistics and quantiles, share of each component in percent."""
-    costs = costs.withColumn("_g", F.lit(0))
     total = F.sum("total_cost")
-    a = costs.groupBy("_g").agg(
+    a = costs.agg(
         F.count(F.lit(1)).alias("total_trades"),
         total.alias("total_cost"),
         F.sum("amount").alias("total_amount"),
@@ -131,10 +130,9 @@ def cost_report(costs: DataFrame) -> DataFrame:
         F.max("cost_rate").alias("rate_max"),
         *[(div(F.sum(c), total) * 100).alias(f"{c}_pct") for c in COMPONENTS],
     )
-    quant = exact_quantiles(
-        costs, ["_g"], "cost_rate", {"rate_p25": 0.25, "rate_p50": 0.5, "rate_p75": 0.75, "rate_p95": 0.95}
-    )
-    return a.join(quant.drop("n_values"), "_g").drop("_g")
+    names = {"rate_p25": 0.25, "rate_p50": 0.5, "rate_p75": 0.75, "rate_p95": 0.95}
+    quant = exact_quantiles(costs, [], "cost_rate", names)
+    return a.withColumns({q: quant.select(q).scalar() for q in names})
 
 
 ADVICE = {
@@ -176,8 +174,7 @@ def cost_impact(
     """
     a = returns.groupBy(key).agg(F.avg("ret").alias("_m"), F.stddev_samp("ret").alias("_sd"))
     if isinstance(cost_rate, DataFrame):
-        rate = cost_rate.select(F.lit(0).alias("_g"), "average_cost_rate")
-        a = a.withColumn("_g", F.lit(0)).join(rate, "_g").drop("_g")
+        a = a.withColumn("average_cost_rate", cost_rate.select("average_cost_rate").scalar())
     else:
         a = a.withColumn("average_cost_rate", F.lit(float(cost_rate)))
     drag = F.col("average_cost_rate") * turnover

@@ -28,75 +28,121 @@ def strict_avg(c, n: int, *keys: str) -> Column:
     return F.when(F.count(c).over(w) == n, F.avg(c).over(w))
 
 
+def _apply(df: DataFrame, *families: list[dict]) -> DataFrame:
+    """Add the columns of several families, level by level.
+
+    A family is a list of levels; a level reads only earlier ones. All windows
+    of one level go into one projection, so Spark evaluates them in one pass
+    over one sort, whatever the number of families. Columns starting with an
+    underscore are dropped at the end.
+    """
+    for i in range(max(len(f) for f in families)):
+        level = {}
+        for f in families:
+            if i < len(f):
+                level.update(f[i])
+        df = df.withColumns(level)
+    return df.drop(*[c for c in df.columns if c.startswith("_")])
+
+
+def _ma(windows=MA_WINDOWS) -> list[dict]:
+    every = by_date().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    size = F.count(F.lit(1)).over(every)
+    raw = {f"_ma_{n}": F.avg("close").over(trailing(n)) for n in windows}
+    mas = {f"ma_{n}": F.when(F.col("_size") > n, F.col(f"_ma_{n}")) for n in windows}
+    return [{"_size": size, **raw}, mas, {f"close_ma_{n}_ratio": div("close", f"ma_{n}") for n in windows}]
+
+
 def ma(bars: DataFrame, windows=MA_WINDOWS) -> DataFrame:
     """Moving averages and close/MA ratios.
 
     A window not shorter than the history gives NULL columns.
     """
-    size = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
-    cols = {}
-    for n in windows:
-        m = F.when(size > n, F.avg("close").over(trailing(n)))
-        cols[f"ma_{n}"] = m
-        cols[f"close_ma_{n}_ratio"] = div("close", m)
-    return bars.withColumns(cols)
+    return _apply(bars, _ma(windows))
 
 
 def ma_strict(bars: DataFrame, windows=MA_WINDOWS) -> DataFrame:
     return bars.withColumns({f"ma_{n}": strict_avg("close", n) for n in windows})
 
 
-def ewm(df: DataFrame, inputs: dict[str, tuple[Column, int]], key: str = "symbol") -> DataFrame:
-    """Recursive exponential means `out = (value, span)`, seeded with the first value.
-
-    ema_t = d * ema_{t-1} + a * x_t is unrolled into prefix sums over blocks of
-    rows: inside a block the weights d^-k stay far from overflow, and across
-    blocks only the ends of the two preceding blocks matter, because d^block
-    is below the precision of a double. So a series of any length needs plain
-    windows only, with no Python worker.
-    """
-    decay = {o: 1 - 2 / (span + 1) for o, (_, span) in inputs.items()}
-    slow = max(decay.values())
-    fast = min(decay.values())
-    if slow <= 0:
-        return df.withColumns({o: c for o, (c, _) in inputs.items()})
-    block = max(2, math.ceil(38 / -math.log(slow)))
-    if fast > 0 and block * -math.log(fast) > 650:
+def _block_rows(spans) -> int:
+    """Block length at which two blocks back no longer matter and weights do not overflow."""
+    rates = [-math.log(1 - 2 / (n + 1)) for n in spans if n > 1]
+    if not rates:
+        return 2
+    block = max(2, math.ceil(38 / min(rates)))
+    if block * max(rates) > 650:
         raise ValueError("spans differ too much; compute them in separate calls")
+    return block
+
 
-    order = by_date(key)
-    df = df.withColumn("_i", F.row_number().over(order) - 1)
-    df = df.withColumns({"_b": F.floor(F.col("_i") / block), "_k": F.col("_i") % block})
+def _blocked(df: DataFrame, spans, key: str) -> DataFrame:
+    """Row number `_i`, block `_b` and place in the block `_k` of each row of a series."""
+    block = _block_rows(spans)
+    df = df.withColumn("_i", F.row_number().over(by_date(key)) - 1)
+    return df.withColumns({"_b": F.floor(F.col("_i") / block), "_k": F.col("_i") % block})
+
+
+def _ewm_blocks(df: DataFrame, inputs: dict[str, tuple[Column, int]], block: int, key: str) -> DataFrame:
     inside = Window.partitionBy(key, "_b").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    local = {}
+    blocks = Window.partitionBy(key).orderBy("_b")
+    one_back, two_back = blocks.rangeBetween(-1, -1), blocks.rangeBetween(-2, -2)
+    local, out = {}, {}
     for o, (c, span) in inputs.items():
-        d, a = decay[o], 2 / (span + 1)
+        d, a = 1 - 2 / (span + 1), 2 / (span + 1)
+        if d <= 0:
+            local[f"_l_{o}"] = c
+            out[o] = F.col(f"_l_{o}")
+            continue
         gain = F.when(F.col("_i") == 0, 1.0).otherwise(a)
         local[f"_l_{o}"] = F.pow(F.lit(d), F.col("_k")) * F.sum(
             gain * c * F.pow(F.lit(d), -F.col("_k"))
         ).over(inside)
-    df = df.withColumns(local)
-    blocks = Window.partitionBy(key).orderBy("_b")
-    one_back, two_back = blocks.rangeBetween(-1, -1), blocks.rangeBetween(-2, -2)
-    out = {}
-    for o in inputs:
         end = f"_l_{o}"
-        carry = F.coalesce(F.max_by(end, "_i").over(one_back), F.lit(0.0)) + F.lit(
-            decay[o] ** block
-        ) * F.coalesce(F.max_by(end, "_i").over(two_back), F.lit(0.0))
-        out[o] = F.col(end) + F.pow(F.lit(decay[o]), F.col("_k") + 1) * carry
-    return df.withColumns(out).drop("_i", "_b", "_k", *local)
+        carry = F.coalesce(F.max_by(end, "_i").over(one_back), F.lit(0.0)) + F.lit(d**block) * F.coalesce(
+            F.max_by(end, "_i").over(two_back), F.lit(0.0)
+        )
+        out[o] = F.col(end) + F.pow(F.lit(d), F.col("_k") + 1) * carry
+    return df.withColumns(local).withColumns(out)
+
+
+def ewm(df: DataFrame, inputs: dict[str, tuple[Column, int]], key: str = "symbol") -> DataFrame:
+    """Recursive exponential means `out = (value, span)`, seeded with the first value.
+
+    ema_t = d * ema_{t-1} + a * x_t is unrolled into prefix sums over blocks of
+    rows: inside a block the weights d^-k stay far from overflow, and across
+    blocks only the ends of the two preceding blocks matter, because d^block
+    is below the precision of a double. So a series of any length needs plain
+    windows only, with no Python worker.
+    """
+    spans = [n for _, n in inputs.values()]
+    keep = df.columns
+    out = _ewm_blocks(_blocked(df, spans, key), inputs, _block_rows(spans), key)
+    return out.select(*keep, *inputs)
+
+
+def _means(bars: DataFrame, ema_windows=(), macd_periods: tuple[int, int, int] | None = None) -> DataFrame:
+    """EMAs and MACD from one blocked pass; a span used twice is computed once."""
+    fast, slow, signal = macd_periods or (0, 0, 0)
+    spans = sorted({*ema_windows, *([fast, slow] if macd_periods else [])})
+    all_spans = [*spans, *([signal] if macd_periods else [])]
+    block = _block_rows(all_spans)
+    keep = [*bars.columns, *[f"ema_{n}" for n in ema_windows]]
+    df = _ewm_blocks(_blocked(bars, all_spans, "symbol"), {f"ema_{n}": (F.col("close"), n) for n in spans}, block, "symbol")
+    if macd_periods:
+        df = df.withColumn("macd", F.col(f"ema_{fast}") - F.col(f"ema_{slow}"))
+        df = _ewm_blocks(df, {"macd_signal": (F.col("macd"), signal)}, block, "symbol")
+        df = df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
+        keep += ["macd", "macd_signal", "macd_hist"]
+    return df.select(*keep)
 
 
 def ema(bars: DataFrame, windows=EMA_WINDOWS) -> DataFrame:
-    return ewm(bars, {f"ema_{n}": (F.col("close"), n) for n in windows})
+    return _means(bars, windows)
 
 
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    out = ewm(bars, {"_fast": (F.col("close"), fast), "_slow": (F.col("close"), slow)})
-    out = out.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
-    out = ewm(out, {"macd_signal": (F.col("macd"), signal)})
-    return out.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
+    return _means(bars, (), (fast, slow, signal))
 
 
 def rsi_from(gain: Column, loss: Column) -> Column:
@@ -106,100 +152,108 @@ def rsi_from(gain: Column, loss: Column) -> Column:
     ).otherwise(100 - 100 / (1 + div(gain, loss)))
 
 
-def _moves(df: DataFrame) -> DataFrame:
-    """Add gains and losses; the first row counts as no move."""
-    change = F.col("close") - F.lag("close").over(by_date())
-    df = df.withColumn("_chg", change)
-    return df.withColumns(
-        {
-            "_gain": F.when(F.col("_chg") > 0, F.col("_chg")).otherwise(0.0),
-            "_loss": F.when(F.col("_chg") < 0, -F.col("_chg")).otherwise(0.0),
-        }
-    )
+def _move_levels() -> list[dict]:
+    """Gains and losses; the first row counts as no move."""
+    chg = F.col("_chg")
+    return [
+        {"_chg": F.col("close") - F.lag("close").over(by_date())},
+        {"_gain": F.when(chg > 0, chg).otherwise(0.0), "_loss": F.when(chg < 0, -chg).otherwise(0.0)},
+    ]
+
+
+def _rsi(windows=RSI_WINDOWS) -> list[dict]:
+    avgs = {}
+    for n in windows:
+        avgs[f"_g{n}"] = F.avg("_gain").over(trailing(n))
+        avgs[f"_l{n}"] = F.avg("_loss").over(trailing(n))
+    return [*_move_levels(), avgs, {f"rsi_{n}": rsi_from(F.col(f"_g{n}"), F.col(f"_l{n}")) for n in windows}]
 
 
 def rsi(bars: DataFrame, windows=RSI_WINDOWS) -> DataFrame:
-    df = _moves(bars)
-    return df.withColumns(
-        {
-            f"rsi_{n}": rsi_from(F.avg("_gain").over(trailing(n)), F.avg("_loss").over(trailing(n)))
-            for n in windows
-        }
-    ).drop("_chg", "_gain", "_loss")
+    return _apply(bars, _rsi(windows))
 
 
 def rsi_strict(bars: DataFrame, window: int = 14) -> DataFrame:
-    df = _moves(bars)
-    return df.withColumn(
-        f"rsi_{window}", rsi_from(strict_avg("_gain", window), strict_avg("_loss", window))
-    ).drop("_chg", "_gain", "_loss")
+    avgs = {"_g": strict_avg("_gain", window), "_l": strict_avg("_loss", window)}
+    return _apply(bars, [*_move_levels(), avgs, {f"rsi_{window}": rsi_from(F.col("_g"), F.col("_l"))}])
 
 
 def rsi_full_changes(bars: DataFrame, window: int = 14) -> DataFrame:
     """RSI over exactly `window` changes; 100 whenever there was no loss."""
-    df = _moves(bars)
     w = trailing(window)
-    gain, loss = F.avg("_gain").over(w), F.avg("_loss").over(w)
-    value = F.when(loss == 0, F.lit(100.0)).otherwise(100 - 100 / (1 + div(gain, loss)))
-    return df.withColumn(
-        f"rsi_{window}", F.when(F.count("_chg").over(w) == window, value)
-    ).drop("_chg", "_gain", "_loss")
+    avgs = {"_g": F.avg("_gain").over(w), "_l": F.avg("_loss").over(w), "_n": F.count("_chg").over(w)}
+    value = F.when(F.col("_l") == 0, F.lit(100.0)).otherwise(100 - 100 / (1 + div("_g", "_l")))
+    return _apply(bars, [*_move_levels(), avgs, {f"rsi_{window}": F.when(F.col("_n") == window, value)}])
 
 
-def boll(bars: DataFrame, window: int = 20, std_dev: float = 2.0) -> DataFrame:
+def _boll(window: int = 20, std_dev: float = 2.0) -> list[dict]:
     w = trailing(window)
-    df = bars.withColumns({"boll_middle": F.avg("close").over(w), "_sd": F.stddev_samp("close").over(w)})
-    df = df.withColumns(
+    span = F.col("boll_upper") - F.col("boll_lower")
+    return [
+        {"boll_middle": F.avg("close").over(w), "_sd": F.stddev_samp("close").over(w)},
         {
             "boll_upper": F.col("boll_middle") + std_dev * F.col("_sd"),
             "boll_lower": F.col("boll_middle") - std_dev * F.col("_sd"),
-        }
-    ).drop("_sd")
-    span = F.col("boll_upper") - F.col("boll_lower")
-    return df.withColumns(
+        },
         {
             "boll_width": div(span, "boll_middle"),
             "boll_position": div(F.col("close") - F.col("boll_lower"), span),
-        }
-    )
+        },
+    ]
+
+
+def boll(bars: DataFrame, window: int = 20, std_dev: float = 2.0) -> DataFrame:
+    return _apply(bars, _boll(window, std_dev))
+
+
+def _kdj(k_period: int = 9, d_period: int = 3) -> list[dict]:
+    return [
+        {"_klo": F.min("low").over(trailing(k_period)), "_khi": F.max("high").over(trailing(k_period))},
+        {"_rsv": div(F.col("close") - F.col("_klo"), F.col("_khi") - F.col("_klo")) * 100},
+        {"kdj_k": F.avg("_rsv").over(trailing(d_period))},
+        {"kdj_d": F.avg("kdj_k").over(trailing(d_period))},
+        {"kdj_j": 3 * F.col("kdj_k") - 2 * F.col("kdj_d")},
+    ]
 
 
 def kdj(bars: DataFrame, k_period: int = 9, d_period: int = 3) -> DataFrame:
-    lo = F.min("low").over(trailing(k_period))
-    hi = F.max("high").over(trailing(k_period))
-    df = bars.withColumn("_rsv", div(F.col("close") - lo, hi - lo) * 100)
-    df = df.withColumn("kdj_k", F.avg("_rsv").over(trailing(d_period)))
-    df = df.withColumn("kdj_d", F.avg("kdj_k").over(trailing(d_period)))
-    return df.withColumn("kdj_j", 3 * F.col("kdj_k") - 2 * F.col("kdj_d")).drop("_rsv")
+    return _apply(bars, _kdj(k_period, d_period))
+
+
+def _williams(window: int = 14) -> list[dict]:
+    return [
+        {"_whi": F.max("high").over(trailing(window)), "_wlo": F.min("low").over(trailing(window))},
+        {"williams_r": div(F.col("_whi") - F.col("close"), F.col("_whi") - F.col("_wlo")) * -100},
+    ]
 
 
 def williams(bars: DataFrame, window: int = 14) -> DataFrame:
-    hi = F.max("high").over(trailing(window))
-    lo = F.min("low").over(trailing(window))
-    return bars.withColumn("williams_r", div(hi - F.col("close"), hi - lo) * -100)
+    return _apply(bars, _williams(window))
+
+
+def _volume_ma(windows=VOLUME_WINDOWS) -> list[dict]:
+    mas = {f"volume_ma_{n}": F.avg("volume").over(trailing(n)) for n in windows}
+    return [mas, {"volume_ratio": div("volume", "volume_ma_5")} if 5 in windows else {}]
 
 
 def volume_ma(bars: DataFrame, windows=VOLUME_WINDOWS) -> DataFrame:
-    cols = {f"volume_ma_{n}": F.avg("volume").over(trailing(n)) for n in windows}
-    if 5 in windows:
-        cols["volume_ratio"] = div("volume", F.avg("volume").over(trailing(5)))
-    return bars.withColumns(cols)
+    return _apply(bars, _volume_ma(windows))
 
 
-FAMILY_FUNCS = {
-    "ma": ma, "ema": ema, "rsi": rsi, "macd": macd, "boll": boll,
-    "kdj": kdj, "williams": williams, "volume_ma": volume_ma,
-}
+_LEVELS = {"ma": _ma, "rsi": _rsi, "boll": _boll, "kdj": _kdj, "williams": _williams, "volume_ma": _volume_ma}
 
 
 def all_indicators(bars: DataFrame, families=ALL_FAMILIES, **params) -> DataFrame:
     """Any subset of the families; `params` maps a family to its keyword arguments."""
-    unknown = set(families) - set(FAMILY_FUNCS)
+    unknown = set(families) - set(ALL_FAMILIES)
     if unknown:
         raise ValueError(f"unknown indicators: {sorted(unknown)}")
-    out = bars
-    for name in families:
-        out = FAMILY_FUNCS[name](out, **params.get(name, {}))
+    levels = [_LEVELS[f](**params.get(f, {})) for f in families if f in _LEVELS]
+    out = _apply(bars, *levels) if levels else bars
+    if "ema" in families or "macd" in families:
+        ema_windows = params.get("ema", {}).get("windows", EMA_WINDOWS) if "ema" in families else ()
+        p = {"fast": 12, "slow": 26, "signal": 9, **params.get("macd", {})}
+        out = _means(out, ema_windows, (p["fast"], p["slow"], p["signal"]) if "macd" in families else None)
     return out
 
 

@@ -23,6 +23,8 @@ ALIASES = {
     "vol": "volume", "turnover": "amount", "adj_factor": "adjust_factor", "stock_code": "symbol", "code": "symbol",
 }
 
+_FIXED_WIDTH = {"boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz"}
+
 
 def rename_aliases(df: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
     aliases = aliases or ALIASES
@@ -44,9 +46,15 @@ def coerce_numeric(df: DataFrame, cols=REQUIRED, drop: bool = True) -> DataFrame
 def keep_last(df: DataFrame, keys, order, cols=None) -> DataFrame:
     """One row per key: the one with the highest `order` (SET_DEDUPE).
 
-    An aggregate, so copies of a key collapse before the shuffle.
+    An aggregate, so copies of a key collapse before the shuffle. With
+    fixed-width columns it is a hash aggregate of one pick per column (all
+    picks see the same rows in the same order, so they agree on the row);
+    otherwise the row is picked as a whole.
     """
     cols = cols or [c for c in df.columns if c not in keys]
+    types = dict(df.dtypes)
+    if all(types[c] in _FIXED_WIDTH for c in cols):
+        return df.groupBy(*keys).agg(*[F.max_by(c, order).alias(c) for c in cols])
     picked = df.groupBy(*keys).agg(F.max_by(F.struct(*cols), order).alias("_r"))
     return picked.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in cols])
 

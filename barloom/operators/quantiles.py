@@ -1,10 +1,10 @@
 """Exact quantiles of groups too large for one task.
 
 The built-in exact percentile keeps every distinct value of a group in one
-aggregation buffer. Here a mergeable sketch first brackets each wanted rank;
-only rows inside a bracket are kept (counted per value, so copies collapse
-before the shuffle), and the ranks are found among them. The result equals
-linear interpolation on the sorted group.
+aggregation buffer. Here a mergeable sketch first brackets each wanted rank.
+Rows inside a bracket are counted per value, rows between brackets only as a
+bulk, so what is shuffled and ranked is a small share of the group. The result
+equals linear interpolation on the sorted group.
 """
 
 from __future__ import annotations
@@ -12,59 +12,68 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+_INF = float("inf")
+
 
 def exact_quantiles(
     df: DataFrame, by: list[str], value, probs: dict[str, float], accuracy: int = 10000
 ) -> DataFrame:
-    """One row per group with a column per wanted quantile, and the count as `n_values`."""
+    """One row per group with a column per wanted quantile, and the count as `n_values`.
+
+    Without `by` the whole table is one group and one row comes back.
+    """
     v = F.col(value) if isinstance(value, str) else value
-    keys = list(by) or ["_g"]
-    base = df.select(*(by or [F.lit(0).alias("_g")]), v.cast("double").alias("_v")).where("_v IS NOT NULL")
-    eps = 4 / accuracy
+    base = df.select(*by, v.cast("double").alias("_v")).where("_v IS NOT NULL")
     names, ps = list(probs), list(probs.values())
+    m = len(ps)
+    # the sketch errs by 1/accuracy of the rows; the bracket is four times as wide
+    eps = 4 / accuracy
     cuts = [max(p - eps, 0.0) for p in ps] + [min(p + eps, 1.0) for p in ps]
-    sketch = base.groupBy(*keys).agg(
+    sketch = base.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", cuts, accuracy).alias("_cut")
     )
-    m = len(ps)
+    if by:
+        tagged = base.join(sketch, by)
+    else:
+        tagged = base.withColumns({c: sketch.select(c).scalar() for c in ("_n", "_cut")})
 
-    def slot(i: int):
-        # a group no larger than the sketch is kept whole: its ranks are too
-        # coarse for a bracket, and it is small anyway
-        small = F.col("_n") <= accuracy
-        lo = F.lit(float("-inf")) if ps[i] - eps <= 0 else F.when(~small, F.col("_cut")[i]).otherwise(float("-inf"))
-        hi = F.lit(float("inf")) if ps[i] + eps >= 1 else F.when(~small, F.col("_cut")[m + i]).otherwise(float("inf"))
-        inside = F.when(F.col("_v") >= lo, F.col("_v"))
-        return F.when(
-            F.col("_v") <= hi, F.struct(F.lit(i).alias("slot"), F.lit(ps[i]).alias("p"), inside.alias("v"))
-        )
-
-    tagged = base.join(sketch, keys).select(
-        *keys, "_n", F.explode(F.array_compact(F.array(*[slot(i) for i in range(m)]))).alias("_s")
-    )
-    counted = tagged.groupBy(*keys, "_n", "_s.slot", "_s.p", "_s.v").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*keys, "slot").orderBy(F.col("v").asc_nulls_first())
-    pos = (F.col("_n") - 1) * F.col("p")
-    ranked = counted.withColumns(
-        {"_cum": F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)), "_h": pos, "_k": F.floor(pos)}
-    )
-    found = ranked.groupBy(*keys, "slot", "_n").agg(
-        F.max("_h").alias("_h"),
-        F.max("_k").alias("_k"),
-        F.max(F.when(F.col("v").isNull(), F.col("_c"))).alias("_below"),
-        F.min(F.when(F.col("_cum") > F.col("_k"), F.col("v"))).alias("_a"),
-        F.min(F.when(F.col("_cum") > F.col("_k") + 1, F.col("v"))).alias("_b"),
+    # a group no larger than the sketch is kept whole: its ranks are too coarse
+    # for a bracket, and it is small anyway
+    small = F.col("_n") <= accuracy
+    val = F.col("_v")
+    inside, floor = F.lit(False), F.lit(-_INF)
+    for i, p in enumerate(ps):
+        lo = F.lit(-_INF) if p - eps <= 0 else F.when(~small, F.col("_cut")[i]).otherwise(-_INF)
+        hi = F.lit(_INF) if p + eps >= 1 else F.when(~small, F.col("_cut")[m + i]).otherwise(_INF)
+        inside = inside | ((val >= lo) & (val <= hi))
+        floor = F.greatest(floor, F.when(val > hi, hi).otherwise(-_INF))
+    # a bulk row stands right behind the last bracket below it
+    counted = (
+        tagged.withColumn("_bulk", ~inside)
+        .withColumn("_at", F.when(F.col("_bulk"), floor).otherwise(val))
+        .groupBy(*by, "_n", "_at", "_bulk")
+        .agg(F.count(F.lit(1)).alias("_c"))
     )
-    missed = (F.coalesce("_below", F.lit(0)) > F.col("_k")) | F.col("_a").isNull()
-    frac = F.col("_h") - F.col("_k")
-    # no value above the bracket is needed when the rank is a whole number
-    upper_missed = (frac > 0) & F.col("_b").isNull()
-    val = F.when(
-        missed | upper_missed, F.raise_error(F.lit("quantile bracket missed its rank; raise accuracy")).cast("double")
-    ).otherwise(F.col("_a") + F.when(frac > 0, frac * (F.col("_b") - F.col("_a"))).otherwise(0.0))
-    found = found.withColumn("_q", val)
-    out = found.groupBy(*keys).agg(
-        F.max("_n").alias("n_values"),
-        *[F.max(F.when(F.col("slot") == i, F.col("_q"))).alias(nm) for i, nm in enumerate(names)],
-    )
-    return out if by else out.drop("_g")
+    order = Window.partitionBy(*by).orderBy("_at", "_bulk").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("_cum", F.sum("_c").over(order))
+    n = F.col("_n")
+
+    def at_rank(k):
+        return F.min(F.when(F.col("_cum") > k, F.struct("_at", "_bulk")))
+
+    picks = {}
+    for i, p in enumerate(ps):
+        k = F.floor((n - 1) * p)
+        picks[f"_a{i}"] = at_rank(k)
+        picks[f"_b{i}"] = at_rank(F.least(k + 1, n - 1))
+    found = ranked.groupBy(*by).agg(F.max("_n").alias("_n"), *[c.alias(a) for a, c in picks.items()])
+    outs = []
+    for i, p in enumerate(ps):
+        h = (n - 1) * p
+        frac = h - F.floor(h)
+        a, b = F.col(f"_a{i}"), F.col(f"_b{i}")
+        missed = a["_bulk"] | ((frac > 0) & b["_bulk"])
+        text = F.lit("quantile bracket missed its rank; raise accuracy")
+        q = a["_at"] + F.when(frac > 0, frac * (b["_at"] - a["_at"])).otherwise(0.0)
+        outs.append(F.when(missed, F.raise_error(text).cast("double")).otherwise(q).alias(names[i]))
+    return found.select(*by, F.col("_n").alias("n_values"), *outs)

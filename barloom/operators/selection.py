@@ -74,10 +74,10 @@ def paginate(df: DataFrame, order: list, page: int = 1, page_size: int = 10, max
     rows takes place.
     """
     page, page_size = clamp_page(page, page_size, max_page_size)
-    total = df.agg(F.count(F.lit(1)).alias("total")).withColumn("_g", F.lit(0))
-    rows = df.orderBy(*order).offset((page - 1) * page_size).limit(page_size).withColumn("_g", F.lit(0))
+    total = df.agg(F.count(F.lit(1)))
+    rows = df.orderBy(*order).offset((page - 1) * page_size).limit(page_size)
     pages = F.ceil(F.col("total") / page_size)
-    return rows.join(total, "_g").drop("_g").withColumns(
+    return rows.withColumn("total", total.scalar()).withColumns(
         {
             "page": F.lit(page),
             "total_pages": pages,

@@ -241,7 +241,7 @@ def agg_cards(spark, sf):
     s = c.select(F.when(F.col("c_mktsegment") == "BUILDING", "active").when(F.col("c_mktsegment") == "HOUSEHOLD", "testing").otherwise("x").alias("status"),
                  (F.col("c_acctbal") / 10000).alias("total_return"))
     stores = t.table(spark, sf, "lineitem").agg(F.count_distinct("l_suppkey").alias("symbols")).withColumns({"files": F.lit(1), "size_mb": F.lit(1.0)})
-    cards = ss.strategy_cards(s).withColumn("_g", F.lit(0)).join(ss.storage_cards(stores).withColumn("_g", F.lit(0)), "_g")
+    cards = ss.strategy_cards(s).withColumn("total_symbols", ss.storage_cards(stores).select("total_symbols").scalar())
     return rounded(cards, ["active", "testing", "total_symbols"], ["mean_return"])
 
 

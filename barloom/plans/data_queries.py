@@ -600,8 +600,7 @@ SELECT date, {q('close')}, n AS total_count, true AS has_more, 150 AS next_offse
  (SELECT count(*) AS n FROM bars_brand WHERE symbol = 'Brand#3') WHERE symbol = 'Brand#3' ORDER BY date LIMIT 100 OFFSET 50"""))
 def srt_offset(spark, sf):
     b = t.bars_brand(spark, sf).where("symbol = 'Brand#3'")
-    total = b.agg(F.count(F.lit(1)).alias("total_count")).withColumn("_g", F.lit(0))
-    page = b.orderBy("date").offset(50).limit(100).withColumn("_g", F.lit(0)).join(total, "_g")
+    page = b.orderBy("date").offset(50).limit(100).withColumn("total_count", b.agg(F.count(F.lit(1))).scalar())
     more = F.col("total_count") > 150
     return rounded(page.withColumns({"has_more": more, "next_offset": F.when(more, 150)}),
                    ["date", "total_count", "has_more", "next_offset"], ["close"])

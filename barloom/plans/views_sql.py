@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-_SEQ = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity"
+_SEQ = "l_orderkey, l_linenumber, l_extendedprice, l_quantity"
 
 
 def _bars(symbol: str, date: str, frm: str) -> str:

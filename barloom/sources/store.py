@@ -129,7 +129,7 @@ class BarStore:
             F.min("year").alias("first_year"),
             F.max("year").alias("last_year"),
         )
-        return rest.withColumn("_g", F.lit(0)).join(sizes.withColumn("_g", F.lit(0)), "_g").drop("_g")
+        return rest.withColumns({c: sizes.select(c).scalar() for c in ("total_files", "total_size_mb")})
 
 
 def matrix(bars: DataFrame, symbols: list[str], start, end, field: str = "close") -> DataFrame:

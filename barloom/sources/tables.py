@@ -13,7 +13,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ticks_to_bars(ticks: DataFrame) -> DataFrame:
     """Ticks (symbol, date, seq, price, quantity, amount) to one bar per symbol and date.
 
-    Everything is an algebraic aggregate: each map task sends at most one row
+    `seq` is a number that orders the ticks of a day. Everything is an algebraic aggregate: each map task sends at most one row
     per (symbol, date), so a symbol that owns a third of the ticks adds no
     skew to the shuffle.
     """
@@ -27,13 +27,23 @@ def ticks_to_bars(ticks: DataFrame) -> DataFrame:
     )
 
 
+def _two_part_key(high, low):
+    """(high, low) as one exact number, low below 1e18.
+
+    A decimal of any precision fits a hash aggregate's buffer, a struct does
+    not: ordering by a struct would sort all raw rows before aggregating them.
+    """
+    return high.cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)") + low.cast("decimal(18,0)")
+
+
 def _lineitem_ticks(li: DataFrame, symbol, date) -> DataFrame:
+    # arrival order: order, line; price and quantity decide between copies
+    line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    rest = F.round(F.col("l_extendedprice") * 100).cast("long") * 1000 + F.col("l_quantity").cast("long")
     return li.select(
         symbol.alias("symbol"),
         date.alias("date"),
-        F.struct(
-            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"
-        ).alias("seq"),
+        _two_part_key(line, rest).alias("seq"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         F.col("l_quantity").alias("quantity"),
         F.col("l_extendedprice").alias("amount"),
@@ -82,7 +92,9 @@ def bars_event(spark: SparkSession, sf_dir: str) -> DataFrame:
         ev.select(
             F.col("event_type").alias("symbol"),
             F.col("ts").cast("date").alias("date"),
-            F.struct("ts", "event_id").alias("seq"),
+            _two_part_key(
+                F.unix_micros(F.col("ts").cast("timestamp")), F.col("event_id")
+            ).alias("seq"),
             F.col("value").alias("price"),
             F.lit(1.0).alias("quantity"),
             F.col("value").alias("amount"),
