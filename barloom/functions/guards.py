@@ -66,6 +66,12 @@ def with_group_stats(df: DataFrame, keys: list[str], **stats: Column) -> DataFra
     return df.join(agg, keys)
 
 
+def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row frame to every row, as one scalar subquery."""
+    one = row.select(F.struct(*row.columns)).scalar()
+    return df.withColumn("_row", one).select(*df.columns, "_row.*")
+
+
 def _c(x):
     if isinstance(x, str):
         return F.col(x)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.guards import div
+from ..functions.guards import div, with_row
 from .quantiles import exact_quantiles
 
 # Commission rate by broker.
@@ -132,7 +132,7 @@ def cost_report(costs: DataFrame) -> DataFrame:
     )
     names = {"rate_p25": 0.25, "rate_p50": 0.5, "rate_p75": 0.75, "rate_p95": 0.95}
     quant = exact_quantiles(costs, [], "cost_rate", names)
-    return a.withColumns({q: quant.select(q).scalar() for q in names})
+    return with_row(a, quant.drop("n_values"))
 
 
 ADVICE = {

@@ -10,69 +10,79 @@ joined with every other symbol.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MOMENTS = "sym_i string, sym_j string, n double, si double, sj double, sij double, sii double, sjj double"
-
-
-def _moments(pdf: pd.DataFrame, keys: tuple, n_keys: int) -> pd.DataFrame:
-    *chunk, bi, bj = keys
-    dates = pd.factorize(pdf["date"])[0]
-    codes, names = pd.factorize(pdf["symbol"], sort=True)
+PAIRS = "sym_i string, sym_j string, n double, cov double"
+
+
+def _moments(table: pa.Table, bi: int, bj: int) -> dict[str, np.ndarray | pa.Array]:
+    """Moments of the pairs of block `bi` with block `bj` in one matrix product each."""
+    dates = table["date"].combine_chunks().dictionary_encode()
+    symbols = table["symbol"].combine_chunks().dictionary_encode()
+    t, s = dates.indices.to_numpy(), symbols.indices.to_numpy()
+    names = symbols.dictionary
+    order = np.argsort(np.asarray(names.to_pylist(), dtype=object))
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    s, names = rank[s], names.take(pa.array(order))
     block = np.zeros(len(names), dtype=np.int64)
-    block[codes] = pdf["_b"].to_numpy()
-    x = np.full((dates.max() + 1, len(names)), np.nan)
-    x[dates, codes] = pdf["ret"].to_numpy(dtype=float)
+    block[s] = table["_b"].to_numpy()
+    x = np.full((len(dates.dictionary), len(names)), np.nan)
+    x[t, s] = table["ret"].to_numpy()
     have = ~np.isnan(x)
-    x0 = np.where(have, x, 0.0)
-    m = have.astype(float)
+    x0, m = np.where(have, x, 0.0), have.astype(float)
     left, right = np.flatnonzero(block == bi), np.flatnonzero(block == bj)
     xl, xr, ml, mr = x0[:, left], x0[:, right], m[:, left], m[:, right]
-    n, si, sj = ml.T @ mr, xl.T @ mr, ml.T @ xr
-    sij, sii, sjj = xl.T @ xr, (xl * xl).T @ mr, ml.T @ (xr * xr)
     i, j = np.meshgrid(left, right, indexing="ij")
     keep = (i <= j) if bi == bj else np.ones_like(i, dtype=bool)
-    swap = (i > j)[keep]
     a, b = i[keep], j[keep]
-    out = pd.DataFrame(
-        {
-            "sym_i": np.asarray(names)[np.where(swap, b, a)],
-            "sym_j": np.asarray(names)[np.where(swap, a, b)],
-            "n": n[keep],
-            "si": np.where(swap, sj[keep], si[keep]),
-            "sj": np.where(swap, si[keep], sj[keep]),
-            "sij": sij[keep],
-            "sii": np.where(swap, sjj[keep], sii[keep]),
-            "sjj": np.where(swap, sii[keep], sjj[keep]),
-        }
-    )
-    for k in range(n_keys):
-        out.insert(k, f"_k{k}", chunk[k])
-    return out
-
-
-def pair_moments(returns: DataFrame, chunk: list[str], blocks: int = 1) -> DataFrame:
-    """Moments of every pair of symbols per chunk.
+    swap = a > b
+    si, sj = (xl.T @ mr)[keep], (ml.T @ xr)[keep]
+    sii, sjj = ((xl * xl).T @ mr)[keep], (ml.T @ (xr * xr))[keep]
+    return {
+        "sym_i": names.take(pa.array(np.where(swap, b, a))),
+        "sym_j": names.take(pa.array(np.where(swap, a, b))),
+        "n": (ml.T @ mr)[keep],
+        "si": np.where(swap, sj, si),
+        "sj": np.where(swap, si, sj),
+        "sij": (xl.T @ xr)[keep],
+        "sii": np.where(swap, sjj, sii),
+        "sjj": np.where(swap, sii, sjj),
+    }
+
+
+def pair_moments(returns: DataFrame, chunk: list[str], blocks: int = 1, covariance: bool = False) -> DataFrame:
+    """Moments (or at once the covariance) of every pair of symbols per chunk.
 
     `returns` has date, symbol, ret and the chunk columns; a chunk must hold a
     bounded number of dates.
     """
     b = F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int")
     df = returns.where("ret IS NOT NULL").select(*chunk, "date", "symbol", "ret", b.alias("_b"))
-    # block b takes part in the pairs (k, b) for k <= b and (b, k) for k > b
+    # a row of block b meets every block o once, in group (min, max) of the two
     df = df.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    df = df.withColumns({"_bi": F.least("_b", "_o"), "_bj": F.greatest("_b", "_o")})
+    df = df.withColumns({"_bi": F.least("_b", "_o"), "_bj": F.greatest("_b", "_o")}).drop("_o")
     types = dict(returns.dtypes)
-    schema = ", ".join(f"_k{i} {types[c]}" for i, c in enumerate(chunk))
-    schema = f"{schema}, {MOMENTS}" if schema else MOMENTS
+    body = PAIRS if covariance else MOMENTS
+    schema = ", ".join([*[f"_k{i} {types[c]}" for i, c in enumerate(chunk)], body])
     width = len(chunk)
 
-    def run(keys, pdf):
-        return _moments(pdf, keys, width)
-
-    out = df.groupBy(*chunk, "_bi", "_bj").applyInPandas(run, schema)
+    def run(keys, table):
+        *head, bi, bj = keys
+        v = _moments(table, bi.as_py(), bj.as_py())
+        if covariance:
+            n = v["n"]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                c = (v["sij"] - v["si"] * v["sj"] / n) / (n - 1)
+            v = {"sym_i": v["sym_i"], "sym_j": v["sym_j"], "n": n, "cov": pa.array(c, mask=n < 2)}
+        size = len(v["n"])
+        cols = {f"_k{i}": pa.array([head[i].as_py()], head[i].type).take(pa.array(np.zeros(size, np.int64))) for i in range(width)}
+        return pa.table({**cols, **v})
+
+    out = df.groupBy(*chunk, "_bi", "_bj").applyInArrow(run, schema)
     return out.withColumnsRenamed({f"_k{i}": c for i, c in enumerate(chunk)})
 
 
@@ -123,8 +133,8 @@ def asof_frames(returns: DataFrame, as_of: DataFrame, window: int = 60) -> DataF
 def asof_moments(returns: DataFrame, as_of: DataFrame, window: int = 60, blocks: int = 1) -> tuple[DataFrame, DataFrame]:
     """(cov(as_of, sym_i, sym_j, cov), mu(as_of, symbol, mu)) of the last `window` dates."""
     framed = returns.select("date", "symbol", "ret").join(asof_frames(returns, as_of, window), "date")
-    m = pair_moments(framed, ["as_of"], blocks)
-    cov = m.select("as_of", "sym_i", "sym_j", F.coalesce(_covariance(), F.lit(0.0)).alias("cov"))
+    m = pair_moments(framed, ["as_of"], blocks, covariance=True)
+    cov = m.select("as_of", "sym_i", "sym_j", F.coalesce("cov", F.lit(0.0)).alias("cov"))
     diag = F.col("sym_i") == F.col("sym_j")
     cov = cov.withColumn("cov", F.when(diag & (F.col("cov") <= 0), 1e-4).otherwise(F.col("cov")))
     mu = framed.groupBy("as_of", "symbol").agg(F.coalesce(F.avg("ret"), F.lit(0.0)).alias("mu"))

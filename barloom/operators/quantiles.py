@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.guards import with_row
+
 _INF = float("inf")
 
 
@@ -23,57 +25,59 @@ def exact_quantiles(
     Without `by` the whole table is one group and one row comes back.
     """
     v = F.col(value) if isinstance(value, str) else value
-    base = df.select(*by, v.cast("double").alias("_v")).where("_v IS NOT NULL")
+    # NULLs stay in and count as nothing: a filter would be pushed down to the
+    # scan and evaluate the whole value expression a second time
+    base = df.select(*by, v.cast("double").alias("_v"))
     names, ps = list(probs), list(probs.values())
     m = len(ps)
     # the sketch errs by 1/accuracy of the rows; the bracket is four times as wide
     eps = 4 / accuracy
     cuts = [max(p - eps, 0.0) for p in ps] + [min(p + eps, 1.0) for p in ps]
     sketch = base.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", cuts, accuracy).alias("_cut")
+        F.count("_v").alias("_n"), F.percentile_approx("_v", cuts, accuracy).alias("_cut")
     )
-    if by:
-        tagged = base.join(sketch, by)
-    else:
-        tagged = base.withColumns({c: sketch.select(c).scalar() for c in ("_n", "_cut")})
-
     # a group no larger than the sketch is kept whole: its ranks are too coarse
     # for a bracket, and it is small anyway
     small = F.col("_n") <= accuracy
+    bounds = {}
+    for i, p in enumerate(ps):
+        bounds[f"_lo{i}"] = F.when(small | F.lit(p - eps <= 0), -_INF).otherwise(F.col("_cut")[i])
+        bounds[f"_hi{i}"] = F.when(small | F.lit(p + eps >= 1), _INF).otherwise(F.col("_cut")[m + i])
+    sketch = sketch.withColumns(bounds).drop("_cut")
+    tagged = base.join(sketch, by) if by else with_row(base, sketch)
+
     val = F.col("_v")
     inside, floor = F.lit(False), F.lit(-_INF)
-    for i, p in enumerate(ps):
-        lo = F.lit(-_INF) if p - eps <= 0 else F.when(~small, F.col("_cut")[i]).otherwise(-_INF)
-        hi = F.lit(_INF) if p + eps >= 1 else F.when(~small, F.col("_cut")[m + i]).otherwise(_INF)
-        inside = inside | ((val >= lo) & (val <= hi))
-        floor = F.greatest(floor, F.when(val > hi, hi).otherwise(-_INF))
+    for i in range(m):
+        inside = inside | val.between(F.col(f"_lo{i}"), F.col(f"_hi{i}"))
+        floor = F.greatest(floor, F.when(val > F.col(f"_hi{i}"), F.col(f"_hi{i}")).otherwise(-_INF))
     # a bulk row stands right behind the last bracket below it
     counted = (
         tagged.withColumn("_bulk", ~inside)
         .withColumn("_at", F.when(F.col("_bulk"), floor).otherwise(val))
         .groupBy(*by, "_n", "_at", "_bulk")
-        .agg(F.count(F.lit(1)).alias("_c"))
+        .agg(F.count("_v").alias("_c"))
     )
     order = Window.partitionBy(*by).orderBy("_at", "_bulk").rowsBetween(Window.unboundedPreceding, 0)
     ranked = counted.withColumn("_cum", F.sum("_c").over(order))
     n = F.col("_n")
 
-    def at_rank(k):
-        return F.min(F.when(F.col("_cum") > k, F.struct("_at", "_bulk")))
-
+    # the row that holds a rank is the first one whose running count exceeds it
     picks = {}
     for i, p in enumerate(ps):
         k = F.floor((n - 1) * p)
-        picks[f"_a{i}"] = at_rank(k)
-        picks[f"_b{i}"] = at_rank(F.least(k + 1, n - 1))
+        for side, rank in (("a", k), ("b", F.least(k + 1, n - 1))):
+            reached = F.when(F.col("_cum") > rank, F.col("_cum"))
+            picks[f"_{side}{i}"] = F.min_by("_at", reached)
+            picks[f"_{side}{i}_bulk"] = F.min_by("_bulk", reached)
     found = ranked.groupBy(*by).agg(F.max("_n").alias("_n"), *[c.alias(a) for a, c in picks.items()])
     outs = []
     for i, p in enumerate(ps):
         h = (n - 1) * p
         frac = h - F.floor(h)
         a, b = F.col(f"_a{i}"), F.col(f"_b{i}")
-        missed = a["_bulk"] | ((frac > 0) & b["_bulk"])
+        missed = F.col(f"_a{i}_bulk") | ((frac > 0) & F.col(f"_b{i}_bulk"))
         text = F.lit("quantile bracket missed its rank; raise accuracy")
-        q = a["_at"] + F.when(frac > 0, frac * (b["_at"] - a["_at"])).otherwise(0.0)
+        q = a + F.when(frac > 0, frac * (b - a)).otherwise(0.0)
         outs.append(F.when(missed, F.raise_error(text).cast("double")).otherwise(q).alias(names[i]))
     return found.select(*by, F.col("_n").alias("n_values"), *outs)

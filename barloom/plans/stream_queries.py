@@ -85,10 +85,9 @@ _LQ = {"quantity": 2, "avg_cost": 4, "realized_pnl": 2}
 def st_ledger(spark, sf):
     """Ledger up to the watermark; the last day is still open."""
     o = t.ledger_orders(spark, sf)
-    names = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
     flat = o.select(
-        "strategy", "symbol", "date", F.col("date").cast("timestamp").alias("ts"), "side", "price",
-        *[F.col(f"seq.{c}").cast("double" if i > 3 else "bigint").alias(f"s{i + 1}") for i, c in enumerate(names)])
+        "strategy", "symbol", "date", F.col("date").cast("timestamp").alias("ts"), "side", "price", "quantity",
+        F.floor(F.col("seq") / F.lit(10**18)).cast("bigint").alias("s1"), (F.col("seq") % F.lit(10**18)).cast("bigint").alias("s2"))
     stream = _landing(spark, flat, "fills", ["1998-01-01"])
     out = scratch_path(spark, "ledger")
     with jobs.rocksdb_state(spark):

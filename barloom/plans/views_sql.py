@@ -55,8 +55,8 @@ VIEWS = {
   FROM events""",
     "ledger_orders": """
   SELECT l_linestatus AS strategy, p_brand AS symbol, CAST(l_shipdate AS DATE) AS date,
-         row_number() OVER (PARTITION BY l_linestatus, p_brand ORDER BY l_shipdate, l_orderkey, l_linenumber,
-                            l_partkey, l_suppkey, l_extendedprice, l_quantity) AS seq,
+         row_number() OVER (PARTITION BY l_linestatus, p_brand ORDER BY CAST(l_shipdate AS DATE), l_orderkey, l_linenumber,
+                            l_extendedprice, l_quantity, l_returnflag) AS seq,
          CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS side, l_quantity AS quantity,
          l_extendedprice / l_quantity AS price
   FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 0""",

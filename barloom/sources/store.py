@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.guards import with_row
 from ..operators.quality import keep_last
 from ..session import cut_lineage
 
@@ -129,7 +130,7 @@ class BarStore:
             F.min("year").alias("first_year"),
             F.max("year").alias("last_year"),
         )
-        return rest.withColumns({c: sizes.select(c).scalar() for c in ("total_files", "total_size_mb")})
+        return with_row(rest, sizes)
 
 
 def matrix(bars: DataFrame, symbols: list[str], start, end, field: str = "close") -> DataFrame:

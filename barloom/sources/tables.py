@@ -36,14 +36,18 @@ def _two_part_key(high, low):
     return high.cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)") + low.cast("decimal(18,0)")
 
 
-def _lineitem_ticks(li: DataFrame, symbol, date) -> DataFrame:
-    # arrival order: order, line; price and quantity decide between copies
+def _line_key():
+    """Arrival order within a day: order and line; price and quantity decide between copies."""
     line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
     rest = F.round(F.col("l_extendedprice") * 100).cast("long") * 1000 + F.col("l_quantity").cast("long")
+    return line, rest
+
+
+def _lineitem_ticks(li: DataFrame, symbol, date) -> DataFrame:
     return li.select(
         symbol.alias("symbol"),
         date.alias("date"),
-        _two_part_key(line, rest).alias("seq"),
+        _two_part_key(*_line_key()).alias("seq"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         F.col("l_quantity").alias("quantity"),
         F.col("l_extendedprice").alias("amount"),
@@ -179,9 +183,7 @@ def ledger_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linestatus").alias("strategy"),
         F.col("p_brand").alias("symbol"),
         F.col("l_shipdate").cast("date").alias("date"),
-        F.struct(
-            "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"
-        ).alias("seq"),
+        _two_part_key(*_line_key()).alias("seq"),
         F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("side"),
         F.col("l_quantity").alias("quantity"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),

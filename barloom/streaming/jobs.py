@@ -155,13 +155,13 @@ def signals(bars: DataFrame, path: str, checkpoint: str, fast: int = 5, slow: in
 class LedgerState(OrderedProcessor):
     """Position of a (strategy, symbol) after each run of fills."""
 
-    PENDING = "ts_ms bigint, s1 bigint, s2 bigint, s3 bigint, s4 bigint, s5 double, s6 double, side string, price double"
+    PENDING = "ts_ms bigint, s1 bigint, s2 bigint, side string, quantity double, price double"
     STATE = "orders bigint, quantity double, avg_cost double, realized_pnl double"
 
     def advance(self, key, state, rows):
         n, q, avg, real = state if state else (0, 0.0, 0.0, 0.0)
         for r in rows:
-            qty, side, px = float(r[6]), r[7], float(r[8])
+            side, qty, px = r[3], float(r[4]), float(r[5])
             if side == "BUY":
                 new_q = q + qty
                 if new_q > 0:
