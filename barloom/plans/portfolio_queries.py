@@ -248,11 +248,11 @@ _EXE = {"total_turnover": 2, "total_cost": 3, "drift_before": 6}
 
 @query("reb_execute", psql(extra=f"{WEIGHTS}, {_PREV}, {_FULL}, {_TRADES}", body="""
 SELECT d.portfolio, coalesce(n, 0) AS n_trades, """ + ", ".join(q(c, d) for c, d in _EXE.items()) + """ FROM
- (SELECT portfolio, sum(abs(current_weight - target_weight)) AS drift_before FROM al GROUP BY 1 HAVING sum(abs(current_weight - target_weight)) > 1.2) d
+ (SELECT portfolio, sum(abs(current_weight - target_weight)) AS drift_before FROM al GROUP BY 1 HAVING sum(abs(current_weight - target_weight)) > 1.23) d
  LEFT JOIN (SELECT portfolio, count(*) AS n, sum(abs_value) AS total_turnover, sum(transaction_cost) AS total_cost FROM tr GROUP BY 1) t USING (portfolio)"""))
 def reb_execute(spark, sf):
     cur, tgt = _cur_tgt(spark, sf)
-    due = rb.drift(cur, tgt).select("portfolio", F.current_date().alias("date"), (F.col("drift") > 1.2).alias("rebalance"))
+    due = rb.drift(cur, tgt).select("portfolio", F.current_date().alias("date"), (F.col("drift") > 1.23).alias("rebalance"))
     _, stats = rb.execute(due, cur, tgt)
     return rounded(stats, ["portfolio", "n_trades"], _EXE)
 
