@@ -17,9 +17,13 @@ from .views_sql import sql
 W = "PARTITION BY symbol ORDER BY date"
 
 
-def _landing(spark, df, label, splits):
-    """Write `df` in steps of the date, so that a stream sees several files in time order."""
-    path = scratch_path(spark, label)
+def _replay(spark, df, label, splits, start):
+    """Land `df` in steps of the date and run the job after each step.
+
+    `start(stream, checkpoint)` starts the job; every run resumes from the
+    checkpoint of the one before, as a scheduled job would.
+    """
+    path, checkpoint = scratch_path(spark, label), scratch_path(spark, f"{label}-checkpoint")
     bounds = [None, *splits, None]
     for lo, hi in zip(bounds, bounds[1:]):
         part = df
@@ -27,8 +31,8 @@ def _landing(spark, df, label, splits):
             part = part.where(F.col("date") >= lo)
         if hi:
             part = part.where(F.col("date") < hi)
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        part.write.mode("append").parquet(path)
+        _run(start(spark.readStream.schema(df.schema).parquet(path), checkpoint))
 
 
 def _event_stream(spark, sf):
@@ -49,12 +53,11 @@ def _run(query_):
 SELECT symbol, date, {q("CASE WHEN date >= DATE '2001-01-01' AND symbol < '000050' THEN close + 1 ELSE close END", 6, "close")} FROM prices_supp"""))
 def st_barmerge(spark, sf):
     p = t.prices_supp(spark, sf).select("symbol", "date", "close")
-    stream = _landing(spark, p, "bars-in", ["1998-01-01"])
     store = BarStore(spark, scratch_path(spark, "stream-store"))
-    cp = scratch_path(spark, "cp")
-    _run(jobs.merge_bars(stream, store, cp))
+    start = lambda stream, cp: jobs.merge_bars(stream, store, cp)
+    _replay(spark, p, "bars-in", ["1998-01-01"], start)
     fix = p.where("date >= '2001-01-01' AND symbol < '000050'").withColumn("close", F.col("close") + 1)
-    _run(jobs.merge_bars(_landing(spark, fix, "bars-fix", []), store, scratch_path(spark, "cp")))
+    _replay(spark, fix, "bars-fix", [], start)
     return rounded(store.read(), ["symbol", "date"], ["close"])
 
 
@@ -69,10 +72,9 @@ WHERE ((f > s AND pf <= ps) OR (f < s AND pf >= ps)) AND date < (SELECT max(date
 def st_signal(spark, sf):
     """Signals up to the watermark, which the last month has not passed."""
     p = t.prices_supp(spark, sf).select("symbol", "date", "close").withColumn("ts", F.col("date").cast("timestamp"))
-    stream = _landing(spark, p, "ticks", ["1998-01-01"])
     out = scratch_path(spark, "signals")
     with jobs.rocksdb_state(spark):
-        _run(jobs.signals(stream, out, scratch_path(spark, "cp"), 3, 6))
+        _replay(spark, p, "ticks", ["1998-01-01"], lambda stream, cp: jobs.signals(stream, out, cp, 3, 6))
     r = spark.read.schema(jobs.SIGNAL_SCHEMA).parquet(out)
     return rounded(r.withColumn("date", F.timestamp_millis("ts_ms").cast("date")), ["symbol", "date", "action"], ["price"])
 
@@ -88,10 +90,9 @@ def st_ledger(spark, sf):
     flat = o.select(
         "strategy", "symbol", "date", F.col("date").cast("timestamp").alias("ts"), "side", "price", "quantity",
         F.floor(F.col("seq") / F.lit(10**18)).cast("bigint").alias("s1"), (F.col("seq") % F.lit(10**18)).cast("bigint").alias("s2"))
-    stream = _landing(spark, flat, "fills", ["1998-01-01"])
     out = scratch_path(spark, "ledger")
     with jobs.rocksdb_state(spark):
-        _run(jobs.ledger(stream, out, scratch_path(spark, "cp")))
+        _replay(spark, flat, "fills", ["1998-01-01"], lambda stream, cp: jobs.ledger(stream, out, cp))
     r = keep_last(spark.read.schema(jobs.LEDGER_SCHEMA).parquet(out), ["strategy", "symbol"], "orders")
     return rounded(r, ["strategy", "symbol", "orders"], _LQ)
 
