@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.guards import by_date, div, running
+from ..session import cut_lineage
 
 
 def signal_summary(df: DataFrame) -> DataFrame:
@@ -200,6 +201,7 @@ def run_backtest(
     due = signals.where(is_label_rebalance_day("date", frequency))
     base = transform(due, weight_rules or WeightRules()).select("date", "symbol", "weight")
     if optimizer_rules is not None:
+        base = cut_lineage(base, "selected")
         # only the names selected on a date enter its solve
         rets = with_returns(prices).select("date", "symbol", F.col("returns").alias("ret"))
         as_of = base.select(F.col("date").alias("as_of")).distinct()
@@ -213,6 +215,8 @@ def run_backtest(
             solved.withColumnRenamed("as_of", "date"), industry, optimizer_rules.lower, optimizer_rules.upper,
             optimizer_rules.industry_cap,
         ).select("date", "symbol", "weight")
+    # holding reads the weights twice; they are small next to the grid
+    base = cut_lineage(base, "weights")
     grid = densify(prices, prices.select("date"), ["close"])
     grid = grid.withColumn("close", F.last("close", ignorenulls=True).over(running()))
     positions = shares(hold(grid, base), capital).withColumn("strategy", F.lit("weights"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def align(current: DataFrame, target: DataFrame, keys=("portfolio", "symbol")) -> DataFrame:
     """Full outer alignment of two weight tables; a missing name weighs 0."""
@@ -14,8 +16,12 @@ def align(current: DataFrame, target: DataFrame, keys=("portfolio", "symbol")) -
 
 
 def drift(current: DataFrame, target: DataFrame, keys=("portfolio", "symbol")) -> DataFrame:
+    return _drift_of(align(current, target, keys), keys)
+
+
+def _drift_of(aligned: DataFrame, keys) -> DataFrame:
     group = [k for k in keys if k != "symbol"]
-    return align(current, target, keys).groupBy(*group).agg(
+    return aligned.groupBy(*group).agg(
         F.sum(F.abs(F.col("current_weight") - F.col("target_weight"))).alias("drift")
     )
 
@@ -25,9 +31,11 @@ def trades(
     cost: float | None = 0.001, keys=("portfolio", "symbol"),
 ) -> DataFrame:
     """Weight changes of at least `min_trade` as trades; order them by `abs_value` for a report."""
-    # a change that equals the minimum up to rounding of the subtraction still counts
-    change = F.col("target_weight") - F.col("current_weight")
-    df = align(current, target, keys).withColumn("weight_change", change)
+    return _trades_of(align(current, target, keys), value, min_trade, cost)
+
+
+def _trades_of(aligned: DataFrame, value: float, min_trade: float = 0.01, cost: float | None = 0.001) -> DataFrame:
+    df = aligned.withColumn("weight_change", F.col("target_weight") - F.col("current_weight"))
     df = df.where(F.abs("weight_change") >= min_trade)
     moved = F.col("weight_change") * value
     df = df.withColumns(
@@ -48,9 +56,9 @@ def execute(
     `decisions` carries portfolio, date and rebalance.
     """
     go = decisions.where("rebalance").select("portfolio", F.col("date").alias("rebalance_date"))
-    cur = current.join(go.select("portfolio"), "portfolio", "left_semi")
-    tgt = target.join(go.select("portfolio"), "portfolio", "left_semi")
-    tr = trades(cur, tgt, value, **kw)
+    # trades and drift both read the aligned weights: write them once
+    aligned = cut_lineage(align(current, target).join(go.select("portfolio"), "portfolio", "left_semi"), "aligned")
+    tr = _trades_of(aligned, value, **kw)
     sums = tr.groupBy("portfolio").agg(
         F.count(F.lit(1)).alias("n_trades"),
         F.sum("abs_value").alias("total_turnover"),
@@ -58,7 +66,7 @@ def execute(
     )
     stats = (
         go.join(sums, "portfolio", "left")
-        .join(drift(cur, tgt).withColumnRenamed("drift", "drift_before"), "portfolio", "left")
+        .join(_drift_of(aligned, ("portfolio", "symbol")).withColumnRenamed("drift", "drift_before"), "portfolio", "left")
         .fillna(0, ["n_trades", "total_turnover", "total_cost"])
     )
     return tr, stats

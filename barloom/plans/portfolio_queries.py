@@ -14,6 +14,7 @@ from ..operators import rebalance as rb
 from ..operators import signals as sig
 from ..operators import weights as wt
 from ..functions.guards import by_date, div
+from ..session import cut_lineage
 from ..sources import tables as t
 from .indicator_queries import HELD_CTE, SIG_MA_CTE, SIG_MOM_CTE
 from .registry import dated, query
@@ -144,7 +145,7 @@ SELECT date, n_positions, n_industries, {q('top_industry')}, {qs(_STAT)} FROM (
  FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY weight DESC, symbol) AS rk FROM wi) GROUP BY date)
 JOIN (SELECT date, count(*) AS n_industries, max(w) AS top_industry FROM (SELECT date, industry, sum(weight) AS w FROM wi GROUP BY 1, 2) GROUP BY 1) USING (date)"""))
 def agg_wstats(spark, sf):
-    s = wt.statistics(wt.transform(_signals(spark, sf)), _industry(spark, sf))
+    s = wt.statistics(_weights(spark, sf), _industry(spark, sf))
     return rounded(s.withColumn("top_industry", F.array_max(F.map_values("industry_distribution"))),
                    ["date", "n_positions", "n_industries"], ["top_industry", *_STAT])
 
@@ -166,7 +167,7 @@ SELECT date, position_limit, industry_limit, t <= 1.4 AS turnover_limit, concent
  position_limit AND industry_limit AND t <= 1.4 AND concentration AS is_valid
 FROM va JOIN vi USING (date) JOIN vt USING (date) JOIN vc USING (date)"""))
 def wgt_validate(spark, sf):
-    w = wt.transform(_signals(spark, sf))
+    w = _weights(spark, sf)
     v = wt.validate(w, _industry(spark, sf), _prev_month(w), 0.07, 0.2, None, 1.4, 0.3)
     return v.select("date", "position_limit", "industry_limit", "turnover_limit", "concentration", "is_valid")
 
@@ -206,8 +207,13 @@ al AS (SELECT coalesce(t.portfolio, c.portfolio) AS portfolio, coalesce(t.symbol
  coalesce(c.weight, 0) AS current_weight, coalesce(t.weight, 0) AS target_weight FROM cu c FULL JOIN tg t ON c.portfolio = t.portfolio AND c.symbol = t.symbol)"""
 
 
+def _weights(spark, sf):
+    """Transformed weights, written once for the queries that read them several times."""
+    return cut_lineage(wt.transform(_signals(spark, sf)), "weights")
+
+
 def _cur_tgt(spark, sf):
-    w = wt.transform(_signals(spark, sf))
+    w = _weights(spark, sf)
     name = F.date_format("date", "yyyy-MM")
     tgt = w.select(name.alias("portfolio"), "symbol", "weight")
     cur = _prev_month(w).select(name.alias("portfolio"), "symbol", "weight")
@@ -420,7 +426,8 @@ _BT = f"{WEIGHTS}, {GRID}, {QUARTER}, {HOLD}"
 
 
 def _quarter_weights(spark, sf):
-    return wt.transform(_signals(spark, sf).where(F.month("date") % 3 == 0)).select("symbol", "date", "weight")
+    w = wt.transform(_signals(spark, sf).where(F.month("date") % 3 == 0)).select("symbol", "date", "weight")
+    return cut_lineage(w, "weights")
 
 
 def _grid(spark, sf):

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+LOCAL_CONF = "barloom.local.dir"
 
 
 def local_session(cpus: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
@@ -36,9 +37,11 @@ def shared_dir(spark: SparkSession) -> str:
     is made and recorded in the session, so later calls find the same one.
     """
     base = spark.conf.get(CHECKPOINT_CONF, None)
+    if not base:
+        base = spark.conf.get(LOCAL_CONF, None)
     if not base:
         base = tempfile.mkdtemp(prefix="barloom-")
-        spark.conf.set(CHECKPOINT_CONF, base)
+        spark.conf.set(LOCAL_CONF, base)
     return base
 
 
