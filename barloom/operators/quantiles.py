@@ -47,19 +47,28 @@ def exact_quantiles(
     tagged = base.join(sketch, by) if by else with_row(base, sketch)
 
     val = F.col("_v")
-    inside, floor = F.lit(False), F.lit(-_INF)
+    inside, floor, slot = F.lit(False), F.lit(-_INF), F.lit(0)
     for i in range(m):
         inside = inside | val.between(F.col(f"_lo{i}"), F.col(f"_hi{i}"))
         floor = F.greatest(floor, F.when(val > F.col(f"_hi{i}"), F.col(f"_hi{i}")).otherwise(-_INF))
+        slot = slot + F.when(val > F.col(f"_hi{i}"), 1).otherwise(0)
     # a bulk row stands right behind the last bracket below it
     counted = (
-        tagged.withColumn("_bulk", ~inside)
+        tagged.withColumns({"_bulk": ~inside, "_slot": slot})
         .withColumn("_at", F.when(F.col("_bulk"), floor).otherwise(val))
-        .groupBy(*by, "_n", "_at", "_bulk")
+        .groupBy(*by, "_n", "_slot", "_at", "_bulk")
         .agg(F.count("_v").alias("_c"))
     )
-    order = Window.partitionBy(*by).orderBy("_at", "_bulk").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("_cum", F.sum("_c").over(order))
+    # every stretch between two brackets' upper ends is ranked on its own,
+    # behind the count of all stretches below it
+    before = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    below = (
+        counted.groupBy(*by, "_slot")
+        .agg(F.sum("_c").alias("_t"))
+        .select(*by, "_slot", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_below"))
+    )
+    order = Window.partitionBy(*by, "_slot").orderBy("_at", "_bulk").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.join(below, [*by, "_slot"]).withColumn("_cum", F.col("_below") + F.sum("_c").over(order))
     n = F.col("_n")
 
     # the row that holds a rank is the first one whose running count exceeds it
