@@ -64,6 +64,7 @@ def copies(
         .groupBy("text_sha256")
         .agg(best("doc_id").alias("keep_id"), F.sum("size").alias("group_size"))
     )
+    groups = cut_lineage(groups, "copies")  # so that a text with very many rows can be split in the join
     return local.join(groups, "text_sha256").select(
         "doc_id",
         "keep_id",
