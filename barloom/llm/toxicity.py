@@ -1,8 +1,9 @@
 """Toxicity by cumulative-link ordinal regression on sparse word features.
 
 P(grade <= k) = sigmoid(cut_k - w.x) for ordered cuts: all thresholds share
-the weights w. x holds, for each word of the vocabulary, log2(1 + count). The
-labels only say toxic or not, so grades above 0 are made from them: words that
+the weights w. x holds log2(1 + count) of each word of the vocabulary and of
+each stem, the first letters of longer words, so that inflected insults count
+as one. The labels only say toxic or not, so grades above 0 are made from them: words that
 the toxic training documents carry significantly more often are counted, and
 toxic documents are graded by the terciles of that count. The fit drives the
 weights of all other words to exactly 0, so long clean texts gather nothing.
@@ -11,51 +12,71 @@ weights of all other words to exactly 0, so long clean texts gather nothing.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .common import id_text, text_runs
 
 #: Most labelled rows the model is fitted on.
 TRAIN_ROWS = 20_000
-#: Training documents a word must be in, and most words of the vocabulary (those in most documents).
+#: Training documents a feature must be in, and most features of the vocabulary (those whose log odds lie furthest from 0).
 LEAST_DOCS = 4
-VOCABULARY = 30_000
-#: Standard errors by which a word's log odds must lie above 0 to count towards the grade.
+VOCABULARY = 5_000
+#: Standard errors by which a feature's log odds must lie above 0 to count towards the grade.
 LIFT = 5.0
 GRADES = 4
-L1 = 2e-3
-STEPS = 400
-THRESHOLD = 0.5
+L1 = 5e-4
+STEPS = 600
+THRESHOLD = 0.3
+
+#: Letters of the stems, taken of words at least one letter longer.
+STEMS = (4, 5, 6)
+#: Words whose features a worker remembers; beyond that it starts anew.
+REMEMBERED = 500_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+def features(word: str) -> list[str]:
+    """The word itself and its stems, marked by a hyphen."""
+    return [word, *(f"{word[:k]}-" for k in STEMS if len(word) > k)]
+
+
+def bag(text: str) -> dict[str, int]:
+    """Count of every feature of a text."""
+    out: Counter[str] = Counter()
+    for word, n in Counter(_WORD.findall(text.lower())).items():
+        for f in features(word):
+            out[f] += n
+    return out
 
 
 @dataclass
 class Ordinal:
     weights: dict[str, float]
     cuts: np.ndarray  # ascending, one fewer than grades
+    _held: dict[str, tuple[str, ...]] = field(default_factory=dict, repr=False)
 
     def above(self, margins: np.ndarray) -> np.ndarray:
         """P(grade > k) for each k, a column each."""
         return 1 / (1 + np.exp(self.cuts[None, :] - margins[:, None]))
 
     def margin(self, text: str) -> float:
-        counts: dict[str, int] = {}
-        known = self.weights
-        for w in words(text):
-            if w in known:
-                counts[w] = counts.get(w, 0) + 1
-        return sum(known[w] * np.log2(1 + counts[w]) for w in sorted(counts))
+        if len(self._held) > REMEMBERED:
+            self._held.clear()
+        held, known = self._held, self.weights
+        words = _WORD.findall(text.lower())
+        for w in set(words).difference(held):
+            held[w] = tuple(f for f in features(w) if f in known)
+        counts = Counter(f for some in map(held.__getitem__, words) if some for f in some)
+        return sum(known[f] * np.log2(1 + counts[f]) for f in sorted(counts))
 
 
 def fit_cumulative(row: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.ndarray, n_cols: int, grades: int = GRADES, l1: float = L1, steps: int = STEPS, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
@@ -109,52 +130,47 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, grades: int
     chance = 1.0 if n <= rows else 1.2 * rows / n
     some = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= F.lit(int(chance * (1 << 30)))).limit(rows)
 
+    # `some` holds at most `rows` rows of 12 bytes
+    picked = cut_lineage(id_text(docs, doc_id, text).join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).limit(rows), "sample")
+    n_docs, n_toxic = picked.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
+
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_runs(batches, "text"):
-            found = []
-            for t in texts:
-                c: dict[str, int] = {}
-                for w in words(t):
-                    c[w] = c.get(w, 0) + 1
-                found.append(list(c.items()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.map_(pa.string(), pa.int32()))], names=["doc_id", "y", "counts"])
-
-    # `some` holds at most `rows` rows of 12 bytes
-    picked = id_text(docs, doc_id, text).join(F.broadcast(some), "doc_id").limit(rows)
-    bags = picked.select("doc_id", "text", "y").mapInArrow(count, "doc_id long, y int, counts map<string,int>")
-    each = bags.select("doc_id", "y", F.explode("counts").alias("word", "n"))
-    # the vocabulary is bounded by its parameter, the rows of the sample by theirs
-    vocabulary = (
-        each.groupBy("word").agg(F.count(F.lit(1)).alias("docs"), F.sum("y").alias("toxic")).where(F.col("docs") >= LEAST_DOCS)
-        .orderBy(F.col("docs").desc(), "word").limit(VOCABULARY).toPandas()
-    )
-    y_of = bags.select("doc_id", "y").toPandas().drop_duplicates("doc_id")
-    n_toxic, n_docs = int(y_of["y"].sum()), len(y_of)
+            docs_of, toxic_of = Counter(), Counter()
+            for t, y in zip(texts, batch.column(2).to_pylist()):
+                found = set(bag(t))
+                docs_of.update(found)
+                if y:
+                    toxic_of.update(found)
+            names = sorted(docs_of)
+            yield pa.RecordBatch.from_pydict({"feature": names, "docs": [docs_of[f] for f in names], "toxic": [toxic_of[f] for f in names]})
+
+    found = picked.mapInArrow(count, "feature string, docs long, toxic long").groupBy("feature").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
+    a, b = F.col("toxic") + 0.5, F.col("docs") - F.col("toxic") + 0.5
+    rest_a, rest_b = F.lit(n_toxic) - F.col("toxic") + 0.5, F.lit(n_docs - n_toxic) - F.col("docs") + F.col("toxic") + 0.5
+    z = (F.log(a / rest_a) - F.log(b / rest_b)) / F.sqrt(1 / a + 1 / rest_a + 1 / b + 1 / rest_b)
+    # bounded by VOCABULARY
+    vocabulary = found.where(F.col("docs") >= LEAST_DOCS).select("feature", z.alias("z")).orderBy(F.abs("z").desc(), "feature").limit(VOCABULARY).toPandas()
     if not n_toxic or n_toxic == n_docs or not len(vocabulary):
         return Ordinal({}, np.full(grades - 1, np.inf))
-    names = vocabulary["word"].tolist()
+    names = vocabulary["feature"].tolist()
     place = {w: k for k, w in enumerate(names)}
 
     def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = [[(place[w], c) for w, c in sorted(bag) if w in place] for bag in batch.column(1).to_pylist()]
+        for batch, texts in text_runs(batches, "text"):
+            kept = [sorted((place[f], n) for f, n in bag(t).items() if f in place) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([[k for k, _ in x] for x in kept], pa.list_(pa.int32())), pa.array([[c for _, c in x] for x in kept], pa.list_(pa.int32()))],
-                names=["doc_id", "cols", "counts"],
+                [batch.column(0), batch.column(2), pa.array([[k for k, _ in x] for x in kept], pa.list_(pa.int32())), pa.array([[n for _, n in x] for x in kept], pa.list_(pa.int32()))],
+                names=["doc_id", "y", "cols", "counts"],
             )
 
-    rows_of = bags.select("doc_id", "counts").mapInArrow(pick, "doc_id long, cols array<int>, counts array<int>").toPandas()
-    data = y_of.merge(rows_of.drop_duplicates("doc_id"), on="doc_id").sort_values("doc_id")
+    data = picked.mapInArrow(pick, "doc_id long, y int, cols array<int>, counts array<int>").toPandas().sort_values("doc_id")
     sizes = data["cols"].map(len).to_numpy()
     row = np.repeat(np.arange(len(data)), sizes)
     col = np.concatenate(data["cols"].tolist() or [[]]).astype(np.int64)
     counts = np.concatenate(data["counts"].tolist() or [[]]).astype(np.float64)
     y = data["y"].to_numpy(np.int64)
-    # significantly more frequent in toxic documents
-    a = vocabulary["toxic"].to_numpy(np.float64) + 0.5
-    b = vocabulary["docs"].to_numpy(np.float64) - a + 1
-    odds = np.log(a / (n_toxic - a + 1)) - np.log(b / (n_docs - n_toxic - b + 1))
-    lifted = odds > LIFT * np.sqrt(1 / a + 1 / (n_toxic - a + 1) + 1 / b + 1 / (n_docs - n_toxic - b + 1))
+    lifted = vocabulary["z"].to_numpy() > LIFT
     weight = np.bincount(row, counts * lifted[col], len(data))
     bounds = np.quantile(weight[y == 1], np.linspace(0, 1, grades)[1:-1])
     grade = np.where(y == 1, 1 + (weight[:, None] > bounds[None, :]).sum(1), 0)
