@@ -185,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, doc_id: str
     some = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= F.lit(int(chance * (1 << 30)))).limit(rows)
     body = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     # `some` holds at most `rows` rows of 12 bytes
-    got = _features(body.join(F.broadcast(some), "doc_id").limit(rows), "text", "y").toPandas()
+    got = _features(body.join(F.broadcast(some), "doc_id"), "text", "y").limit(rows).toPandas()
     x = np.array(got["x"].tolist(), np.float64).reshape(len(got), len(FEATURES))
     return grow(x, got["y"].to_numpy(np.float64), **settings)
 

@@ -131,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, grades: int
     some = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= F.lit(int(chance * (1 << 30)))).limit(rows)
 
     # `some` holds at most `rows` rows of 12 bytes
-    picked = cut_lineage(id_text(docs, doc_id, text).join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).limit(rows), "sample")
+    picked = cut_lineage(id_text(docs, doc_id, text).join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]), "sample")
     n_docs, n_toxic = picked.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
