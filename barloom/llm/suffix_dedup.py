@@ -303,8 +303,10 @@ def _counted_suffixes(around: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"digest": digests, "id": [doc] * n, "check": [check] * n, "low": list(range(start, start + n)), "alone": [alone] * n})
 
     each = around.where("large").select("id", "check", "pos", "alone", "first", "bytes").mapInArrow(run, "digest binary, id long, check long, low long, alone boolean")
-    counts = each.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    return each.where("alone").join(counts, "digest").select("id", "check", "low", (F.col("low") + length).alias("high"))
+    # surroundings of several anchors overlap, so one suffix can come more than once: count places, not rows
+    place = F.struct("id", "check", "low")
+    again = each.groupBy("digest").agg(F.min(place).alias("one"), F.max(place).alias("other")).where("one <> other").select("digest")
+    return each.where("alone").join(again, "digest").select("id", "check", "low", (F.col("low") + length).alias("high"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", keep_text: bool = True) -> DataFrame:
