@@ -2,8 +2,8 @@
 
 Input is predictions(model, ..., y_true, y_pred), any number of rows per model:
 everything is an aggregate by model, order statistics come from
-`exact_quantiles`, and the drawdown of the prediction series from two folds
-(within a date, then over dates).
+`exact_quantiles`, and the drawdown of the prediction series from folds in
+several levels.
 """
 
 from __future__ import annotations
@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from ..functions.guards import div
 from .quantiles import exact_quantiles
+from .runs import dealt
 
 # Metrics for which a larger value ranks first; all others rank
 # lower-is-better, `correlation` and `max_drawdown` included.
 HIGHER_BETTER = [
-    "r2", "accuracy", "precision", "recall", "f1", "roc_auc", "sharpe_ratio", "information_ratio", "hit_rate",
+    "r2", "accuracy", "precision", "recall", "f1", "roc_auc", "auc_hard", "sharpe_ratio", "information_ratio", "hit_rate",
     "directional_accuracy", "calmar_ratio", "sortino_ratio",
 ]
 
@@ -145,20 +146,22 @@ def _fold(xs: Column) -> Column:
     return F.aggregate(F.slice(xs, 2, F.greatest(F.size(xs) - 1, F.lit(0))), pick(xs[0]), step)
 
 
-def series_drawdown(df: DataFrame, ret: str, key: str = "model", chunk: str = "date", order: str = "seq") -> DataFrame:
-    """Worst drawdown of the compounded series of each key, in (chunk, order).
+def series_drawdown(df: DataFrame, ret: str, key: str = "model", order: tuple[str, ...] = ("date", "seq")) -> DataFrame:
+    """Worst drawdown of the compounded series of each key, in the given order.
 
-    Rows are folded inside their chunk first, in parallel; then the chunks of a
-    key. No task holds a whole series unless it has one chunk.
+    Blocks of rows are folded in parallel, then the blocks of a range, then
+    the ranges of a key.
     """
     g = 1 + F.col(ret)
-    row = F.struct(
-        F.col(order).alias("o"), g.alias("g"), g.alias("hi"), g.alias("lo"), F.lit(0.0).alias("dd")
-    )
-    inner = df.groupBy(key, chunk).agg(_fold(F.array_sort(F.collect_list(row))).alias("s"))
-    link = F.struct(F.col(chunk).alias("o"), *[F.col(f"s.{c}").alias(c) for c in ("g", "hi", "lo", "dd")])
-    outer = inner.groupBy(key).agg(_fold(F.array_sort(F.collect_list(link))).alias("s"))
-    return outer.select(key, F.col("s.dd").alias("max_drawdown"))
+    names = [f"o{i}" for i in range(len(order))]
+    at = [F.col(c).alias(n) for c, n in zip(order, names)]
+    row = F.struct(*at, g.alias("g"), g.alias("hi"), g.alias("lo"), F.lit(0.0).alias("dd"))
+    folded = dealt(df, [key], list(order)).groupBy(key, "_range", "_block").agg(_fold(F.array_sort(F.collect_list(row))).alias("s"))
+    for level in ("_block", "_range"):
+        link = F.struct(F.col(level).alias("o"), *[F.col(f"s.{c}").alias(c) for c in ("g", "hi", "lo", "dd")])
+        by = [key, "_range"] if level == "_block" else [key]
+        folded = folded.groupBy(*by).agg(_fold(F.array_sort(F.collect_list(link))).alias("s"))
+    return folded.select(key, F.col("s.dd").alias("max_drawdown"))
 
 
 def financial(pred: DataFrame, risk_free: float = 0.02, key: str = "model", benchmark: str | None = None) -> DataFrame:

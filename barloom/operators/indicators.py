@@ -65,25 +65,44 @@ def ma_strict(bars: DataFrame, windows=MA_WINDOWS) -> DataFrame:
     return bars.withColumns({f"ma_{n}": strict_avg("close", n) for n in windows})
 
 
+def _rates(spans) -> list[float]:
+    return [-math.log(1 - 2 / (n + 1)) for n in spans if n > 1]
+
+
 def _block_rows(spans) -> int:
-    """Block length at which two blocks back no longer matter and weights do not overflow."""
-    rates = [-math.log(1 - 2 / (n + 1)) for n in spans if n > 1]
-    if not rates:
-        return 2
-    block = max(2, math.ceil(38 / min(rates)))
-    if block * max(rates) > 650:
-        raise ValueError("spans differ too much; compute them in separate calls")
-    return block
+    """Block length at which two blocks back no longer matter."""
+    return max(2, math.ceil(38 / min(_rates(spans), default=38)))
+
+
+def _span_groups(spans) -> list[list[int]]:
+    """Spans that can share a block length without their weights overflowing."""
+    groups: list[list[int]] = []
+    for n in sorted(set(spans), reverse=True):
+        for g in groups:
+            both = [*g, n]
+            if _block_rows(both) * max(_rates(both), default=0) <= 650:
+                g.append(n)
+                break
+        else:
+            groups.append([n])
+    return groups
+
+
+def _numbered(df: DataFrame, key: str) -> DataFrame:
+    """Row number `_i` of each row of a series."""
+    return df.withColumn("_i", F.row_number().over(by_date(key)) - 1)
 
 
-def _blocked(df: DataFrame, spans, key: str) -> DataFrame:
-    """Row number `_i`, block `_b` and place in the block `_k` of each row of a series."""
-    block = _block_rows(spans)
-    df = df.withColumn("_i", F.row_number().over(by_date(key)) - 1)
-    return df.withColumns({"_b": F.floor(F.col("_i") / block), "_k": F.col("_i") % block})
+def _ewm_blocks(df: DataFrame, inputs: dict[str, tuple[Column, int]], key: str) -> DataFrame:
+    """The means of `inputs`, one pass per group of spans; `_b` is a row's block, `_k` its place in it."""
+    for spans in _span_groups(n for _, n in inputs.values()):
+        block = _block_rows(spans)
+        df = df.withColumns({"_b": F.floor(F.col("_i") / block), "_k": F.col("_i") % block})
+        df = _ewm_group(df, {o: x for o, x in inputs.items() if x[1] in spans}, block, key)
+    return df
 
 
-def _ewm_blocks(df: DataFrame, inputs: dict[str, tuple[Column, int]], block: int, key: str) -> DataFrame:
+def _ewm_group(df: DataFrame, inputs: dict[str, tuple[Column, int]], block: int, key: str) -> DataFrame:
     inside = Window.partitionBy(key, "_b").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
     blocks = Window.partitionBy(key).orderBy("_b")
     one_back, two_back = blocks.rangeBetween(-1, -1), blocks.rangeBetween(-2, -2)
@@ -115,23 +134,18 @@ def ewm(df: DataFrame, inputs: dict[str, tuple[Column, int]], key: str = "symbol
     is below the precision of a double. So a series of any length needs plain
     windows only, with no Python worker.
     """
-    spans = [n for _, n in inputs.values()]
-    keep = df.columns
-    out = _ewm_blocks(_blocked(df, spans, key), inputs, _block_rows(spans), key)
-    return out.select(*keep, *inputs)
+    return _ewm_blocks(_numbered(df, key), inputs, key).select(*df.columns, *inputs)
 
 
 def _means(bars: DataFrame, ema_windows=(), macd_periods: tuple[int, int, int] | None = None) -> DataFrame:
     """EMAs and MACD from one blocked pass; a span used twice is computed once."""
     fast, slow, signal = macd_periods or (0, 0, 0)
     spans = sorted({*ema_windows, *([fast, slow] if macd_periods else [])})
-    all_spans = [*spans, *([signal] if macd_periods else [])]
-    block = _block_rows(all_spans)
     keep = [*bars.columns, *[f"ema_{n}" for n in ema_windows]]
-    df = _ewm_blocks(_blocked(bars, all_spans, "symbol"), {f"ema_{n}": (F.col("close"), n) for n in spans}, block, "symbol")
+    df = _ewm_blocks(_numbered(bars, "symbol"), {f"ema_{n}": (F.col("close"), n) for n in spans}, "symbol")
     if macd_periods:
         df = df.withColumn("macd", F.col(f"ema_{fast}") - F.col(f"ema_{slow}"))
-        df = _ewm_blocks(df, {"macd_signal": (F.col("macd"), signal)}, block, "symbol")
+        df = _ewm_blocks(df, {"macd_signal": (F.col("macd"), signal)}, "symbol")
         df = df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
         keep += ["macd", "macd_signal", "macd_hist"]
     return df.select(*keep)

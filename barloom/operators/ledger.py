@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.guards import div
+from ..session import cut_lineage
+from .runs import dealt
 
 SLIPPAGE = 0.001
 COMMISSION = 0.0003
@@ -70,45 +72,61 @@ def _fold_orders(orders: Column, start_qty: Column) -> Column:
     return F.aggregate(orders, init, step)
 
 
-def positions(orders: DataFrame, chunk: str = "date", keys: tuple[str, ...] = ("strategy", "symbol")) -> DataFrame:
-    """Orders (keys, chunk, seq, side, quantity, price) to one ledger row per key.
+def positions(orders: DataFrame, order: tuple[str, ...] = ("date", "seq"), keys: tuple[str, ...] = ("strategy", "symbol")) -> DataFrame:
+    """Orders (keys, date, seq, side, quantity, price) to one ledger row per key.
 
     Weighted average cost on buys, realized profit on sells. A ledger is a
-    sequential fold, but its steps are linear in the average cost: orders are
-    folded per chunk in parallel, then the chunks of a key. So one key may own
-    any share of the orders; only its chunks are listed in one place. `chunk`
-    must follow the order of `seq`; a finer one (an hour) makes smaller tasks.
+    sequential fold, but its steps are linear in the average cost: blocks of
+    orders are folded in parallel, then the blocks of a range, then the ranges
+    of a key. So one key may own any share of the orders, on one day too.
     """
     k = list(keys)
     signed = F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(-F.col("quantity"))
-    runs = orders.groupBy(*k, chunk).agg(
+    names = [f"o{i}" for i in range(len(order))]
+    place = F.struct(*[F.col(c).alias(n) for c, n in zip(order, names)])
+    row = F.struct(place.alias("at"), "side", "quantity", "price")
+    blocks = dealt(orders, k, list(order)).groupBy(*k, "_range", "_block").agg(
         F.sum(signed).alias("_dq"),
-        F.array_sort(F.collect_list(F.struct("seq", "side", "quantity", "price"))).alias("_o"),
-        F.max_by("price", "seq").alias("_px"),
+        F.array_sort(F.collect_list(row)).alias("_o"),
+        F.max_by("price", place).alias("_px"),
         F.count(F.lit(1)).alias("_n"),
-        F.count_if(F.col("side") == "BUY").alias("_buys"),
         F.min(F.when(F.col("side") == "BUY", F.col("date"))).alias("_first"),
     )
-    before = Window.partitionBy(*k).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.withColumn("_q0", F.coalesce(F.sum("_dq").over(before), F.lit(0.0)))
-    runs = runs.withColumn("_s", _fold_orders(F.col("_o"), F.col("_q0"))).drop("_o")
-    link = F.struct(F.col(chunk).alias("c"), *[F.col(f"_s.{x}").alias(x) for x in ("a", "b", "r0", "r1")])
-    per_key = runs.groupBy(*k).agg(
-        F.sum("_dq").alias("quantity"),
-        F.array_sort(F.collect_list(link)).alias("_l"),
-        F.max_by("_px", chunk).alias("_px"),
-        F.sum("_n").alias("orders"),
-        F.min("_first").alias("first_buy_date"),
-    )
-    state = F.aggregate(
-        "_l",
-        F.struct(F.lit(0.0).alias("avg"), F.lit(0.0).alias("real")),
-        lambda s, x: F.struct(
-            (x["a"] * s["avg"] + x["b"]).alias("avg"), (s["real"] + x["r0"] + x["r1"] * s["avg"]).alias("real")
-        ),
+    # ranges are told apart by the tasks that made them, so they are settled before two branches use them
+    blocks = cut_lineage(blocks, "ledger-blocks")
+    # quantity before a block: of the ranges below it, and of the blocks before it in its range
+    before = lambda by, o: Window.partitionBy(*by).orderBy(o).rowsBetween(Window.unboundedPreceding, -1)
+    in_range = blocks.withColumn("_q1", F.coalesce(F.sum("_dq").over(before([*k, "_range"], "_block")), F.lit(0.0)))
+    last = F.row_number().over(Window.partitionBy(*k, "_range").orderBy(F.desc("_block"))) == 1
+    in_range = in_range.withColumn("_last", last)
+    ends = in_range.where("_last").select(*k, "_range", (F.col("_q1") + F.col("_dq")).alias("_t"))
+    below = ends.select(*k, "_range", F.coalesce(F.sum("_t").over(before(k, "_range")), F.lit(0.0)).alias("_q2"))
+    started = in_range.join(below, [*k, "_range"]).withColumn("_s", _fold_orders(F.col("_o"), F.col("_q1") + F.col("_q2"))).drop("_o")
+
+    def joined(df: DataFrame, by: list[str], o: str) -> DataFrame:
+        link = F.struct(F.col(o).alias("c"), *[F.col(f"_s.{x}").alias(x) for x in ("a", "b", "r0", "r1")])
+        one = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("r0"), F.lit(0.0).alias("r1"))
+        fold = F.aggregate(
+            F.array_sort(F.collect_list(link)),
+            one,
+            lambda s, x: F.struct(
+                (x["a"] * s["a"]).alias("a"),
+                (x["a"] * s["b"] + x["b"]).alias("b"),
+                (s["r0"] + x["r0"] + x["r1"] * s["b"]).alias("r0"),
+                (s["r1"] + x["r1"] * s["a"]).alias("r1"),
+            ),
+        )
+        return df.groupBy(*by).agg(
+            F.sum("_dq").alias("_dq"), fold.alias("_s"), F.max_by("_px", o).alias("_px"), F.sum("_n").alias("_n"), F.min("_first").alias("_first")
+        )
+
+    per_key = joined(joined(started, [*k, "_range"], "_block"), k, "_range")
+    # before the first order nothing is held and nothing earned
+    p = per_key.select(
+        *k, F.col("_dq").alias("quantity"), F.col("_s.b").alias("_avg"), F.col("_s.r0").alias("_real"), "_px",
+        F.col("_n").alias("orders"), F.col("_first").alias("first_buy_date"),
     )
-    p = per_key.withColumn("_st", state)
-    avg = F.col("_st.avg")
+    avg = F.col("_avg")
     value = F.col("quantity") * F.col("_px")
     return p.select(
         *k,
@@ -119,14 +137,14 @@ def positions(orders: DataFrame, chunk: str = "date", keys: tuple[str, ...] = ("
         F.col("_px").alias("last_price"),
         value.alias("market_value"),
         (value - F.col("quantity") * avg).alias("unrealized_pnl"),
-        F.col("_st.real").alias("realized_pnl"),
+        F.col("_real").alias("realized_pnl"),
         "first_buy_date",
     )
 
 
 def deviation(pos: DataFrame, backtest: DataFrame) -> DataFrame:
-    """Paper return against the backtest return of each symbol (JN_LOOP_DEVIATION, SCL_DEVIATION)."""
-    df = pos.join(backtest.select("symbol", "backtest_return"), "symbol")
+    """Paper return of each open position against the backtest return of its symbol (JN_LOOP_DEVIATION, SCL_DEVIATION)."""
+    df = pos.where("quantity != 0").join(backtest.select("symbol", "backtest_return"), "symbol")
     paper = F.when(F.col("total_cost") > 0, div("unrealized_pnl", "total_cost")).otherwise(0.0)
     df = df.withColumn("paper_return", paper).withColumn("deviation", F.col("paper_return") - F.col("backtest_return"))
     return df.withColumns(
@@ -138,12 +156,17 @@ def deviation(pos: DataFrame, backtest: DataFrame) -> DataFrame:
 
 
 def summary(pos: DataFrame, orders: DataFrame, today, initial: float = INITIAL_CAPITAL) -> DataFrame:
-    """Portfolio overview per strategy; cash is the initial capital less the stock value."""
-    held = pos.where("quantity != 0").groupBy("strategy").agg(
-        F.sum("market_value").alias("stock_value"),
-        F.sum("unrealized_pnl").alias("today_pnl"),
-        F.sum("realized_pnl").alias("_real"),
-        F.count(F.lit(1)).alias("positions_count"),
+    """Portfolio overview per strategy; cash is the initial capital less the stock value.
+
+    Only open positions count; a strategy that has sold everything keeps its cash row.
+    """
+    is_open = F.col("quantity") != 0
+    of_open = lambda c: F.coalesce(F.sum(F.when(is_open, F.col(c))), F.lit(0.0))
+    held = pos.groupBy("strategy").agg(
+        of_open("market_value").alias("stock_value"),
+        of_open("unrealized_pnl").alias("today_pnl"),
+        of_open("realized_pnl").alias("_real"),
+        F.count_if(is_open).alias("positions_count"),
     )
     placed = orders.where(F.col("date") >= F.lit(today)).groupBy("strategy").agg(F.count(F.lit(1)).alias("orders_count"))
     df = held.join(placed, "strategy", "left").fillna(0, ["orders_count"])

@@ -10,7 +10,7 @@ from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import (
     BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator,
 )
-from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .indicators import lag_features, ma_features, target
 from .quality import numeric_columns
 
+# what a missing feature becomes inside a model
+MISSING, FILLED = "1e300", "_filled_"
 DEFAULTS = {"maxDepth": 6, "stepSize": 0.1, "maxIter": 100, "seed": 42}
 
 
@@ -79,8 +81,11 @@ def _stage(kind: str, params: dict):
     if kind == "binary":
         return GBTClassifier(labelCol="label", featuresCol="features", **params)
     if kind == "multiclass":
-        p = {k: v for k, v in params.items() if k in ("maxDepth", "seed")}
-        return RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=params.get("maxIter", 20), **p)
+        p = {k: v for k, v in params.items() if k not in ("maxIter", "stepSize")}
+        unknown = [k for k in p if not RandomForestClassifier.hasParam(RandomForestClassifier(), k)]
+        if unknown or params["stepSize"] != DEFAULTS["stepSize"]:
+            raise ValueError(f"a random forest has no {', '.join(unknown) or 'stepSize'}")
+        return RandomForestClassifier(labelCol="label", featuresCol="features", **{"numTrees": params["maxIter"], **p})
     raise ValueError(kind)
 
 
@@ -94,9 +99,18 @@ def register_trainer(name: str, build) -> None:
 
 
 def train(df: DataFrame, cols: list[str], kind: str = "regression", label: str = "target", **params) -> PipelineModel:
-    """Gradient-boosted trees (random forest for more than two classes), or a registered trainer."""
+    """Gradient-boosted trees (random forest for more than two classes), or a registered trainer.
+
+    A missing feature counts as larger than any number, so every row is used
+    and predicted. For a forest `maxIter` is the number of trees; a parameter
+    it does not know raises.
+    """
     params = {**DEFAULTS, **params}
-    stages = [VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="skip")]
+    filled = ", ".join(f"coalesce(nanvl(CAST(`{c}` AS DOUBLE), {MISSING}), {MISSING}) AS `{FILLED}{c}`" for c in cols)
+    stages = [
+        SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__"),
+        VectorAssembler(inputCols=[FILLED + c for c in cols], outputCol="features"),
+    ]
     if kind == "multiclass" or dict(df.dtypes)[label] == "string":
         stages.append(StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc"))
     else:
@@ -104,7 +118,7 @@ def train(df: DataFrame, cols: list[str], kind: str = "regression", label: str =
     stages.append(TRAINERS[kind](params) if kind in TRAINERS else _stage(kind, params))
     model = Pipeline(stages=stages).fit(df)
     if kind == "multiclass":
-        labels = model.stages[1].labels
+        labels = next(s for s in model.stages if isinstance(s, StringIndexerModel)).labels
         model.stages.append(IndexToString(inputCol="prediction", outputCol="predicted_label", labels=labels))
     return model
 
@@ -115,7 +129,7 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     for s in model.stages:
         if not s.__class__.__name__.startswith("StringIndexer"):
             out = s.transform(out)
-    return out
+    return out.drop(*[c for c in out.columns if c.startswith(FILLED)])
 
 
 def predict_proba(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -145,7 +159,12 @@ def evaluator(kind: str, metric: str | None = None):
 
 
 def score(model: PipelineModel, df: DataFrame, kind: str, label: str = "target", metric: str | None = None) -> float:
-    out = predict(model, df.withColumn("label", F.col(label).cast("double")))
+    indexer = next((s for s in model.stages if isinstance(s, StringIndexerModel)), None)
+    if indexer:  # a class that training has not seen gets an index no prediction has
+        df = indexer.copy().setHandleInvalid("keep").transform(df)
+    else:
+        df = df.withColumn("label", F.col(label).cast("double"))
+    out = predict(model, df)
     return float(evaluator(kind, metric).evaluate(out))
 
 

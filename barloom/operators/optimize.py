@@ -13,10 +13,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# largest number of assets in one solve; larger universes must be cut down by
-# the caller (selection), never silently
-MAX_ASSETS = 500
-
 
 @dataclass(frozen=True)
 class OptimizerRules:
@@ -139,15 +135,12 @@ def optimize(
     else:
         assets = assets.withColumn("cur", F.lit(None).cast("double"))
     has_current = current is not None
-    limit = MAX_ASSETS
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty:
             return pd.DataFrame(columns=[x.split()[0] for x in OUT.split(", ")])
         left = left.sort_values("symbol")
         n = len(left)
-        if n > limit:
-            raise ValueError(f"{n} assets on one date; select at most {limit} before optimizing")
         at = {s: i for i, s in enumerate(left["symbol"])}
         pair = right[right["sym_i"].isin(at) & right["sym_j"].isin(at)]
         i, j = pair["sym_i"].map(at).to_numpy(), pair["sym_j"].map(at).to_numpy()

@@ -79,7 +79,7 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def chat_totals(messages: DataFrame, stored_per_session: int = 100) -> DataFrame:
+def chat_totals(messages: DataFrame, stored_per_session: int = 200) -> DataFrame:
     """One row: sessions, messages, stored messages, mean response time, derived satisfaction."""
     per = messages.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.sum("response_time").alias("t"), F.count("response_time").alias("k"))
     a = per.agg(

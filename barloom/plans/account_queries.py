@@ -91,9 +91,9 @@ _SUMQ = {"cash_balance": 2, "stock_value": 2, "total_pnl": 2, "total_pnl_ratio":
 
 
 @query("agg_summary", ledger_sql("SELECT strategy, positions_count, orders_count, " + ", ".join(q(c, d) for c, d in _SUMQ.items()) + """ FROM (
- SELECT strategy, 1000000 - sum(market_value) AS cash_balance, sum(market_value) AS stock_value, sum(unrealized_pnl + realized_pnl) AS total_pnl,
- sum(unrealized_pnl + realized_pnl) / 1000000 AS total_pnl_ratio, sum(unrealized_pnl) AS today_pnl, count(*) AS positions_count,
- (SELECT count(*) FROM o WHERE o.strategy = po.strategy AND o.date >= DATE '2001-10-01') AS orders_count FROM po WHERE quantity <> 0 GROUP BY strategy)"""))
+ SELECT strategy, 1000000 - sum(market_value * op) AS cash_balance, sum(market_value * op) AS stock_value, sum((unrealized_pnl + realized_pnl) * op) AS total_pnl,
+ sum((unrealized_pnl + realized_pnl) * op) / 1000000 AS total_pnl_ratio, sum(unrealized_pnl * op) AS today_pnl, CAST(sum(op) AS BIGINT) AS positions_count,
+ (SELECT count(*) FROM o WHERE o.strategy = po.strategy AND o.date >= DATE '2001-10-01') AS orders_count FROM (SELECT *, (quantity <> 0)::INT AS op FROM po) po GROUP BY strategy)"""))
 def agg_summary(spark, sf):
     o = t.ledger_orders(spark, sf)
     return rounded(lg.summary(lg.positions(o), o, dt.date(2001, 10, 1)), ["strategy", "positions_count", "orders_count"], _SUMQ)
@@ -106,7 +106,7 @@ def agg_account(spark, sf):
 
 _DEV = ["backtest_return", "paper_return", "deviation", "slippage", "execution_quality_score"]
 _DEVSQL = """bk AS (SELECT p_brand AS symbol, (avg(p_size) - 25) / 100 AS backtest_return FROM part GROUP BY 1),
-dv AS (SELECT strategy, symbol, backtest_return, CASE WHEN total_cost > 0 THEN unrealized_pnl / total_cost ELSE 0 END AS paper_return FROM po JOIN bk USING (symbol)),
+dv AS (SELECT strategy, symbol, backtest_return, CASE WHEN total_cost > 0 THEN unrealized_pnl / total_cost ELSE 0 END AS paper_return FROM po JOIN bk USING (symbol) WHERE quantity <> 0),
 dw AS (SELECT *, paper_return - backtest_return AS deviation, abs(paper_return - backtest_return) * 0.5 AS slippage,
  greatest(0, 1 - abs(paper_return - backtest_return) * 10) AS execution_quality_score FROM dv)"""
 
@@ -212,11 +212,12 @@ def _messages(spark, sf):
     return c.select(F.col("conv_id").alias("session_id"), "text", F.when(F.col("role") == "assistant", F.length("text") / 100.0).alias("response_time"))
 
 
-@query("agg_chatstats", f"""SELECT count(*) AS total_conversations, CAST(sum(n) AS BIGINT) AS total_messages, CAST(sum(least(n, 100)) AS BIGINT) AS stored_messages,
+@query("agg_chatstats", f"""SELECT count(*) AS total_conversations, CAST(sum(n) AS BIGINT) AS total_messages, CAST(sum(least(n, 200)) AS BIGINT) AS stored_messages,
  {q('sum(t) / sum(k)', 4, 'response_time_avg')}, round(4.0 + least(0.9, sum(n) * 0.02), 2)::DOUBLE AS user_satisfaction FROM (
- SELECT conv_id, count(*) AS n, sum(length(text) / 100.0) FILTER (WHERE role = 'assistant') AS t, count(text) FILTER (WHERE role = 'assistant') AS k FROM conversations GROUP BY 1)""")
+ SELECT conv_id // 200, count(*) AS n, sum(length(text) / 100.0) FILTER (WHERE role = 'assistant') AS t, count(text) FILTER (WHERE role = 'assistant') AS k FROM conversations GROUP BY 1)""")
 def agg_chatstats(spark, sf):
-    s = ss.chat_totals(_messages(spark, sf))
+    # 200 conversations form a session here, so that sessions are longer than what is stored of them
+    s = ss.chat_totals(_messages(spark, sf).withColumn("session_id", F.floor(F.col("session_id") / 200)))
     return rounded(s, ["total_conversations", "total_messages", "stored_messages", "user_satisfaction"], ["response_time_avg"], 4)
 
 

@@ -8,10 +8,10 @@ from dataclasses import dataclass
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.metrics import curve, metrics
 from ..operators.quality import numeric_columns
-from ..session import cut_lineage
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -26,7 +26,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 META = (
     "feature_version string, feature_type string, symbols array<string>, start_date date, end_date date, "
-    "feature_count int, sample_count bigint, checksum bigint, config string"
+    "feature_count int, sample_count bigint, checksum string, config string, created_at timestamp"
 )
 
 
@@ -52,10 +52,23 @@ class FeatureStore:
             .partitionBy("feature_version").parquet(self._dir(kind))
         )
         meta = describe(self.read(kind, version), version, kind, json.dumps(config or {}))
-        meta.coalesce(1).write.mode("append").parquet(self._dir("metadata"))
+        self._write_meta(meta.withColumn("created_at", F.current_timestamp()))
+
+    def _write_meta(self, meta: DataFrame) -> None:
+        """One file per version, so writing a version again replaces its row."""
+        (
+            meta.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("feature_type", "feature_version").parquet(self._dir("metadata"))
+        )
+
+    def _table(self, kind: str) -> DataFrame:
+        # versions stay text even when all of them look like numbers
+        kinds = self.spark.read.parquet(self._dir(kind)).schema
+        kinds["feature_version"].dataType = T.StringType()
+        return self.spark.read.schema(kinds).parquet(self._dir(kind))
 
     def read(self, kind: str = "raw", version: str | None = None, symbols=None, start=None, end=None) -> DataFrame:
-        df = self.spark.read.parquet(self._dir(kind))
+        df = self._table(kind)
         if version is not None:
             df = df.where(F.col("feature_version") == version)
         if symbols is not None:
@@ -67,22 +80,20 @@ class FeatureStore:
         return df
 
     def metadata(self) -> DataFrame:
-        return self.spark.read.schema(META).parquet(self._dir("metadata"))
+        names = [c.strip().split(" ")[0] for c in META.split(", ")]
+        return self.spark.read.schema(META).parquet(self._dir("metadata")).select(*names)
 
     def versions(self, kind: str = "raw") -> DataFrame:
         return self.metadata().where(F.col("feature_type") == kind).select("feature_version").distinct().orderBy("feature_version")
 
     def clean(self, keep: int = 5) -> DataFrame:
-        """Drop all but the newest `keep` versions of each kind; returns the metadata that stays."""
-        meta = self.metadata()
-        seen = meta.select("feature_type", "feature_version").distinct()
-        w = Window.partitionBy("feature_type").orderBy(F.desc("feature_version"))
-        ranked = seen.withColumn("_rn", F.row_number().over(w))
+        """Drop all but the `keep` versions of each kind written last; returns the metadata that stays."""
+        w = Window.partitionBy("feature_type").orderBy(F.desc("created_at"), F.desc("feature_version"))
+        ranked = self.metadata().select("feature_type", "feature_version", "created_at").withColumn("_rn", F.row_number().over(w))
         # one row per version: the list of folders to drop is small by nature
         for r in ranked.where(F.col("_rn") > keep).collect():
             _delete(self.spark, f"{self._dir(r['feature_type'])}/feature_version={r['feature_version']}")
-        kept = cut_lineage(meta.join(ranked.where(F.col("_rn") <= keep).drop("_rn"), ["feature_type", "feature_version"], "left_semi"), "metadata")
-        kept.select(*meta.columns).coalesce(1).write.mode("overwrite").parquet(self._dir("metadata"))
+            _delete(self.spark, f"{self._dir('metadata')}/feature_type={r['feature_type']}/feature_version={r['feature_version']}")
         return self.metadata()
 
     def info(self) -> DataFrame:
@@ -111,7 +122,7 @@ def describe(features: DataFrame, version: str, kind: str, config: str = "{}") -
         F.min("date").alias("start_date"),
         F.max("date").alias("end_date"),
         F.count(F.lit(1)).alias("sample_count"),
-        F.bit_xor(F.xxhash64(*cols)).alias("checksum"),
+        F.sum(F.xxhash64(*cols).cast("decimal(38,0)")).cast("string").alias("checksum"),
     ).select(
         F.lit(version).alias("feature_version"), F.lit(kind).alias("feature_type"), "symbols", "start_date", "end_date",
         F.lit(count).alias("feature_count"), "sample_count", "checksum", F.lit(config).alias("config"),

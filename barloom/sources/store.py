@@ -79,8 +79,12 @@ class BarStore:
         self._write(cut_lineage(kept.unionByName(bars, allowMissingColumns=True), "overwrite"), "overwrite")
 
     def merge(self, bars: DataFrame, order: Column | None = None) -> None:
-        """New rows win over old ones; among new copies of a key the highest `order` wins."""
-        order = F.lit(0) if order is None else order
+        """New rows win over old ones; among new copies of a key the highest `order` wins.
+
+        Without `order` it is the place of a row in `bars`, so the last copy
+        wins; a frame that has passed a shuffle has no such place and needs one.
+        """
+        order = F.monotonically_increasing_id() if order is None else order
         bars = cut_lineage(bars.withColumn("_o", order), "new-bars")
         new = bars.withColumn("_src", F.lit(1))
         if self._exists():
@@ -167,9 +171,13 @@ def write_jdbc(df: DataFrame, url: str, table: str, **options) -> None:
 
 
 def update_table(current: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """Bulk update: changed columns replace the current ones where the key exists."""
+    """Bulk update: changed columns replace the current ones where the key exists.
+
+    Of several changes of a key the last one in `changes` counts.
+    """
     cols = [c for c in changes.columns if c not in keys]
-    marked = changes.select(*keys, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_n_{c}") for c in cols])
+    last = keep_last(changes.withColumn("_o", F.monotonically_increasing_id()), keys, F.col("_o"), cols)
+    marked = last.select(*keys, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_n_{c}") for c in cols])
     out = current.join(marked, keys, "left")
     return out.select(
         *[

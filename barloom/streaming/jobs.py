@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
@@ -48,14 +48,17 @@ def to_files(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 # -- merge of incoming bars ----------------------------------------------
 
 
-def merge_bars(bars: DataFrame, store: BarStore, checkpoint: str) -> StreamingQuery:
+def merge_bars(bars: DataFrame, store: BarStore, checkpoint: str, order: Column | None = None) -> StreamingQuery:
     """Every micro-batch is merged into the store; the last write of a key wins.
 
+    `order` tells which of several rows of a key in one batch is the last (an
+    arrival time with a sequence number); by default their place in the batch.
+
     A repeated batch after a failure merges the same rows again and changes
     nothing.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
-        store.merge(batch)
+        store.merge(batch, order)
 
     return _start(bars, checkpoint, "append").foreachBatch(merge).start()
 

@@ -7,12 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.operators import constraints as con
-from barloom.operators import costs, ledger, metrics, models, rebalance, selection, weights
+from barloom.operators import costs, evaluation, indicators, ledger, metrics, models, rebalance, runs, selection, weights
 from barloom.operators import covariance as cv
 from barloom.operators import optimize as op
 from barloom.operators.quantiles import exact_quantiles
 from barloom.functions import rules
-from barloom.sources.store import BarStore
+from barloom.sources.results import FeatureStore, describe
+from barloom.sources.store import BarStore, update_table
 from barloom.session import scratch_path
 
 D = dt.date
@@ -111,11 +112,11 @@ def test_solver_infeasible_cap():
     assert np.allclose(w / w.sum(), 0.2)
 
 
-def test_solver_refuses_too_many_assets(spark):
+def test_solver_takes_any_number_of_assets(spark):
     mu = spark.range(501).select(F.lit(D(2024, 1, 1)).alias("as_of"), F.col("id").cast("string").alias("symbol"), F.lit(0.1).alias("mu"))
     cov = mu.select("as_of", F.col("symbol").alias("sym_i"), F.col("symbol").alias("sym_j"), F.lit(1.0).alias("cov"))
-    with pytest.raises(Exception, match="at most 500"):
-        op.optimize(mu, cov).collect()
+    w = op.optimize(mu, cov).toPandas()["weight"]
+    assert len(w) == 501 and w.sum() == pytest.approx(1.0)
 
 
 def test_metrics_of_one_series(spark):
@@ -142,7 +143,9 @@ def test_qq_points_use_the_inverse_normal(spark):
     assert np.allclose(q["theoretical"], [NormalDist().inv_cdf(p) for p in q["p"]])
 
 
-def test_ledger_for_any_chunk_size(spark):
+@pytest.mark.parametrize("block", [7, 1000])
+def test_ledger_for_any_block_size(spark, monkeypatch, block):
+    monkeypatch.setattr(runs.dealt, "__defaults__", (block,))
     rng = np.random.default_rng(9)
     n = 400
     rows = [("s", "x", D(2024, 1, 1) + dt.timedelta(days=i // 40), i, i // 13, "BUY" if b else "SELL", float(q), float(p))
@@ -157,9 +160,80 @@ def test_ledger_for_any_chunk_size(spark):
         else:
             real += (px - avg) * qty
             q -= qty
-    for chunk in ("date", "part"):
-        r = ledger.positions(df, chunk).first()
-        assert (r.quantity, r.avg_cost, r.realized_pnl) == (pytest.approx(q), pytest.approx(avg), pytest.approx(real))
+    # all orders of the second key on one day
+    crowd = df.union(df.select("strategy", F.lit("y"), F.lit(D(2024, 1, 1)), "seq", "part", "side", "quantity", "price"))
+    for r in ledger.positions(crowd).collect():
+        assert (r.quantity, r.avg_cost, r.realized_pnl) == (pytest.approx(q), pytest.approx(avg), pytest.approx(real)), r.symbol
+
+
+def test_sold_out_strategy_keeps_its_cash_row_and_no_deviation(spark):
+    rows = [("s", "x", D(2024, 1, 1), 1, "BUY", 10.0, 5.0), ("s", "x", D(2024, 1, 2), 2, "SELL", 10.0, 6.0), ("h", "x", D(2024, 1, 1), 1, "BUY", 10.0, 5.0)]
+    o = spark.createDataFrame(rows, "strategy string, symbol string, date date, seq int, side string, quantity double, price double")
+    p = ledger.positions(o)
+    out = {r.strategy: (r.cash_balance, r.positions_count) for r in ledger.summary(p, o, D(2024, 1, 2)).collect()}
+    assert out == {"s": (1_000_000.0, 0), "h": (999_950.0, 1)}
+    back = spark.createDataFrame([("x", 0.1)], "symbol string, backtest_return double")
+    assert [r.strategy for r in ledger.deviation(p, back).collect()] == ["h"]
+
+
+def test_drawdown_of_a_series_of_one_day(spark, monkeypatch):
+    monkeypatch.setattr(runs.dealt, "__defaults__", (16,))
+    ret = np.random.default_rng(4).normal(0, 0.02, 500)
+    df = spark.createDataFrame([("m", D(2024, 1, 1), i, float(r)) for i, r in enumerate(ret)], "model string, date date, seq int, y double").repartition(5)
+    v = np.cumprod(1 + ret)
+    want = (v / np.maximum.accumulate(v) - 1).min()
+    assert evaluation.series_drawdown(df, "y").first().max_drawdown == pytest.approx(want)
+
+
+def test_last_copy_of_a_key_in_a_batch_wins(spark):
+    for values in ((1.0, 2.0), (2.0, 1.0)):
+        s = BarStore(spark, scratch_path(spark, "t"))
+        batch = spark.createDataFrame([("a", D(2023, 1, 2), v) for v in values], "symbol string, date date, close double").coalesce(1)
+        s.merge(batch)
+        assert s.read().first().close == values[1]
+        s.merge(batch.withColumn("close", F.col("close") + 5), F.col("close"))
+        assert s.read().first().close == 7.0
+    changes = spark.createDataFrame([(1, "x"), (1, "y")], "id int, v string").coalesce(1)
+    assert [tuple(r) for r in update_table(spark.createDataFrame([(1, "o"), (2, "o")], "id int, v string"), changes, ["id"]).orderBy("id").collect()] == [(1, "y"), (2, "o")]
+
+
+def test_feature_versions_by_time_of_writing(spark):
+    s = FeatureStore(spark, scratch_path(spark, "t"))
+    f = spark.createDataFrame([("a", D(2023, 1, 2), 1.0), ("a", D(2023, 1, 2), 1.0)], "symbol string, date date, score double")
+    for v in ("9", "10", "010", "10"):
+        s.write(f, v)
+    assert sorted(r.feature_version for r in s.metadata().collect()) == ["010", "10", "9"]
+    assert s.read(version="010").count() == 2 and s.read(version="10").first().feature_version == "10"
+    assert [r.feature_version for r in s.clean(1).collect()] == ["10"] and s.read().count() == 2
+    one = describe(f.limit(1), "v", "raw").first().checksum
+    assert one != describe(f, "v", "raw").first().checksum
+
+
+def test_multi_class_scores_and_parameters(spark):
+    rows = [(D(2024, 1, 1) + dt.timedelta(days=i // 6), f"s{i % 6}", float(i % 3), None if i % 10 == 0 else float(i % 3), ("low", "mid", "top")[i % 3]) for i in range(300)]
+    df = spark.createDataFrame(rows, "date date, symbol string, x double, z double, name string").withColumn("target", F.col("x") - 1)
+    for label in ("name", "target"):
+        m = models.train(df, ["x", "z"], "multiclass", label=label, maxIter=5, maxDepth=3)
+        assert models.score(m, df, "multiclass", label) == 1.0
+        assert models.predict(m, df).count() == 300
+    cv = models.cross_validate(df, ["x"], "multiclass", folds=2, maxIter=3, maxDepth=2)
+    assert cv.scores == [1.0, 1.0]
+    best = models.grid_search(df, ["x"], {"maxDepth": [0, 2], "maxIter": [3]}, "multiclass", folds=2)
+    assert best[0].params["maxDepth"] == 2 and best[0].mean == 1.0
+    with pytest.raises(ValueError):
+        models.train(df, ["x"], "multiclass", label="name", stepSize=0.3)
+
+
+def test_auc_ranks_higher_first(spark):
+    wide = spark.createDataFrame([("a", 0.5), ("b", 0.9)], "model string, auc_hard double")
+    assert evaluation.rank_models(wide, ["auc_hard"]).where("rank = 1").first().model == "b"
+
+
+def test_far_apart_spans(spark):
+    pdf = pd.DataFrame({"symbol": "a", "date": pd.date_range("2000-01-01", periods=1500).date, "close": np.random.default_rng(1).normal(10, 1, 1500).cumsum()})
+    out = indicators.ema(spark.createDataFrame(pdf), (2, 12, 2000)).orderBy("date").toPandas()
+    for n in (2, 12, 2000):
+        assert np.allclose(out[f"ema_{n}"], pdf["close"].ewm(span=n, adjust=False).mean(), rtol=1e-9)
 
 
 def test_store_round_trip(spark):
