@@ -205,11 +205,8 @@ def run_backtest(
         # only the names selected on a date enter its solve
         rets = with_returns(prices).select("date", "symbol", F.col("returns").alias("ret"))
         as_of = base.select(F.col("date").alias("as_of")).distinct()
-        cov, mu = asof_moments(rets, as_of, window, blocks)
         picked = base.select(F.col("date").alias("as_of"), "symbol")
-        mu = mu.join(picked, ["as_of", "symbol"], "left_semi")
-        for side in ("sym_i", "sym_j"):
-            cov = cov.join(picked.withColumnRenamed("symbol", side), ["as_of", side], "left_semi")
+        cov, mu = asof_moments(rets, as_of, window, blocks, picked)
         solved = optimize(mu, cov, optimizer_rules, industry)
         base = post_process(
             solved.withColumnRenamed("as_of", "date"), industry, optimizer_rules.lower, optimizer_rules.upper,

@@ -130,9 +130,16 @@ def asof_frames(returns: DataFrame, as_of: DataFrame, window: int = 60) -> DataF
     return frames.join(ordered, "_ord").drop("_ord")
 
 
-def asof_moments(returns: DataFrame, as_of: DataFrame, window: int = 60, blocks: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(cov(as_of, sym_i, sym_j, cov), mu(as_of, symbol, mu)) of the last `window` dates."""
+def asof_moments(
+    returns: DataFrame, as_of: DataFrame, window: int = 60, blocks: int = 1, held: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(cov(as_of, sym_i, sym_j, cov), mu(as_of, symbol, mu)) of the last `window` dates.
+
+    `held` (as_of, symbol) names the symbols wanted on each date; no other pair is formed.
+    """
     framed = returns.select("date", "symbol", "ret").join(asof_frames(returns, as_of, window), "date")
+    if held is not None:
+        framed = framed.join(held.select("as_of", "symbol").distinct(), ["as_of", "symbol"], "left_semi")
     m = pair_moments(framed, ["as_of"], blocks, covariance=True)
     cov = m.select("as_of", "sym_i", "sym_j", F.coalesce("cov", F.lit(0.0)).alias("cov"))
     diag = F.col("sym_i") == F.col("sym_j")

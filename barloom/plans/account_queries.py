@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -14,7 +15,7 @@ from ..operators import selection as sl
 from ..operators import signals as sig
 from ..operators import stats as ss
 from ..operators import backtest as bt
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import business as bz
 from ..sources import results as rs
 from ..sources import tables as t
@@ -179,7 +180,9 @@ def agg_exists(spark, sf):
     return ss.exists_where(t.table(spark, sf, "orders"), {"o_totalprice": {"gt": 400000}})
 
 
-_TABLES = ["customer", "orders", "lineitem", "part", "supplier", "events", "documents"]
+_TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+).split()
 
 
 @query("agg_tablecounts", " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS rows FROM {n}" for n in _TABLES))
@@ -375,12 +378,15 @@ def _saved(spark, sf):
     """Each strategy of the returns book saved as one backtest."""
     s = rs.BacktestStore(spark, scratch_path(spark, "backtests"))
     r = t.returns_book(spark, sf)
-    allm = met.metrics(r)
-    for i, name in enumerate(("AF", "AO", "NF", "NO", "RF", "RO")):
-        own = r.where(F.col("strategy") == name)
-        pos = t.trades(spark, sf).where(F.col("symbol").endswith(str(i))).groupBy("symbol").agg(F.sum("quantity").alias("quantity"))
-        meta = {"name": name, "status": "completed" if i % 2 == 0 else "failed", "created_at": f"2024-01-0{i + 1}T00:00:00"}
-        s.save(f"bt{i}", meta, allm.where(F.col("strategy") == name), own, pos)
+    # one row per strategy
+    place = F.row_number().over(Window.orderBy("strategy")) - 1
+    ids = cut_lineage(r.select("strategy").distinct().withColumn("i", place), "ids").withColumn("backtest_id", F.concat(F.lit("bt"), "i"))
+    meta = ids.select(
+        "backtest_id", F.col("strategy").alias("name"), F.when(F.col("i") % 2 == 0, "completed").otherwise("failed").alias("status"),
+        F.format_string("2024-01-%02dT00:00:00", F.col("i") + 1).alias("created_at"), F.lit("{}").alias("config"))
+    named = lambda df: df.join(ids.select("strategy", "backtest_id"), "strategy")
+    held = t.table(spark, sf, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("strategy"), F.col("l_suppkey").alias("symbol"))
+    s.save_many(meta, named(met.metrics(r)), named(r), named(held.agg(F.sum("l_quantity").alias("quantity"))))
     return s
 
 

@@ -143,9 +143,9 @@ p3 AS (SELECT *, CASE WHEN volatility > 0 THEN (pow(1 + cumulative_return, 252.0
 
 @query(
     "met_period",
-    # the first weeks are annualized from a few days; keep the digits that carry meaning
+    # the first weeks are annualized from a few days; the ratio is compared by its leading digits
     sql("returns_book", extra=CURVE + "," + _PER_SQL, body="SELECT strategy, period, period_end, "
-        + qs([c for c in _PER if c != "sharpe_ratio"]) + ", " + q("sharpe_ratio", 3) + " FROM p3 WHERE n > 60"),
+        + qs([c for c in _PER if c != "sharpe_ratio"]) + ", " + "format('{:.4e}', sharpe_ratio::DOUBLE) AS sharpe_ratio FROM p3"),
     dates="period_end",
 )
 def met_period(spark, sf):
@@ -154,10 +154,8 @@ def met_period(spark, sf):
     for p in _PER_END:
         m = met.period_metrics(r, p).withColumn("period", F.lit(p))
         out = m if out is None else out.unionByName(m)
-    first = r.groupBy("strategy").agg(F.sort_array(F.collect_set("date")).alias("d"))
-    # the check starts with the 61st day of each strategy
-    out = out.join(first.select("strategy", F.col("d")[60].alias("d60")), "strategy").where("period_end >= d60")
-    return rounded(out, ["strategy", "period", "period_end"], {c: 3 if c == "sharpe_ratio" else 6 for c in _PER})
+    text = F.format_string("%.4e", F.col("sharpe_ratio").cast("double")).alias("sharpe_ratio")
+    return rounded(out, ["strategy", "period", "period_end", text], [c for c in _PER if c != "sharpe_ratio"])
 
 
 _MON = [f"m{m:02d}" for m in range(1, 13)]

@@ -37,10 +37,10 @@ def fsql(body: str, extra: str = "") -> str:
     return sql("bars_brand", extra=FT + ", " + FI + (", " + extra if extra else ""), body=body)
 
 
-@dated("fp_raw", sql("bars_brand", extra=FT + ", big AS (SELECT symbol FROM bars_brand GROUP BY 1 HAVING count(*) >= 1530)",
+@dated("fp_raw", sql("bars_brand", extra=FT + ", big AS (SELECT symbol FROM bars_brand GROUP BY 1 HAVING count(*) >= 30)",
                      body=f"SELECT symbol, date, {qs(COLS, 5)} FROM ft WHERE symbol IN (SELECT symbol FROM big)"))
 def fp_raw(spark, sf):
-    df = fp.raw_features(t.bars_brand(spark, sf), 1530, families=("rsi", "boll", "williams", "volume_ma"))
+    df = fp.raw_features(t.bars_brand(spark, sf), 30, families=("rsi", "boll", "williams", "volume_ma"))
     return rounded(df, K, COLS, 5)
 
 
@@ -192,26 +192,23 @@ def _train_test(spark, sf, kind="return"):
     return df.where("split = 'train'"), df.where("split = 'test'"), cols
 
 
-SMALL = {"maxIter": 5, "maxDepth": 3}
-
-
 # tree models have no SQL form: rows only, with invariants in the tests
 @dated("ml_train")
 def ml_train(spark, sf):
     tr, te, cols = _train_test(spark, sf)
-    return rounded(ml.predict(ml.train(tr, cols, **SMALL), te), K, ["target", "prediction"])
+    return rounded(ml.predict(ml.train(tr, cols), te), K, ["target", "prediction"])
 
 
 @dated("ml_predict")
 def ml_predict(spark, sf):
     tr, te, cols = _train_test(spark, sf, "direction")
-    return rounded(ml.predict(ml.train(tr, cols, "binary", **SMALL), te), K, ["target", "prediction"])
+    return rounded(ml.predict(ml.train(tr, cols, "binary"), te), K, ["target", "prediction"])
 
 
 @dated("ml_proba")
 def ml_proba(spark, sf):
     tr, te, cols = _train_test(spark, sf, "direction")
-    p = ml.predict_proba(ml.train(tr, cols, "binary", **SMALL), te)
+    p = ml.predict_proba(ml.train(tr, cols, "binary"), te)
     return rounded(p.withColumn("proba_up", F.col("proba")[1]), K, ["proba_up"])
 
 
@@ -222,28 +219,28 @@ def ml_labels(spark, sf):
     """Text labels encoded for training and decoded in the prediction."""
     tr, te, cols = _train_test(spark, sf)
     name = F.when(F.col("target") > 0.1, "up").when(F.col("target") < -0.1, "down").otherwise("flat")
-    m = ml.train(tr.withColumn("cls", name), cols, "multiclass", label="cls", **SMALL)
+    m = ml.train(tr.withColumn("cls", name), cols, "multiclass", label="cls")
     return ml.predict(m, te).select(*K, F.col("predicted_label").isin("up", "down", "flat").alias("known_label"))
 
 
 @query("ml_importance")
 def ml_importance(spark, sf):
     tr, _, cols = _train_test(spark, sf)
-    return rounded(ml.importance_table(spark, ml.train(tr, cols, **SMALL), cols), ["feature"], ["importance"])
+    return rounded(ml.importance_table(spark, ml.train(tr, cols), cols), ["feature"], ["importance"])
 
 
 @query("srt_importance")
 def srt_importance(spark, sf):
     """The five most important features."""
     tr, _, cols = _train_test(spark, sf)
-    top = ml.importance_table(spark, ml.train(tr, cols, **SMALL), cols).limit(5)
+    top = ml.importance_table(spark, ml.train(tr, cols), cols).limit(5)
     return rounded(top, ["feature"], ["importance"])
 
 
 @query("ml_tscv")
 def ml_tscv(spark, sf):
     tr, _, cols = _train_test(spark, sf)
-    cv = ml.cross_validate(tr, cols, folds=2, **SMALL)
+    cv = ml.cross_validate(tr, cols, maxIter=20)
     return spark.createDataFrame([(i + 1, float(s), cv.mean, cv.std) for i, s in enumerate(cv.scores)],
                                  "fold int, score double, mean double, std double")
 
@@ -251,7 +248,7 @@ def ml_tscv(spark, sf):
 @query("ml_grid")
 def ml_grid(spark, sf):
     tr, _, cols = _train_test(spark, sf)
-    runs = ml.grid_search(tr, cols, {"maxDepth": [2, 3], "maxIter": [3]}, folds=2)
+    runs = ml.grid_search(tr, cols, {"maxDepth": [3, 6], "maxIter": [20]})
     return spark.createDataFrame([(i + 1, r.params["maxDepth"], r.params["maxIter"], r.mean) for i, r in enumerate(runs)],
                                  "rank int, max_depth int, max_iter int, score double")
 
@@ -270,7 +267,7 @@ def ml_persist(spark, sf):
     from ..sources.results import ModelRegistry
 
     tr, te, cols = _train_test(spark, sf)
-    m = ml.train(tr, cols, **SMALL)
+    m = ml.train(tr, cols)
     reg = ModelRegistry(spark, scratch_path(spark, "models"))
     reg.save("gbt", m, "gbt_regressor", {"r2": ml.score(m, te, "regression")}, created="2024-01-01T00:00:00")
     a = ml.predict(m, te).select(*K, F.col("prediction").alias("p"))
@@ -299,20 +296,16 @@ def ev_basic(spark, sf):
     return rounded(ev.basic(t.predictions(spark, sf)), ["model", "sample_count"], ev.BASIC)
 
 
-_PNZ = "pn AS (SELECT * FROM predictions WHERE model <> 'AO' OR y_true <> 0)"
+_PNZ = "pn AS (SELECT * FROM predictions)"
 _REG = """rg AS (SELECT model, avg(e * e) AS mse, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, 1 - avg(e * e) / var_pop(y_true) AS r2,
  CASE WHEN NOT bool_or(y_true = 0) THEN avg(abs(e / nullif(y_true, 0))) END AS mape, 1 - var_pop(e) / var_pop(y_true) AS explained_variance, max(abs(e)) AS max_error,
  quantile_cont(abs(e), 0.5) AS median_absolute_error, avg(e) AS mean_bias, sqrt(avg(e * e)) / stddev_pop(y_true) AS normalized_rmse
  FROM (SELECT *, y_pred - y_true AS e FROM pn) GROUP BY model)"""
 
 
-def _nz(spark, sf):
-    return t.predictions(spark, sf).where((F.col("model") != "AO") | (F.col("y_true") != 0))
-
-
 @query("ev_reg", sql("predictions", extra=f"{_PNZ}, {_REG}", body=f"SELECT model, {qs(ev.REGRESSION)} FROM rg"))
 def ev_reg(spark, sf):
-    return rounded(ev.regression(_nz(spark, sf)), ["model"], ev.REGRESSION)
+    return rounded(ev.regression(t.predictions(spark, sf)), ["model"], ev.REGRESSION)
 
 
 def _class_sql(k: int) -> tuple[str, str]:
@@ -375,13 +368,13 @@ rr AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY CASE WHEN metri
 
 @query("ev_rank", sql("predictions", extra=f"{_PNZ}, {_REG}, {_RK}", body=f"""SELECT model, metric, CAST(rank AS INTEGER) AS rank, {qs(['value', 'mean', 'std', 'min', 'max'])} FROM rr"""))
 def ev_rank(spark, sf):
-    r = ev.rank_models(ev.regression(_nz(spark, sf)), _RM)
+    r = ev.rank_models(ev.regression(t.predictions(spark, sf)), _RM)
     return rounded(r, ["model", "metric", "rank"], ["value", "mean", "std", "min", "max"])
 
 
 @query("ev_rank_overall", sql("predictions", extra=f"{_PNZ}, {_REG}, {_RK}", body=f"SELECT model, {q('avg(rank)', 6, 'mean_rank')} FROM rr GROUP BY model"))
 def ev_rank_overall(spark, sf):
-    return rounded(ev.overall_ranking(ev.rank_models(ev.regression(_nz(spark, sf)), _RM)), ["model"], ["mean_rank"])
+    return rounded(ev.overall_ranking(ev.rank_models(ev.regression(t.predictions(spark, sf)), _RM)), ["model"], ["mean_rank"])
 
 
 @dated("win_rollacc", sql("predictions", extra="""

@@ -122,12 +122,11 @@ def wgt_transform(spark, sf):
     return rounded(wt.transform(_signals(spark, sf)), K, ["weight"])
 
 
-_IND = "wi AS (SELECT w.symbol, w.date, w.weight, coalesce(i.industry, 'Unknown') AS industry FROM wt w LEFT JOIN (SELECT * FROM industries WHERE industry <> 'FRANCE') i USING (symbol))"
+_IND = "wi AS (SELECT w.symbol, w.date, w.weight, coalesce(i.industry, 'Unknown') AS industry FROM wt w LEFT JOIN industries i USING (symbol))"
 
 
 def _industry(spark, sf):
-    """One industry is left out, so that some names fall under `Unknown`."""
-    return t.industries(spark, sf).where("industry != 'FRANCE'")
+    return t.industries(spark, sf)
 
 
 @dated("jn_lookup_industry", isql(extra=f"{WEIGHTS}, {_IND}", body=f"SELECT symbol, date, industry, {q('weight')} FROM wi"))
@@ -328,9 +327,10 @@ def _asof(rets, months=6):
     return rets.where(F.month("date") % months == 0).select(F.col("date").alias("as_of")).distinct()
 
 
-_FRAMES = """dd AS (SELECT date, row_number() OVER (ORDER BY date) AS o FROM (SELECT DISTINCT date FROM rt)),
-fr AS (SELECT a.date AS as_of, d.date FROM dd a JOIN dd d ON d.o BETWEEN a.o - 59 AND a.o WHERE month(a.date) % 6 = 0),
+_FRAMES_OF = """dd AS (SELECT date, row_number() OVER (ORDER BY date) AS o FROM (SELECT DISTINCT date FROM rt)),
+fr AS (SELECT a.date AS as_of, d.date FROM dd a JOIN dd d ON d.o BETWEEN a.o - 59 AND a.o WHERE month(a.date) % {n} = 0),
 fx AS (SELECT fr.as_of, rt.* FROM fr JOIN rt USING (date))"""
+_FRAMES, _MONTHLY = _FRAMES_OF.replace("{n}", "6"), _FRAMES_OF.replace("{n}", "1")
 
 
 @query("agg_covar", psql(extra=f"{RET}, {_FRAMES}", body=f"""
@@ -343,10 +343,10 @@ def agg_covar(spark, sf):
     return rounded(cov, ["as_of", "sym_i", "sym_j"], ["cov"])
 
 
-@query("agg_expret", psql(extra=f"{RET}, {_FRAMES}", body=f"SELECT as_of, symbol, {q('avg(ret)', 6, 'mu')} FROM fx GROUP BY 1, 2"), dates="as_of")
+@query("agg_expret", psql(extra=f"{RET}, {_MONTHLY}", body=f"SELECT as_of, symbol, {q('avg(ret)', 6, 'mu')} FROM fx GROUP BY 1, 2"), dates="as_of")
 def agg_expret(spark, sf):
     r = _returns(spark, sf)
-    _, mu = cv.asof_moments(r, _asof(r), 60)
+    _, mu = cv.asof_moments(r, _asof(r, 1), 60)
     return rounded(mu, ["as_of", "symbol"], ["mu"])
 
 
@@ -368,7 +368,7 @@ def met_corrmatrix(spark, sf):
 _KPI = ["expected_return", "volatility", "sharpe_ratio"]
 
 
-@query("agg_portkpi", psql(extra=f"{WEIGHTS}, {RET}, {_FRAMES}" + """,
+@query("agg_portkpi", psql(extra=f"{WEIGHTS}, {RET}, {_MONTHLY}" + """,
 ww AS (SELECT date AS as_of, symbol, weight FROM wt), mu AS (SELECT as_of, symbol, avg(ret) AS mu FROM fx GROUP BY 1, 2),
 cw AS (SELECT a.as_of, a.symbol AS i, b.symbol AS j, coalesce(covar_samp(a.ret, b.ret), 0) AS c FROM fx a JOIN fx b ON a.as_of = b.as_of AND a.date = b.date GROUP BY 1, 2, 3),
 c2 AS (SELECT * REPLACE (CASE WHEN i = j AND c <= 0 THEN 1e-4 ELSE c END AS c) FROM cw),
@@ -377,8 +377,8 @@ vr AS (SELECT w.as_of, sum(w.weight * v.weight * c) AS v FROM ww w JOIN c2 ON w.
     body=f"SELECT as_of, n_positions, {qs(_KPI)} FROM (SELECT *, sqrt(v) AS volatility, expected_return / sqrt(v) AS sharpe_ratio FROM er JOIN vr USING (as_of))"), dates="as_of")
 def agg_portkpi(spark, sf):
     r = _returns(spark, sf)
-    cov, mu = cv.asof_moments(r, _asof(r), 60)
     w = wt.transform(_signals(spark, sf)).withColumnRenamed("date", "as_of")
+    cov, mu = cv.asof_moments(r, _asof(r, 1), 60, held=w.where("weight != 0"))
     return rounded(cv.portfolio_kpi(w, mu, cov), ["as_of", "n_positions"], _KPI)
 
 

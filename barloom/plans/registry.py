@@ -12,6 +12,8 @@ from functools import partial, wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
@@ -25,6 +27,7 @@ def query(name: str, sql: str | None = None, dates: str = ""):
 
         @wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
             df = fn(spark, sf_dir)
             return df.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in cols}) if cols else df
 

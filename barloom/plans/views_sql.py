@@ -32,7 +32,7 @@ VIEWS = {
   FROM events GROUP BY 1, 2""",
     "industries": """
   SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS symbol, n_name AS industry
-  FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal >= 0""",
     "returns_book": """
   SELECT l_returnflag || l_linestatus AS strategy, CAST(l_shipdate AS DATE) AS date,
          round(avg(l_discount) - 0.05, 8) AS ret

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -33,18 +34,42 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8) -> SparkSess
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's checkpoint folder.
 
-    Only where the session names none (tests, one machine) a temporary folder
-    is made and recorded in the session, so later calls find the same one.
+    Only where the session names none and runs on one machine (tests) a
+    temporary folder is made and recorded in the session, so later calls find
+    the same one; on a cluster it would be another folder on each machine.
     """
     base = spark.conf.get(CHECKPOINT_CONF, None)
     if not base:
         base = spark.conf.get(LOCAL_CONF, None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="barloom-")
         spark.conf.set(LOCAL_CONF, base)
     return base
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per Spark application.
+
+    Python workers import what a task names; on a cluster, or when the driver
+    runs in another folder, the package is not on their path.
+    """
+    sc = spark.sparkContext
+    name = f"barloom-{sc.applicationId}.zip"
+    if any(f.endswith(name) for f in sc.listFiles):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="barloom-ship-"), name)
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("barloom", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder."""
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")

@@ -147,6 +147,14 @@ class BacktestStore:
                 .option("partitionOverwriteMode", "dynamic").partitionBy("backtest_id").parquet(f"{self.path}/{table}")
             )
 
+    def save_many(self, meta: DataFrame, metric_rows: DataFrame, returns: DataFrame, positions: DataFrame) -> None:
+        """Any number of backtests in one write per table; every frame carries `backtest_id`."""
+        for table, df in (("meta", meta), ("metrics", metric_rows), ("returns", returns), ("positions", positions)):
+            (
+                df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                .partitionBy("backtest_id").parquet(f"{self.path}/{table}")
+            )
+
     def table(self, name: str) -> DataFrame:
         # ids stay text even when all of them look like numbers
         df = self.spark.read.parquet(f"{self.path}/{name}")

@@ -107,8 +107,8 @@ def bars_event(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def industries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(symbol, industry): supplier nation."""
-    s = table(spark, sf_dir, "supplier")
+    """(symbol, industry): nation of the suppliers that are not in debt; the others have no known industry."""
+    s = table(spark, sf_dir, "supplier").where("s_acctbal >= 0")
     n = table(spark, sf_dir, "nation")
     return s.join(n, s.s_nationkey == n.n_nationkey).select(
         F.lpad(F.col("s_suppkey").cast("string"), 6, "0").alias("symbol"),
