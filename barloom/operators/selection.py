@@ -107,14 +107,20 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 
 def select_query(
-    df: DataFrame, sort_by: str = "date", ascending: bool = True, include_volume: bool = True,
-    include_amount: bool = False, limit: int = 1000,
+    df: DataFrame, sort_by: str = "date", ascending: bool = False, include_volume: bool = True,
+    include_amount: bool = True, limit: int = 1000, offset: int = 0, symbols: list[str] | None = None, start=None, end=None,
 ) -> DataFrame:
-    """Bars ordered by a chosen column, with optional columns."""
+    """Bars ordered by a chosen column, with optional columns, from `offset` on; at most 10,000 rows."""
     allowed = {"date", "open", "high", "low", "close", "volume"}
     if sort_by not in allowed:
         raise ValueError(f"cannot sort by {sort_by}")
     cols = ["symbol", "date", "open", "high", "low", "close"]
     cols += ["volume"] * include_volume + ["amount"] * include_amount
     key = F.col(sort_by).asc() if ascending else F.col(sort_by).desc()
-    return df.orderBy(key, "symbol", "date").select(*cols).limit(limit)
+    if symbols is not None:
+        df = df.where(F.col("symbol").isin(symbols))
+    if start is not None:
+        df = df.where(F.col("date") >= F.lit(start))
+    if end is not None:
+        df = df.where(F.col("date") <= F.lit(end))
+    return df.orderBy(key, "symbol", "date").select(*cols).offset(max(offset, 0)).limit(min(max(limit, 1), 10_000))

@@ -68,15 +68,25 @@ def register_strategy(name: str, fn) -> None:
     STRATEGIES[name] = fn
 
 
-def run_strategies(bars: DataFrame, names, params: dict[str, dict] | None = None) -> DataFrame:
-    """Signals of several strategies over one universe, in one table."""
+def run_strategies(bars: DataFrame, names, params: dict[str, dict] | None = None, failures: dict[str, Exception] | None = None) -> DataFrame:
+    """Signals of several strategies over one universe, in one table.
+
+    With `failures` a strategy that cannot be built leaves its error there and
+    stops no other; without any signals the table is empty.
+    """
     params = params or {}
-    out = None
+    out = bars.select(F.lit("").alias("strategy"), "symbol", "date", "close", F.lit(0).alias("signal")).limit(0)
     for n in names:
-        s = STRATEGIES[n](bars, **params.get(n, {})).select(
-            F.lit(n).alias("strategy"), "symbol", "date", "close", "signal"
-        )
-        out = s if out is None else out.unionByName(s)
+        try:
+            s = STRATEGIES[n](bars, **params.get(n, {})).select(
+                F.lit(n).alias("strategy"), "symbol", "date", "close", F.col("signal").cast("int").alias("signal")
+            )
+        except Exception as e:
+            if failures is None:
+                raise
+            failures[n] = e
+            continue
+        out = out.unionByName(s)
     return out
 
 

@@ -13,6 +13,10 @@ from ..operators.quality import keep_last
 from ..session import cut_lineage
 
 
+BARS = "symbol string, date date, open double, high double, low double, close double, volume double, amount double, year int"
+STATS = "total_files long, total_size_mb double, symbols_count long, total_records long, first_year int, last_year int"
+
+
 @dataclass
 class BarStore:
     """Bars under one path.
@@ -31,6 +35,12 @@ class BarStore:
         fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         return fs.exists(p)
 
+    def _table(self) -> DataFrame:
+        """All years; no rows where nothing has been written yet."""
+        if not self._exists():
+            return self.spark.createDataFrame([], BARS)
+        return self.spark.read.parquet(self.path)
+
     def _write(self, df: DataFrame, mode: str) -> None:
         # range partitioning splits a large symbol or year over many files of
         # like size, and gives row groups narrow symbol ranges to prune by
@@ -53,7 +63,7 @@ class BarStore:
         end: dt.date | None = None, columns: list[str] | None = None,
     ) -> DataFrame:
         """Bars of many symbols in one scan; either bound alone prunes years too."""
-        df = self.spark.read.parquet(self.path)
+        df = self._table()
         if start is not None:
             df = df.where((F.col("year") >= start.year) & (F.col("date") >= F.lit(start)))
         if end is not None:
@@ -101,7 +111,9 @@ class BarStore:
 
         A year that held nothing else keeps no file: its partition is removed.
         """
-        df = self.spark.read.parquet(self.path)
+        if not self._exists():
+            return
+        df = self._table()
         hit = F.col("symbol") == symbol
         if year is not None:
             hit = hit & (F.col("year") == year)
@@ -116,11 +128,13 @@ class BarStore:
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
     def symbols(self) -> DataFrame:
-        return self.spark.read.parquet(self.path).select("symbol").distinct().orderBy("symbol")
+        return self._table().select("symbol").distinct().orderBy("symbol")
 
     def stats(self) -> DataFrame:
         """Files, megabytes, symbols and years, without reading price columns."""
-        df = self.spark.read.parquet(self.path)
+        if not self._exists():
+            return self.spark.createDataFrame([(0, 0.0, 0, 0, None, None)], STATS)
+        df = self._table()
         files = df.select(
             F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("b"), "symbol", "year"
         )

@@ -39,9 +39,8 @@ def test_ewm_of_a_long_series(spark, span):
     assert np.allclose(out["e"], want, rtol=1e-9, atol=1e-9)
 
 
-def test_spans_that_differ_too_much(bars20):
-    with pytest.raises(ValueError):
-        ind.ema(bars20, (2, 2000))
+def test_spans_that_share_no_block_are_grouped(spark):
+    assert ind._span_groups((2, 12, 26, 2000)) == [[2000], [26, 12, 2]]
 
 
 def test_unknown_family(bars20):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.operators import constraints as con
-from barloom.operators import costs, evaluation, indicators, ledger, metrics, models, rebalance, runs, selection, weights
+from barloom.operators import costs, evaluation, indicators, ledger, metrics, models, rebalance, runs, selection, signals, weights
 from barloom.operators import covariance as cv
 from barloom.operators import optimize as op
 from barloom.operators.quantiles import exact_quantiles
@@ -197,6 +197,22 @@ def test_last_copy_of_a_key_in_a_batch_wins(spark):
     assert [tuple(r) for r in update_table(spark.createDataFrame([(1, "o"), (2, "o")], "id int, v string"), changes, ["id"]).orderBy("id").collect()] == [(1, "y"), (2, "o")]
 
 
+def test_store_without_files(spark):
+    s = BarStore(spark, scratch_path(spark, "t"))
+    s.delete("a")
+    assert s.read(["a"], D(2023, 1, 1)).count() == s.symbols().count() == 0
+    assert s.stats().first().total_records == 0
+
+
+def test_a_failing_strategy_stops_no_other(spark):
+    bars = spark.createDataFrame([("a", D(2023, 1, 2), 1.0)], "symbol string, date date, close double")
+    failures = {}
+    out = signals.run_strategies(bars, ["momentum", "nope", "rsi"], {"rsi": {"no_such": 1}}, failures)
+    assert set(failures) == {"nope", "rsi"} and {r.strategy for r in out.collect()} <= {"momentum"}
+    with pytest.raises(KeyError):
+        signals.run_strategies(bars, ["nope"])
+
+
 def test_feature_versions_by_time_of_writing(spark):
     s = FeatureStore(spark, scratch_path(spark, "t"))
     f = spark.createDataFrame([("a", D(2023, 1, 2), 1.0), ("a", D(2023, 1, 2), 1.0)], "symbol string, date date, score double")
