@@ -5,7 +5,7 @@ projection is one sorted array. Around a query's own projection a window opens
 in each array and is widened by a constant factor (virtual rehashing: no table
 is built anew). A vector collides once per window that holds it; vectors whose
 collisions pass the threshold are verified with the true inner product. A
-block is done when enough of its vectors have been verified.
+block is done when enough of its vectors have passed.
 
 Inner products are searched as distances: with M the largest norm, x becomes
 (x, sqrt(M^2 - |x|^2)) and a query (q, 0), whose nearest vectors are those of
@@ -26,15 +26,17 @@ from ..session import cut_lineage
 
 #: Vectors of a block, and queries that visit it together.
 BLOCK = 8192
-QUERIES = 512
+QUERIES = 1024
 PROJECTIONS = 128
+#: Stretches into which a sorted array is cut.
+CUTS = 128
 #: Share of the projections in which a vector must collide.
 COLLISIONS = 0.5
 #: Vectors of a block to verify before its search ends: a share of them, and so many for each neighbour wanted.
 VERIFY = 0.1
 SPARE = 12
 #: First half-width of the windows in units of the largest norm, and the factor of each widening.
-FIRST, WIDEN = 0.6, 1.08
+FIRST, WIDEN = 0.65, 1.06
 SEED = 20
 
 
@@ -43,46 +45,98 @@ def projections(dim: int, count: int = PROJECTIONS, seed: int = SEED) -> np.ndar
 
 
 class BlockIndex:
-    """Sorted projections of one block of vectors."""
+    """Sorted projections of one block of vectors.
+
+    Each sorted array is cut into stretches of like size. For every cut the
+    vectors below it are kept as a bitmap, so that a window between two cuts is
+    the difference of two bitmaps. Cuts are values: equal projections are never
+    parted, and so equal vectors collide alike.
+    """
 
     def __init__(self, vectors: np.ndarray, planes: np.ndarray, norm: float):
         x = vectors.astype(np.float64)
         lift = np.sqrt(np.maximum(norm * norm - np.einsum("ij,ij->i", x, x), 0))
         at = np.hstack((x, lift[:, None])) @ planes
-        order = np.argsort(at, axis=0, kind="stable").T
-        # the sorted arrays lie behind each other, each moved beyond the one before it, so one search serves them all
+        self.norm, self.n, lanes = norm, len(x), planes.shape[1]
         self.reach = 2 * float(np.abs(at).max(initial=0)) + 1
-        self.shift = np.arange(len(order)) * 2 * self.reach
-        self.at = (np.take_along_axis(at.T, order, axis=1) + self.shift[:, None]).ravel()
-        self.order = order.ravel()
-        self.norm, self.n = norm, len(x)
-
-    def search(self, queries: np.ndarray, planes: np.ndarray, wanted: int, share: float = COLLISIONS, verify: float = VERIFY) -> Iterator[np.ndarray]:
-        """Rows of the block to verify for each query."""
-        count = planes.shape[1]
+        cuts = np.sort(at, axis=0)[np.arange(CUTS) * self.n // CUTS]
+        cuts[0] = -self.reach
+        self.cuts = np.vstack((cuts, np.full(lanes, self.reach)))
+        self.below = np.empty((lanes, CUTS + 1, -(-self.n // 64)), np.uint64)
+        rows = np.arange(self.n)
+        for j in range(lanes):
+            mine = np.zeros((CUTS + 1, self.below.shape[2] * 64), bool)
+            mine[np.searchsorted(self.cuts[:, j], at[:, j], "right"), rows] = True
+            np.bitwise_or.accumulate(np.packbits(mine, axis=1).view(np.uint64), axis=0, out=self.below[j])
+
+    def _window(self, marks: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
+        """The cuts around marks -+ half, in each lane."""
+        shift = np.arange(marks.shape[1]) * 4 * self.reach
+        flat = (self.cuts + shift).T.ravel()
+        first = np.arange(marks.shape[1]) * (CUTS + 1)
+        low = np.searchsorted(flat, np.maximum(marks - half, -self.reach) + shift, "right") - first - 1
+        high = np.searchsorted(flat, np.minimum(marks + half, self.reach * 0.999) + shift, "right") - first
+        return low, high
+
+    def search(self, queries: np.ndarray, planes: np.ndarray, wanted: int, share: float = COLLISIONS, verify: float = VERIFY) -> Iterator[tuple[int, np.ndarray]]:
+        """(query, rows of the block to verify) for each query, in no set order."""
+        lanes = planes.shape[1]
         need = min(self.n, SPARE * wanted + int(np.ceil(verify * self.n)))
-        limit = max(1, int(np.ceil(share * count)))
+        limit = max(1, int(np.ceil(share * lanes)))
         marks = np.hstack((queries.astype(np.float64), np.zeros((len(queries), 1)))) @ planes
-        first = np.arange(count) * self.n
-        for mark in marks:
-            hits = np.zeros(self.n, np.int64)
-            mark = np.clip(mark, -self.reach / 2, self.reach / 2)
-            low = high = np.searchsorted(self.at, mark + self.shift)
-            half = FIRST * self.norm
-            while True:
-                wide = min(half, self.reach / 2)
-                new_low = np.searchsorted(self.at, mark - wide + self.shift, "left")
-                new_high = np.searchsorted(self.at, mark + wide + self.shift, "right")
-                begin, end = np.concatenate((new_low, high)), np.concatenate((low, new_high))
-                size = end - begin
-                rows = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
-                hits += np.bincount(self.order[rows], minlength=self.n)
-                low, high = new_low, new_high
-                found = np.flatnonzero(hits >= limit)
-                if len(found) >= need or ((low == first) & (high == first + self.n)).all():
-                    break
-                half *= WIDEN
-            yield found
+        marks = np.clip(marks, -self.reach / 2, self.reach / 2)
+        open_, half = np.arange(len(queries)), FIRST * self.norm
+        while len(open_):
+            low, high = self._window(marks[open_], half)
+            found = at_least((self.below[j][high[:, j]] & ~self.below[j][low[:, j]] for j in range(lanes)), limit)
+            done = (np.bitwise_count(found).sum(axis=1) >= need) | ((low == 0) & (high == CUTS)).all(axis=1)
+            for q in np.flatnonzero(done).tolist():
+                yield int(open_[q]), np.flatnonzero(np.unpackbits(found[q].view(np.uint8), count=self.n))
+            open_, half = open_[~done], half * WIDEN
+
+
+def at_least(bitmaps: Iterable[np.ndarray], limit: int) -> np.ndarray:
+    """Bits that are set in at least `limit` of the bitmaps, counted bit by bit for a word at a time."""
+    levels: list[list[np.ndarray]] = [[]]
+    for b in bitmaps:
+        levels[0].append(b)
+        k = 0
+        while len(levels[k]) == 3:  # three words of one weight: their sum, and their carry of twice the weight
+            x, y, z = levels[k]
+            both = x ^ y
+            levels[k] = [both ^ z]
+            if k + 1 == len(levels):
+                levels.append([])
+            levels[k + 1].append((x & y) | (both & z))
+            k += 1
+    k = 0
+    while k < len(levels):
+        if len(levels[k]) == 2:
+            x, y = levels[k]
+            levels[k] = [x ^ y]
+            if k + 1 == len(levels):
+                levels.append([])
+            levels[k + 1].append(x & y)
+        if len(levels[k]) == 3:
+            x, y, z = levels[k]
+            both = x ^ y
+            levels[k] = [both ^ z]
+            if k + 1 == len(levels):
+                levels.append([])
+            levels[k + 1].append((x & y) | (both & z))
+        k += 1
+    zero = np.zeros_like(next(x[0] for x in levels if x))
+    digits = [x[0] if x else zero for x in levels]
+    if limit >> len(digits):
+        return zero
+    more, same = zero, ~zero
+    for k in reversed(range(len(digits))):
+        if limit >> k & 1:
+            same = same & digits[k]
+        else:
+            more = more | (same & digits[k])
+            same = same & ~digits[k]
+    return more | same
 
 
 def _usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -140,8 +194,12 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec
                 q = np.frombuffer(r["query_vectors"]).reshape(len(q_ids), r["dim"])
                 tree = BlockIndex(base, planes, norm)
                 out: list[tuple] = []
-                for one, vector, found in zip(q_ids, q, tree.search(q, planes, k + 1, verify=verify)):
+                for at, found in tree.search(q, planes, k + 1, verify=verify):
+                    one, vector = q_ids[at], q[at]
                     found = found[ids[found] != one]
+                    close = base[found] @ vector
+                    if len(found) > k:  # all that rounding could still bring to the front
+                        found = found[close >= np.partition(close, -k)[-k] - 1e-9 * norm * norm]
                     scores = (base[found] * vector).sum(axis=1)
                     top = np.lexsort((ids[found], -scores))[:k]
                     out.append((np.full(len(top), one), ids[found][top], scores[top]))
