@@ -27,7 +27,7 @@ def free_name(df: DataFrame, label: str) -> str:
     return label
 
 
-def text_runs(batches: Iterable[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def text_runs(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches whose texts hold about `limit` characters (one row at least), with those texts."""
     for batch in batches:
         texts = [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]

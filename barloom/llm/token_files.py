@@ -39,7 +39,7 @@ SKIPPABLE_TABLE, SKIPPABLE_SEEK, SEEKABLE, HAS_CHECKSUM = 0x184D2A50, 0x184D2A5E
 #: Bytes of ids after which a frame is closed; a document is never cut.
 FRAME_BYTES = 1 << 20
 LEVEL = 1
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 _DOC = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("frame", "<u4"), ("at", "<u8"), ("n", "<u8")])
 _SEEK = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
@@ -220,7 +220,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: in
         encode = encoder(spec).encode
         path = f"{folder}/shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.zst"
         out, tokens = None, 0
-        for batch, texts in text_runs(batches, "text", 4 << 20):
+        for batch, texts in text_runs(batches, "text", 8 << 20):
             out = out or ShardWriter(path)
             for k, ids in zip(batch.column(0).to_pylist(), encode(texts)):
                 out.add(k, ids + end)
