@@ -8,12 +8,10 @@ exchange by strategy: the running columns and the aggregates share it.
 from __future__ import annotations
 
 import math
-from statistics import NormalDist
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from ..functions.guards import by_date, div, running, trailing, with_group_stats
 
@@ -283,10 +281,35 @@ def box(returns: DataFrame, key: str = "strategy") -> DataFrame:
     )
 
 
-@F.pandas_udf(DoubleType())
-def _normal_quantile(p: pd.Series) -> pd.Series:
-    nd = NormalDist()
-    return p.map(nd.inv_cdf)
+# Coefficients of Acklam's rational approximation of the inverse
+# normal distribution (relative error below 1.2e-9), highest power first.
+_CENTRE = (
+    (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00),
+    (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0),
+)
+_TAIL = (
+    (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00),
+    (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0),
+)
+_TAIL_FROM = 0.02425
+
+
+def normal_quantile(p: str) -> str:
+    """SQL text of the inverse normal distribution at the expression `p`, for Spark and DuckDB."""
+
+    def poly(coefficients, x: str) -> str:
+        return reduce(lambda acc, k: f"({acc} * {x} + {k:.17e})", coefficients[1:], f"{coefficients[0]:.17e}")
+
+    def tail(x: str) -> str:
+        t = f"sqrt(-2e0 * ln({x}))"
+        return f"({poly(_TAIL[0], t)} / {poly(_TAIL[1], t)})"
+
+    mid = f"(({p}) - 0.5e0)"
+    square = f"({mid} * {mid})"
+    return (
+        f"CASE WHEN ({p}) < {_TAIL_FROM}e0 THEN {tail(p)} WHEN ({p}) > 1e0 - {_TAIL_FROM}e0 THEN -{tail(f'1e0 - ({p})')} "
+        f"ELSE {mid} * {poly(_CENTRE[0], square)} / {poly(_CENTRE[1], square)} END"
+    )
 
 
 def qq_points(returns: DataFrame, key: str = "strategy") -> DataFrame:
@@ -301,9 +324,8 @@ def qq_points(returns: DataFrame, key: str = "strategy") -> DataFrame:
         .when(F.col("rank") == 1, 1 - half)
         .otherwise((F.col("rank") - 0.3175) / (F.col("_n") + 0.365))
     )
-    return df.select(
-        key, "rank", p.alias("p"), _normal_quantile(p).alias("theoretical"), (F.col("ret") * 100).alias("ordered")
-    )
+    df = df.withColumn("p", p)
+    return df.select(key, "rank", "p", F.expr(normal_quantile("p")).alias("theoretical"), (F.col("ret") * 100).alias("ordered"))
 
 
 def trade_stats(trades: DataFrame, pnl: str = "pnl", key: str = "symbol") -> DataFrame:

@@ -199,7 +199,12 @@ def met_qq_box(spark, sf):
     return rounded(met.box(t.returns_book(spark, sf)), ["strategy"], _BOX)
 
 
-# the inverse normal has no SQL form; tests compare it with the standard library
-@query("met_qq_points")
+@query(
+    "met_qq_points",
+    sql("returns_book", body=f"""SELECT strategy, rank, {qs(["p", "theoretical", "ordered"])} FROM (SELECT *, {met.normal_quantile("p")} AS theoretical FROM (
+ SELECT strategy, rank, ret * 100 AS ordered, CASE WHEN rank = n THEN pow(0.5, 1.0 / n) WHEN rank = 1 THEN 1 - pow(0.5, 1.0 / n)
+  ELSE (rank - 0.3175) / (n + 0.365) END AS p
+ FROM (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY ret, date) AS rank, count(*) OVER (PARTITION BY strategy) AS n FROM returns_book)))"""),
+)
 def met_qq_points(spark, sf):
     return rounded(met.qq_points(t.returns_book(spark, sf)), ["strategy", "rank"], ["p", "theoretical", "ordered"])
