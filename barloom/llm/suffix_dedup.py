@@ -90,6 +90,22 @@ def _pieces(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, in
         yield held
 
 
+def runs_of_equals(text: np.ndarray, pos: np.ndarray, gram: np.ndarray, around: np.ndarray, gap: int) -> tuple[np.ndarray, ...]:
+    """Anchors of one text that are alike and no further apart than `gap` as one row.
+
+    Returns (text, first position, last position, how many, gram, around).
+    They are each other's copies, and their surroundings overlap, so all of
+    what lies between goes with them; periodic texts are full of them.
+    """
+    by = np.lexsort((pos, around, gram, text))
+    text, pos, gram, around = text[by], pos[by], gram[by], around[by]
+    new = np.ones(len(pos), bool)
+    new[1:] = (text[1:] != text[:-1]) | (gram[1:] != gram[:-1]) | (around[1:] != around[:-1]) | (pos[1:] - pos[:-1] > gap)
+    start = np.flatnonzero(new)
+    count = np.diff(np.append(start, len(pos)))
+    return text[start], pos[start], pos[start + count - 1], count, gram[start], around[start]
+
+
 def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
     """(text, position, gram hash, hash of the surroundings) of every anchor, a group of texts at a time.
 
@@ -197,10 +213,12 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
             ids = batch.column(0).to_numpy()
             raw = [t.encode("utf-8") for t in texts]
             check = np.array([zlib.crc32(t) for t in raw], np.int64)
-            for text, pos, gram, around in anchors(raw, length):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, around, ids[text], check[text], pos)], names=["gram", "around", "id", "check", "pos"])
+            for found in anchors(raw, length):
+                text, pos, last, count, gram, around = runs_of_equals(*found, gap=length)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, around, ids[text], check[text], pos, last, count)], names=names)
 
-    return docs.select("id", "text").mapInArrow(run, "gram long, around long, id long, check long, pos long")
+    names = ["gram", "around", "id", "check", "pos", "last", "count"]
+    return docs.select("id", "text").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -327,20 +345,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
         F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"),
     )
     found = _anchor_rows(plain, length)
-    again = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    again = found.groupBy("gram").agg(F.sum("count").alias("n")).where("n > 1").select("gram")
     live = cut_lineage(found.join(again, "gram"), "anchors")
-    alike = live.groupBy("gram", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "check", "pos")).alias("first"))
+    alike = live.groupBy("gram", "around").agg(F.sum("count").alias("n"), F.min(F.struct("id", "check", "pos")).alias("first"))
     alike = cut_lineage(alike, "alike")
     buckets = cut_lineage(alike.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")), "buckets")
     marked = live.join(alike, ["gram", "around"]).select(
-        "gram", "id", "check", "pos", (F.col("n") == 1).alias("alone"), (F.struct("id", "check", "pos") == F.col("first")).alias("speaks")
+        "gram", "id", "check", "pos", "last", (F.col("n") == 1).alias("alone"), (F.struct("id", "check", "pos") == F.col("first")).alias("speaks")
     )
     marked = cut_lineage(marked, "marked")
     wide = length - GRAM + 1
-    copied = marked.where("not alone").select("id", "check", (F.col("pos") - wide + 1).alias("low"), (F.col("pos") + length).alias("high"))
+    copied = marked.where("not alone").select("id", "check", (F.col("pos") - wide + 1).alias("low"), (F.col("last") + length).alias("high"))
     several = buckets.where("kinds > 1").select("gram", (F.col("kinds") > LARGEST).alias("large"))
     # of equal surroundings one speaks for all; repeated rows of one text share it
-    wanted = marked.where("alone or speaks").dropDuplicates(["gram", "id", "check", "pos"]).join(several, "gram")
+    wanted = marked.drop("last").where("alone or speaks").dropDuplicates(["gram", "id", "check", "pos"]).join(several, "gram")
     packed = _packed(plain)
     around = cut_lineage(_surroundings(packed, wanted, length), "around")
     spans = _sorted_blocks(around, length).union(_counted_suffixes(around, length)).union(copied)
