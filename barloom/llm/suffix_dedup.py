@@ -344,9 +344,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
         F.coalesce(docs[doc_id].cast("long"), F.lit(NO_ID)).alias("id"),
         F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"),
     )
-    found = _anchor_rows(plain, length)
+    # written, as they are read twice; and so is the other side of each join, so that a common gram can be split there
+    found = cut_lineage(_anchor_rows(plain, length), "anchors")
     again = found.groupBy("gram").agg(F.sum("count").alias("n")).where("n > 1").select("gram")
-    live = cut_lineage(found.join(again, "gram"), "anchors")
+    live = cut_lineage(found.join(cut_lineage(again, "grams"), "gram"), "live")
     alike = live.groupBy("gram", "around").agg(F.sum("count").alias("n"), F.min(F.struct("id", "check", "pos")).alias("first"))
     alike = cut_lineage(alike, "alike")
     buckets = cut_lineage(alike.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")), "buckets")
