@@ -33,11 +33,26 @@ HOMES = 4096
 AT_ONCE = 1 << 21
 
 
+def _mix(h: np.ndarray, lane: int) -> np.ndarray:
+    """Further hashes made of a hash; the first is itself."""
+    if not lane:
+        return h
+    h = h + np.uint64(lane) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
 def fingerprint(text: str, words: int = 4) -> int:
     """SimHash of a text's shingles of `words` words: bit set where over half the shingles' XXH64 have it."""
+    return fingerprint_lanes(text, words, 1)[0]
+
+
+def fingerprint_lanes(text: str, words: int, lanes: int) -> list[int]:
+    """SimHash of 64 bits a lane; the first lane is `fingerprint`."""
     parts = text.encode("utf-8").lower().split()
     if not parts:
-        return 0
+        return [0] * lanes
     body = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.append(0, ends[:-1] + 1)
@@ -45,23 +60,33 @@ def fingerprint(text: str, words: int = 4) -> int:
     pairs = zip(starts[:last].tolist(), ends[-last:].tolist())
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(body[a:b], SEED) for a, b in pairs), np.uint64, last)
-    counts = np.zeros(64, np.int64)
-    for k in range(0, last, 1 << 14):
-        part = hashes[k : k + (1 << 14)].astype("<u8").view(np.uint8)
-        counts += np.unpackbits(part, bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    bits = np.packbits(counts * 2 > last, bitorder="little")
-    return int(bits.view("<u8")[0])
+    out = []
+    for lane in range(lanes):
+        counts = np.zeros(64, np.int64)
+        for k in range(0, last, 1 << 14):
+            part = _mix(hashes[k : k + (1 << 14)], lane).astype("<u8").view(np.uint8)
+            counts += np.unpackbits(part, bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(counts * 2 > last, bitorder="little").view("<u8")[0]))
+    return out
+
 
+def lane_names(lanes: int) -> list[str]:
+    return ["fp", *(f"fp{k}" for k in range(1, lanes))]
 
-def fingerprints(docs: DataFrame, words: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp long) per row; a text without words (null or empty too) has fingerprint 0, a short one is one shingle."""
+
+def fingerprints(docs: DataFrame, words: int = 4, doc_id: str = "doc_id", text: str = "text", lanes: int = 1) -> DataFrame:
+    """(doc_id, fp long and a column for each further lane) per row.
+
+    A text without words (null or empty too) has fingerprint 0, a short one is one shingle.
+    """
+    names = lane_names(lanes)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_runs(batches, "text"):
-            fps = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            fps = np.array([fingerprint_lanes(t, words, lanes) for t in texts], np.uint64).reshape(-1, lanes).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fps[:, k]) for k in range(lanes))], names=["doc_id", *names])
 
-    return id_text(docs, doc_id, text).mapInArrow(run, "doc_id long, fp long")
+    return id_text(docs, doc_id, text).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in names))
 
 
 def _reach(free: int, within: int) -> list[np.ndarray]:
@@ -126,7 +151,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[moved], values[label[moved]]
 
 
-def compare_groups(group: np.ndarray, fps: np.ndarray, home: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def compare_groups(group: np.ndarray, fps: list[np.ndarray], home: np.ndarray, node: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links within sorted groups whose homes come first, as forests."""
     starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     sizes = np.diff(np.append(starts, len(group)))
@@ -140,35 +165,47 @@ def compare_groups(group: np.ndarray, fps: np.ndarray, home: np.ndarray, distanc
         w = work[lo:hi]
         row = np.repeat(np.arange(lo, hi), w)
         with_home = starts[mine[row]] + np.arange(len(row)) - np.repeat(np.cumsum(w) - w, w)
-        near = np.bitwise_count(fps[row] ^ fps[with_home]) <= distance
-        near &= row != with_home
+        apart = np.zeros(len(row), np.int64)
+        for lane in fps:
+            apart += np.bitwise_count(lane[row] ^ lane[with_home])
+        near = (apart <= distance) & (row != with_home)
         if near.any():
-            yield forest(fps[row[near]].view(np.int64), fps[with_home[near]].view(np.int64))
+            yield forest(node[row[near]], node[with_home[near]])
         lo = hi
 
 
-def link(prints: DataFrame, distance: int = 4) -> DataFrame:
-    """Links (u, v) that join all distinct fingerprints (fp long) differing in at most `distance` bits."""
-    if not 0 <= distance < 6:
+def link(prints: DataFrame, distance: int = 4, lanes: int = 1) -> DataFrame:
+    """Links (u, v) that join all distinct fingerprints (fp long) differing in at most `distance` bits.
+
+    With one lane no link is missed. With more, the distance is that of all
+    lanes together; every segment of every lane has its anchors, and a link is
+    found when one of them differs in at most one bit. u and v are then hashes
+    of the fingerprints.
+    """
+    if lanes == 1 and not 0 <= distance < 6:
         raise ValueError("three segments with covering radius 1 serve distances 0 to 5")
+    names = lane_names(lanes)
+    within = min(distance, 5)  # one bit a segment
 
     def replicate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            all_fps = batch.column(0).to_numpy()
-            for k in range(0, len(all_fps), 5000):
-                fps = all_fps[k : k + 5000]
-                keys, rows, homes = anchors(fps, distance)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[rows]), pa.array(homes)], names=["anchor", "fp", "home"])
+            node, *every = (c.to_numpy() for c in batch.columns)
+            for k in range(0, len(node), 5000):
+                for lane in range(lanes):
+                    keys, rows, homes = anchors(every[lane][k : k + 5000], within)
+                    rows = rows + k
+                    cols = [keys + (lane * len(SEGMENTS) << 32), node[rows], *(x[rows] for x in every), homes]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["anchor", "node", *names, "home"])
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
-        def found(group, fps, home):
-            for u, v in compare_groups(group, fps.view(np.uint64), home, distance):
+        def found(group, home, node, *fps):
+            for u, v in compare_groups(group, [x.view(np.uint64) for x in fps], home, node, distance):
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
         for batch in batches:
-            now = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)]
+            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if not len(now[0]):
                 continue
             if held:
@@ -179,34 +216,38 @@ def link(prints: DataFrame, distance: int = 4) -> DataFrame:
                 yield from found(*whole)
             elif len(held[0]) > 2 * HOMES:  # a long group: its homes stay, the others can go once compared
                 yield from found(*held)
-                held = [x[held[2]] for x in held]
+                held = [x[held[1]] for x in held]
         if held:
             yield from found(*held)
 
-    replicas = prints.select("fp").distinct().mapInArrow(replicate, "anchor long, fp long, home boolean")
+    of_node = F.col("fp") if lanes == 1 else F.xxhash64(*names)
+    longs = ", ".join(f"{c} long" for c in names)
+    replicas = prints.select(of_node.alias("node"), *names).distinct().mapInArrow(replicate, f"anchor long, node long, {longs}, home boolean")
     replicas = cut_lineage(replicas, "replicas")
     hot = replicas.where("home").groupBy("anchor").agg(F.count(F.lit(1)).alias("homes")).where(F.col("homes") > HOMES)
-    lanes = hot.select("anchor", F.ceil(F.col("homes") / HOMES).cast("int").alias("lanes"))
-    dealt = replicas.join(lanes, "anchor", "left").select(
-        "fp",
+    parts = hot.select("anchor", F.ceil(F.col("homes") / HOMES).cast("int").alias("parts"))
+    dealt = replicas.join(parts, "anchor", "left").select(
+        "node",
+        *names,
         "home",
         "anchor",
         F.explode(
-            F.when(F.col("lanes").isNull(), F.array(F.lit(0)))
-            .when(F.col("home"), F.array(F.pmod(F.xxhash64("fp"), F.col("lanes")).cast("int")))
-            .otherwise(F.sequence(F.lit(0), F.col("lanes") - 1))
-        ).alias("lane"),
+            F.when(F.col("parts").isNull(), F.array(F.lit(0)))
+            .when(F.col("home"), F.array(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")))
+            .otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+        ).alias("part"),
     )
-    # homes of different lanes meet as well: in a lane all other homes of the anchor appear as guests
-    guests = replicas.where("home").join(lanes, "anchor").select(
-        "fp",
+    # homes of different parts meet as well: in a part all other homes of the anchor appear as guests
+    guests = replicas.where("home").join(parts, "anchor").select(
+        "node",
+        *names,
         F.lit(False).alias("home"),
         "anchor",
         F.explode(
-            F.filter(F.sequence(F.lit(0), F.col("lanes") - 1), lambda x: x != F.pmod(F.xxhash64("fp"), F.col("lanes")))
-        ).alias("lane"),
+            F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.pmod(F.xxhash64("node"), F.col("parts")))
+        ).alias("part"),
     )
-    keyed = dealt.union(guests).select(F.xxhash64("anchor", "lane").alias("group"), "fp", "home")
+    keyed = dealt.union(guests).select(F.xxhash64("anchor", "part").alias("group"), "home", "node", *names)
     placed = keyed.repartition("group").sortWithinPartitions("group", F.col("home").desc())
     return placed.mapInArrow(compare, "u long, v long")
 
@@ -232,9 +273,26 @@ def near_copies(docs: DataFrame, words: int = 4, distance: int = 4, doc_id: str
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, words: int = 5, distance: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = 5, lanes: int = 2, distance: int = 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, component_id) per row, as `near_copies`, from fingerprints of 64 bits a lane.
+
+    Texts that share 0.8 of their shingles differ in about 15% of the bits: 20
+    of 128 stand for that similarity.
+    """
+    names = lane_names(lanes)
+    prints = cut_lineage(fingerprints(docs, words, doc_id, text, lanes), "prints")
+    node = F.xxhash64(*names) if lanes > 1 else F.col("fp")
+    prints = prints.select("doc_id", *names, node.alias("node"))
+    firsts = prints.groupBy("node").agg(F.min("doc_id").alias("first_id"))
+    found = components(link(prints, distance, lanes)).withColumnRenamed("node", "linked")
+    rooted = cut_lineage(firsts.join(found, F.col("node") == F.col("linked"), "left").select("node", "first_id", F.coalesce("root", "node").alias("root")), "rooted")
+    first = cut_lineage(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "roots")
+    return prints.join(rooted.join(first, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, lanes: int = 2, distance: int = 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with the smallest doc_id of each component; all columns as they were. Rows without a doc_id stay."""
-    found = near_copies(docs, words, distance, doc_id, text)
+    found = similar_groups(docs, words, lanes, distance, doc_id, text)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     ident = free_name(docs, "_id")
     rows = docs.withColumn(ident, docs[doc_id].cast("long"))

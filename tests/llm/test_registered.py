@@ -10,6 +10,7 @@ from check import compare, duck
 import __spark_entry__ as entry_mod
 import corpus_pipeline
 from barloom.llm import catalog, mixing, quality
+from barloom.llm.simhash import fingerprint_lanes
 from barloom.llm.tokenizer_files import BYTE_BPE
 
 from .conftest import odd_rows
@@ -58,7 +59,8 @@ def brute_pipeline(rows, labels, model):
     for r in sorted(good, key=lambda r: (r[0] is None, r[0] or 0)):
         by_text.setdefault(r[1] or "", r)
     single = list(by_text.values())
-    roots = brute_components([brute_fingerprint(r[1], 5) for r in single], 4)
+    prints = [sum(x << 64 * k for k, x in enumerate(fingerprint_lanes(r[1] or "", 5, 2))) for r in single]
+    roots = brute_components(prints, 20)
     least = {}
     for r, root in zip(single, roots):
         if r[0] is not None:
