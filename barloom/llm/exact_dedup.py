@@ -77,9 +77,10 @@ def copies(
 def drop_copies(docs: DataFrame, keep: str = "smallest", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with one row of each group of equal texts, all columns as they were."""
     found = copies(docs, keep, doc_id=doc_id, text=text)
-    stays = found.where("kept").select(F.struct("doc_id", "text_sha256").alias("_stays"))
+    stays = found.where("kept").select(F.struct("doc_id", "text_sha256").alias(free_name(docs, "_stays")))
+    stays_row = stays[stays.columns[0]]
     mark, ident = free_name(docs, "_sha"), free_name(docs, "_id")
     rows = docs.withColumns({mark: F.sha2(F.coalesce(docs[text].cast("string"), F.lit("")), 256), ident: docs[doc_id].cast("long")})
-    met = rows.join(stays, (rows[mark] == F.col("_stays.text_sha256")) & rows[ident].eqNullSafe(F.col("_stays.doc_id")), "left_semi")
+    met = rows.join(stays, (rows[mark] == stays_row["text_sha256"]) & rows[ident].eqNullSafe(stays_row["doc_id"]), "left_semi")
     # rows repeated with the same doc_id and text pass the join together; they already lie side by side
     return met.dropDuplicates([mark, ident]).drop(mark, ident)
