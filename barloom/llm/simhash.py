@@ -7,6 +7,10 @@ a covering code (a Hamming code of 15 bits next to all words of the other 6 or
 nearest anchor; it is replicated to every anchor within covering radius plus
 segment threshold, so the home of either of two such fingerprints holds both.
 Per anchor the homes are compared with all that came there.
+
+Fingerprints of several lanes have four segments of 16 bits a lane. Their
+thresholds t differ: with the sum of t + 1 one above `distance`, two
+fingerprints that exceed t in every segment differ in more than `distance`.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from .components import components
 
 SEED = 42
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
+LANE_SEGMENTS = ((0, 16), (16, 16), (32, 16), (48, 16))
 RADIUS = 1
 #: Homes of one anchor that are compared in one task; more are dealt over several.
 HOMES = 4096
@@ -118,14 +123,28 @@ def _syndromes() -> np.ndarray:
     return s
 
 
-def anchors(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def covering(distance: int, lanes: int) -> list[list[tuple[int, int, int, int]]]:
+    """By lane: (number, lowest bit, size, threshold) of each segment; one threshold at least holds within `distance`."""
+    if lanes == 1:
+        return [[(k, low, size, distance // len(SEGMENTS)) for k, (low, size) in enumerate(SEGMENTS)]]
+    n = len(LANE_SEGMENTS)
+    each, more = divmod(distance + 1, lanes * n)  # t + 1 of all segments sum to distance + 1
+    limits = [each - 1 + (k < more) for k in range(lanes * n)]
+    return [
+        [(lane * n + k, low, size, limits[lane * n + k]) for k, (low, size) in enumerate(LANE_SEGMENTS) if limits[lane * n + k] >= 0]
+        for lane in range(lanes)
+    ]
+
+
+def anchors(fps: np.ndarray, segments: list[tuple[int, int, int, int]], homes_only: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, row of `fps`, home flag) of every replica."""
     syndrome = _syndromes()
     keys, rows, homes = [], [], []
-    for k, (low, size) in enumerate(SEGMENTS):
+    for k, low, size, limit in segments:
         part = (fps.view(np.uint64) >> np.uint64(low)).astype(np.int64) & ((1 << size) - 1)
         by = syndrome[part & 0x7FFF]
-        for s, reach in enumerate(_reach(size - 15, RADIUS + distance // len(SEGMENTS))):
+        for s, reach in enumerate(_reach(size - 15, RADIUS + limit)):
+            reach = reach[:1] if homes_only else reach
             at = np.flatnonzero(by == s)
             keys.append(((part[at, None] ^ reach) | (k << 32)).ravel())
             rows.append(np.repeat(at, len(reach)))
@@ -177,24 +196,24 @@ def compare_groups(group: np.ndarray, fps: list[np.ndarray], home: np.ndarray, n
 def link(prints: DataFrame, distance: int = 4, lanes: int = 1) -> DataFrame:
     """Links (u, v) that join all distinct fingerprints (fp long) differing in at most `distance` bits.
 
-    With one lane no link is missed. With more, the distance is that of all
-    lanes together; every segment of every lane has its anchors, and a link is
-    found when one of them differs in at most one bit. u and v are then hashes
-    of the fingerprints.
+    No link is missed. With several lanes the distance is that of all lanes
+    together, and u and v are hashes of the fingerprints.
     """
     if lanes == 1 and not 0 <= distance < 6:
         raise ValueError("three segments with covering radius 1 serve distances 0 to 5")
     names = lane_names(lanes)
-    within = min(distance, 5)  # one bit a segment
+    segments = covering(distance, lanes)
 
-    def replicate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def replicate(batches: Iterable[pa.RecordBatch], homes_only: bool = False) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, *every = (c.to_numpy() for c in batch.columns)
             for k in range(0, len(node), 5000):
-                for lane in range(lanes):
-                    keys, rows, homes = anchors(every[lane][k : k + 5000], within)
+                for lane, parts in enumerate(segments):
+                    if not parts:
+                        continue
+                    keys, rows, homes = anchors(every[lane][k : k + 5000], parts, homes_only)
                     rows = rows + k
-                    cols = [keys + (lane * len(SEGMENTS) << 32), node[rows], *(x[rows] for x in every), homes]
+                    cols = [keys, node[rows], *(x[rows] for x in every), homes]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["anchor", "node", *names, "home"])
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,10 +241,19 @@ def link(prints: DataFrame, distance: int = 4, lanes: int = 1) -> DataFrame:
 
     of_node = F.col("fp") if lanes == 1 else F.xxhash64(*names)
     longs = ", ".join(f"{c} long" for c in names)
-    replicas = prints.select(of_node.alias("node"), *names).distinct().mapInArrow(replicate, f"anchor long, node long, {longs}, home boolean")
-    replicas = cut_lineage(replicas, "replicas")
-    hot = replicas.where("home").groupBy("anchor").agg(F.count(F.lit(1)).alias("homes")).where(F.col("homes") > HOMES)
+    schema = f"anchor long, node long, {longs}, home boolean"
+    distinct = prints.select(of_node.alias("node"), *names).distinct()
+    if lanes == 1:
+        replicas = cut_lineage(distinct.mapInArrow(replicate, schema), "replicas")
+        homes = replicas.where("home")
+    else:  # some 240 replicas each: only the homes are written
+        distinct = cut_lineage(distinct, "distinct")
+        replicas = distinct.mapInArrow(replicate, schema)
+        homes = cut_lineage(distinct.mapInArrow(lambda batches: replicate(batches, True), schema), "homes")
+    hot = homes.groupBy("anchor").agg(F.count(F.lit(1)).alias("homes")).where(F.col("homes") > HOMES)
     parts = hot.select("anchor", F.ceil(F.col("homes") / HOMES).cast("int").alias("parts"))
+    if lanes > 1:  # read with each side of the union
+        parts = cut_lineage(parts, "hot")
     dealt = replicas.join(parts, "anchor", "left").select(
         "node",
         *names,
@@ -238,7 +266,7 @@ def link(prints: DataFrame, distance: int = 4, lanes: int = 1) -> DataFrame:
         ).alias("part"),
     )
     # homes of different parts meet as well: in a part all other homes of the anchor appear as guests
-    guests = replicas.where("home").join(parts, "anchor").select(
+    guests = homes.join(parts, "anchor").select(
         "node",
         *names,
         F.lit(False).alias("home"),

@@ -128,6 +128,32 @@ def test_links_of_a_crowded_anchor(spark, monkeypatch):
     assert {r.root for r in found} == {min(near)} and len(found) == len(set(near))
 
 
+def test_links_of_two_lanes_miss_nothing(spark):
+    rng = np.random.default_rng(7)
+    pairs = []
+    for spread in range(60):
+        a = int.from_bytes(rng.bytes(16), "little")
+        n = (20, 20, 20, 19, 21)[spread % 5]
+        # two bits at least in each of 8, 7 and 6 equal segments, or anywhere
+        cuts = (8, 7, 6, 1)[spread % 4]
+        at = [128 * k // cuts + int(x) for k in range(cuts) for x in rng.choice(128 // cuts, 2, replace=False)]
+        at += rng.permutation([k for k in range(128) if k not in at])[: n - len(at)].tolist()
+        pairs.append((a, a ^ sum(1 << k for k in at), n))
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    rows = [(signed(x & (1 << 64) - 1), signed(x >> 64)) for a, b, _ in pairs for x in (a, b)]
+    df = spark.createDataFrame(rows, "fp long, fp1 long")
+    nodes = {(r.fp, r.fp1): r.node for r in df.selectExpr("*", "xxhash64(fp, fp1) AS node").collect()}
+    found = {frozenset(r) for r in simhash.link(df, 20, 2).collect()}
+    want = {frozenset((nodes[a], nodes[b])) for a, b, (*_, n) in zip(rows[::2], rows[1::2], pairs) if n <= 20}
+    assert found == want and len(want) == 48
+
+
+@pytest.mark.parametrize("distance", [0, 3, 7, 8, 20])
+def test_thresholds_of_the_segments_cover_the_distance(distance):
+    limits = [x[3] for lane in simhash.covering(distance, 2) for x in lane]
+    assert sum(t + 1 for t in limits) == distance + 1
+
+
 def test_drop_near_copies_keeps_the_first(odd):
     got = simhash.drop_near_copies(odd)
     ids = [r.doc_id for r in got.select("doc_id").collect()]
