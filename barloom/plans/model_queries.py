@@ -255,9 +255,10 @@ def ml_grid(spark, sf):
 
 @query("ml_batch")
 def ml_batch(spark, sf):
-    """Two configurations train, one with an unknown kind fails alone."""
+    """Two configurations train with the model defaults, one with an unknown kind fails alone."""
     tr, _, cols = _train_test(spark, sf)
-    out = ml.train_many(tr, cols, {"a": SMALL, "b": {"maxIter": 2, "maxDepth": 2}, "broken": {"kind": "no such kind"}})
+    tr = tr.withColumn("cls", F.when(F.col("target") > 0, "up").otherwise("down"))
+    out = ml.train_many(tr, cols, {"a": {}, "b": {"kind": "multiclass", "label": "cls"}, "broken": {"kind": "no such kind"}})
     return spark.createDataFrame([(k, not isinstance(v, Exception)) for k, v in out.items()], "name string, trained boolean")
 
 
