@@ -386,7 +386,7 @@ def agg_portkpi(spark, sf):
 def _optimizer(method):
     def run(spark, sf):
         r = _returns(spark, sf)
-        cov, mu = cv.asof_moments(r, _asof(r, 12), 60)
+        cov, mu = cv.asof_moments(r, _asof(r, 1), 60)
         w = op.optimize(mu, cov, op.OptimizerRules(method=method, upper=0.1))
         return rounded(w, ["as_of", "symbol", "feasible"], ["weight", "objective_start", "objective_end"])
 
@@ -401,7 +401,7 @@ for _m in ("mean_variance", "min_variance", "max_sharpe", "risk_parity", "max_di
 def opt_grouped(spark, sf):
     """Mean-variance with industry caps and a turnover limit, post-processed."""
     r = _returns(spark, sf)
-    cov, mu = cv.asof_moments(r, _asof(r, 12), 60)
+    cov, mu = cv.asof_moments(r, _asof(r, 1), 60)
     ind = _industry(spark, sf)
     n = mu.groupBy("as_of").agg(F.count(F.lit(1)).alias("n"))
     current = mu.join(n, "as_of").select("as_of", "symbol", (1.0 / F.col("n")).alias("weight"))
@@ -503,8 +503,7 @@ def bt_run(spark, sf):
 # with the optimizer inside there is no SQL form
 @dated("bt_run_optimized")
 def bt_run_optimized(spark, sf):
-    s = _signals(spark, sf).where(F.month("date") % 6 == 0)
-    out = bt.run_backtest(t.prices_supp(spark, sf), s, "daily", optimizer_rules=op.OptimizerRules(upper=0.1), window=24)
+    out = bt.run_backtest(t.prices_supp(spark, sf), _signals(spark, sf), "daily", optimizer_rules=op.OptimizerRules(upper=0.1))
     return rounded(out["daily"], ["date"], {"ret": 6, "invested": 6, "value": 2})
 
 
