@@ -25,7 +25,7 @@ def test_matches_sql(spark, sf, name):
 
 def test_every_dealt_operator_is_registered_once():
     names = [n.split("_")[0] for n in catalog.queries()]
-    assert sorted(names) == sorted(f"op{k}" for k in range(1, 11))
+    assert sorted(names) == sorted(f"op{k}" for k in range(1, 14))
     assert "pipeline" in entry_mod.queries()
 
 
