@@ -30,7 +30,7 @@ from .common import id_text, text_runs
 
 #: Samples in a fingerprint; the likeness of two has a standard error of at most 0.5 / sqrt(SAMPLES).
 SAMPLES = 128
-#: Terms whose draws a worker remembers (12 bytes a sample each).
+#: Terms whose draws a worker remembers (4 bytes a sample each; half as many with 12 bytes for weights above one).
 ROOM = 1 << 16
 #: Terms looked at in one go.
 STRIDE = 256
@@ -57,65 +57,93 @@ def bag(text: str, width: int = 1) -> Counter:
     return Counter(zip(*(words[k:] for k in range(width)))) if len(words) >= width else Counter([tuple(words)] if words else [])
 
 
+class _Memory:
+    """Rows of numbers per term in arrays of bounded size; when they are full, all is forgotten."""
+
+    def __init__(self, make, room: int):
+        self.make, self.room, self.rows, self.arrays = make, max(room, STRIDE), {}, None
+
+    def __call__(self, terms: list) -> list[np.ndarray]:
+        """The arrays' rows of at most STRIDE terms."""
+        at = [self.rows.get(t, -1) for t in terms]
+        if -1 in at:
+            fresh = [t for t, k in zip(terms, at) if k < 0]
+            if len(self.rows) + len(fresh) > self.room:
+                self.rows, fresh = {}, terms
+            first, made = len(self.rows), self.make(fresh)
+            if self.arrays is None:
+                self.arrays = [np.empty((self.room, *m.shape[1:]), m.dtype) for m in made]
+            for kept, m in zip(self.arrays, made):
+                kept[first : first + len(fresh)] = m
+            self.rows.update(zip(fresh, range(first, first + len(fresh))))
+            at = [self.rows[t] for t in terms]
+        at = np.array(at)
+        return [kept.take(at, 0) for kept in self.arrays]
+
+
 class Sampler:
-    """Signatures of texts; draws of frequent terms are kept between calls, which changes no result."""
+    """Signatures of texts; what was drawn for frequent terms is kept between calls, which changes no result."""
 
     def __init__(self, samples: int = SAMPLES, width: int = 1, room: int = ROOM):
-        self.samples, self.width, self.room = samples, width, max(room, STRIDE)
-        self.factors = _stream(42, 3 * samples).reshape(3, samples) | np.uint64(1)
-        self.rows: dict = {}
-        shape = (self.room, samples)
-        self.r, self.beta, self.log_c = (np.empty(shape, np.float32) for _ in range(3))
-        self.marks = np.empty(self.room, np.uint64)
-
-    def _draw(self, terms: list, at: int) -> None:
+        self.samples, self.width = samples, width
+        self.factors = _stream(42, 2 * samples).reshape(2, samples) | np.uint64(1)
+        self.once, self.often = _Memory(self._single, room), _Memory(self._draw, room // 2)
+
+    def _draw(self, terms: list) -> tuple[np.ndarray, ...]:
+        """(mark, r, beta, log c) of each term: a hash, and for each sample Gamma(2, 1), U(0, 1) and Gamma(2, 1)."""
         import xxhash
 
         joined = terms if self.width == 1 else [b" ".join(t) for t in terms]
         h = np.array([xxhash.xxh64_intdigest(t, seed=13) for t in joined], np.uint64)
-        u = []
+        scale, half = np.float32(2.0**-23), np.float32(0.5)  # numbers strictly between 0 and 1
+        logs, rest = [], None
         for factor in self.factors:
             x = h[:, None] * factor
             x ^= x >> np.uint64(32)
             x *= np.uint64(0x9E3779B97F4A7C15)
-            x ^= x >> np.uint64(29)
-            u += [((part.astype(np.float64)) + 0.5) * 2.0**-32 for part in (x >> np.uint64(32), x & np.uint64(0xFFFFFFFF))]
-        to = slice(at, at + len(terms))
-        self.r[to] = -np.log(u[0] * u[1])
-        self.log_c[to] = np.log(-np.log(u[2] * u[3]))
-        self.beta[to] = u[4]
-        self.marks[to] = h
-
-    def _places(self, terms: list) -> np.ndarray:
-        fresh = [t for t in terms if t not in self.rows]
-        if len(self.rows) + len(fresh) > self.room:
-            self.rows, fresh = {}, terms
-        if fresh:
-            at = len(self.rows)
-            self._draw(fresh, at)
-            self.rows.update(zip(fresh, range(at, at + len(fresh))))
-        return np.array([self.rows[t] for t in terms])
+            u = (x >> np.uint64(41)).astype(np.uint32).astype(np.float32) + half
+            v = ((x >> np.uint64(16)).astype(np.uint32) & np.uint32(0x7FFFFF)).astype(np.float32) + half
+            u *= scale
+            v *= scale
+            u *= v
+            logs.append(-np.log(u))
+            rest = x.astype(np.uint16) if rest is None else rest
+        beta = rest.astype(np.float32) + half
+        beta *= np.float32(2.0**-16)
+        return h, logs[0], beta, np.log(logs[1])
+
+    def _single(self, terms: list) -> tuple[np.ndarray, ...]:
+        """(mark, log a) for a weight of one, where t is 0."""
+        mark, r, beta, log_c = self._draw(terms)
+        return mark, log_c - r * (0 - beta + 1)
 
     def of_bag(self, weights: dict) -> np.ndarray:
         """One 16-bit sample each; all zero for a bag without terms. Weights are above 0."""
         best = np.full(self.samples, np.inf, np.float32)
-        out = np.zeros(self.samples, np.uint64)
-        terms, j = list(weights), np.arange(self.samples)
-        for start in range(0, len(terms), STRIDE):
-            some = terms[start : start + STRIDE]
-            at = self._places(some)
-            log_w = np.log(np.fromiter((weights[t] for t in some), np.float64, len(some))).astype(np.float32)
-            r, beta = self.r[at], self.beta[at]
-            t = np.floor(log_w[:, None] / r + beta)
-            a = self.log_c[at] - r * (t - beta + 1)
-            k = a.argmin(0)
-            low, took = a[k, j], t[k, j]
-            won = low < best
-            best[won] = low[won]
-            x = (self.marks[at[k]] ^ took.astype(np.int64).view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-            x ^= x >> np.uint64(31)
-            x *= np.uint64(0x94D049BB133111EB)
-            out[won] = (x >> np.uint64(48))[won]
+        out, j = np.zeros(self.samples, np.uint64), np.arange(self.samples)
+        light = [t for t, w in weights.items() if w == 1]
+        heavy = [(t, w) for t, w in weights.items() if w != 1]
+        for terms in (light, heavy):
+            for start in range(0, len(terms), STRIDE):
+                some = terms[start : start + STRIDE]
+                if terms is light:
+                    mark, a = self.once(some)
+                    k = a.argmin(0)
+                    took = np.uint64(0)
+                else:
+                    mark, r, beta, log_c = self.often([t for t, _ in some])
+                    log_w = np.log(np.array([w for _, w in some], np.float64)).astype(np.float32)
+                    t = np.floor(log_w[:, None] / r + beta)
+                    a = log_c - r * (t - beta + 1)
+                    k = a.argmin(0)
+                    took = t[k, j].astype(np.int64).view(np.uint64)
+                low = a[k, j]
+                won = low < best
+                best[won] = low[won]
+                x = (mark[k] ^ took) * np.uint64(0xBF58476D1CE4E5B9)
+                x ^= x >> np.uint64(31)
+                x *= np.uint64(0x94D049BB133111EB)
+                out[won] = (x >> np.uint64(48))[won]
         return out.astype(">u2")
 
     def __call__(self, text: str) -> np.ndarray:
