@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from check import compare, duck
+from check import compare, duck, frame
 
 import __spark_entry__ as entry_mod
 import corpus_pipeline
@@ -19,7 +19,7 @@ from .test_dedup import brute_components, brute_fingerprint, brute_repeats
 
 @pytest.mark.parametrize("name", sorted(catalog.checks()))
 def test_matches_sql(spark, sf, name):
-    got = entry_mod.queries()[name](spark, sf).toPandas()
+    got = frame(entry_mod.queries()[name](spark, sf))
     assert compare(got, duck(sf).execute(entry_mod.oracle_sql()[name]).df()) is None
 
 
