@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.guards import div
 from ..session import cut_lineage
+from .asof import asof_join
 from .runs import dealt
 
 SLIPPAGE = 0.001
@@ -14,28 +15,17 @@ COMMISSION = 0.0003
 INITIAL_CAPITAL = 1_000_000.0
 
 
-def asof_close(orders: DataFrame, bars: DataFrame, days: int = 5) -> DataFrame:
-    """Attach the last close of the `days` days up to each order's date.
-
-    Each bar is laid out over the days it is valid for and reduced to the
-    newest one per symbol and day, so the range join becomes an equality join
-    against unique keys and never multiplies orders.
-    """
-    valid = (
-        bars.select("symbol", F.col("date").alias("bar_date"), "close")
-        .withColumn("date", F.explode(F.sequence("bar_date", F.date_add("bar_date", days))))
-        .groupBy("symbol", "date")
-        .agg(F.max_by("close", "bar_date").alias("last_close"))
-    )
-    return orders.join(valid, ["symbol", "date"], "left")
+def asof_close(orders: DataFrame, bars: DataFrame, days: int | None = 5) -> DataFrame:
+    """Attach the last close up to each order's date, at most `days` days old (of any age with None)."""
+    closes = bars.select("symbol", "date", F.col("close").alias("last_close"))
+    return asof_join(orders, closes, ["symbol"], "date", ["last_close"], tolerance_days=days)
 
 
-def fill(orders: DataFrame, bars: DataFrame, days: int = 5) -> DataFrame:
+def fill(orders: DataFrame, bars: DataFrame, days: int | None = 5) -> DataFrame:
     """Fill pending market orders at the as-of close with slippage; without a price they stay pending."""
     df = asof_close(orders, bars, days)
-    price = F.col("last_close") * F.when(F.col("side") == "BUY", 1 + SLIPPAGE).otherwise(1 - SLIPPAGE)
-    df = df.withColumn("fill_price", price)
     traded = F.col("quantity") * F.col("fill_price")
+    df = df.withColumn("fill_price", fill_price("last_close", "side"))
     return df.withColumns(
         {
             "status": F.when(F.col("fill_price").isNull(), "PENDING").otherwise("FILLED"),
@@ -45,6 +35,11 @@ def fill(orders: DataFrame, bars: DataFrame, days: int = 5) -> DataFrame:
     )
 
 
+def fill_price(price: str, side: str) -> Column:
+    """Price with slippage against the order: higher for a BUY, lower for a SELL."""
+    return F.col(price) * F.when(F.col(side) == "BUY", 1 + SLIPPAGE).otherwise(1 - SLIPPAGE)
+
+
 def _fold_orders(orders: Column, start_qty: Column) -> Column:
     """Fold a run of orders without knowing the average cost before it.
 

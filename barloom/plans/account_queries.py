@@ -15,6 +15,7 @@ from ..operators import selection as sl
 from ..operators import signals as sig
 from ..operators import stats as ss
 from ..operators import backtest as bt
+from ..operators.asof import asof_join
 from ..session import cut_lineage, scratch_path
 from ..sources import business as bz
 from ..sources import results as rs
@@ -50,6 +51,15 @@ def jn_asof_fill(spark, sf):
     return rounded(lg.asof_close(_orders(spark, sf), t.bars_brand(spark, sf)), ["order_id", "symbol"], ["last_close"], 5)
 
 
+@query("jn_asof_any", sql("bars_brand", extra=_ORD, body=f"""SELECT od.order_id, od.symbol, b.date AS bar_date, {q('b.close', 5, 'last_close')}
+FROM od ASOF LEFT JOIN bars_brand b ON od.symbol = b.symbol AND od.date >= b.date"""), dates="bar_date")
+def jn_asof_any(spark, sf):
+    """The last close before each order, however old."""
+    closes = t.bars_brand(spark, sf).select("symbol", "date", F.col("close").alias("last_close"))
+    met_at = asof_join(_orders(spark, sf), closes, ["symbol"], "date", ["last_close"], matched_at="bar_date")
+    return rounded(met_at, ["order_id", "symbol", "bar_date"], ["last_close"], 5)
+
+
 _FQ = {"fill_price": 5, "commission": 5, "total_amount": 3}
 
 
@@ -61,8 +71,8 @@ def ppr_fill(spark, sf):
 @query("scl_fillprice", f"""SELECT o_orderkey, {q("o_totalprice * CASE WHEN o_orderkey % 2 = 0 THEN 1.001 ELSE 0.999 END", 3, "fill_price")} FROM orders""")
 def scl_fillprice(spark, sf):
     o = t.table(spark, sf, "orders")
-    p = F.col("o_totalprice") * F.when(F.col("o_orderkey") % 2 == 0, 1 + lg.SLIPPAGE).otherwise(1 - lg.SLIPPAGE)
-    return rounded(o.withColumn("fill_price", p), ["o_orderkey"], ["fill_price"], 3)
+    sided = o.withColumn("side", F.when(F.col("o_orderkey") % 2 == 0, "BUY").otherwise("SELL"))
+    return rounded(sided.withColumn("fill_price", lg.fill_price("o_totalprice", "side")), ["o_orderkey"], ["fill_price"], 3)
 
 
 _LED = """o AS (SELECT * FROM ledger_orders),
