@@ -54,8 +54,13 @@ def sync_stats(outcomes: DataFrame) -> DataFrame:
         F.count_if(o == "failed").alias("symbols_failed"),
         F.count(F.lit(1)).alias("symbols_total"),
     )
+    return progress(a)
+
+
+def progress(counts: DataFrame) -> DataFrame:
+    """Progress in percent and status of tasks from their counts."""
     done = F.col("symbols_completed") + F.col("symbols_failed")
-    return a.withColumns(
+    return counts.withColumns(
         {
             "progress": done / F.col("symbols_total") * 100,
             "status": F.when(done < F.col("symbols_total"), "running")

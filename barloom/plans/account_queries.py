@@ -134,20 +134,23 @@ _deviation("scl_deviation", _DEV)
 
 # -- service statistics ---------------------------------------------------
 
-_RQ = [f"{x}_response_time" for x in ("avg", "min", "max", "p50", "p95", "p99")] + ["success_rate"]
+REQUEST_COLS = [f"{x}_response_time" for x in ("avg", "min", "max", "p50", "p95", "p99")] + ["success_rate"]
 
 
-@query("agg_reqstats", sql("requests", body=f"""
-SELECT method, path, count, n2, n4, n5, {qs(_RQ, 5)} FROM (SELECT method, path, count(*) AS count, avg(response_time) AS avg_response_time,
+REQUEST_SQL = sql("requests", body=f"""
+SELECT method, path, count, n2, n4, n5, {qs(REQUEST_COLS, 5)} FROM (SELECT method, path, count(*) AS count, avg(response_time) AS avg_response_time,
  min(response_time) AS min_response_time, max(response_time) AS max_response_time, quantile_cont(response_time, 0.5) AS p50_response_time,
  quantile_cont(response_time, 0.95) AS p95_response_time, quantile_cont(response_time, 0.99) AS p99_response_time,
  count(*) FILTER (WHERE status_code BETWEEN 200 AND 299) / count(*) * 100 AS success_rate, count(*) FILTER (WHERE status_code = 200) AS n2,
  count(*) FILTER (WHERE status_code = 404) AS n4, count(*) FILTER (WHERE status_code = 500) AS n5
- FROM (SELECT * FROM requests QUALIFY row_number() OVER (PARTITION BY method, path ORDER BY ts DESC, request_id DESC) <= 1000) GROUP BY 1, 2)"""))
+ FROM (SELECT * FROM requests QUALIFY row_number() OVER (PARTITION BY method, path ORDER BY ts DESC, request_id DESC) <= 1000) GROUP BY 1, 2)""")
+
+
+@query("agg_reqstats", REQUEST_SQL)
 def agg_reqstats(spark, sf):
     s = ss.request_stats(t.requests(spark, sf))
     d = F.col("status_distribution")
-    return rounded(s.withColumns({f"n{k}": d[f"{k}xx"] for k in (2, 4, 5)}), ["method", "path", "count", "n2", "n4", "n5"], _RQ, 5)
+    return rounded(s.withColumns({f"n{k}": d[f"{k}xx"] for k in (2, 4, 5)}), ["method", "path", "count", "n2", "n4", "n5"], REQUEST_COLS, 5)
 
 
 @query("agg_statuscnt", """SELECT count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'O') AS active, count(*) FILTER (WHERE o_orderstatus = 'P') AS paused,
@@ -159,8 +162,9 @@ def agg_statuscnt(spark, sf):
 _OUT = """ou AS (SELECT user_id AS task_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN CASE WHEN user_id % 3 = 0 THEN 'pending' ELSE 'completed' END ELSE 'completed' END AS outcome FROM events)"""
 
 
-def outcomes(ev):
+def outcomes(ev, *more):
     return ev.select(
+        *more,
         F.col("user_id").alias("task_id"),
         F.when(F.col("event_type") == "error", "failed")
         .when((F.col("event_type") == "click") & (F.col("user_id") % 3 == 0), "pending")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,21 @@ BARS = "symbol string, date date, open double, high double, low double, close do
 STATS = "total_files long, total_size_mb double, symbols_count long, total_records long, first_year int, last_year int"
 
 
+def file_time() -> Column:
+    """When a row's file was written, then the file's name and the row's stretch of it. Spark reads files by size, not by age."""
+    return F.struct(*[F.col(f"_metadata.{c}").alias(c) for c in ("file_modification_time", "file_path", "file_block_start")])
+
+
+def arrival(df: DataFrame) -> Column:
+    """Order in which the rows of a frame arrived: by the time of their file if it is one of files, then by place."""
+    place = F.monotonically_increasing_id()
+    try:
+        df.select(file_time())
+    except AnalysisException:
+        return place
+    return F.struct(file_time().alias("file"), place.alias("place"))
+
+
 @dataclass
 class BarStore:
     """Bars under one path.
@@ -88,14 +104,16 @@ class BarStore:
         kept = old.join(touched, ["symbol", "year"], "left_anti").drop("year")
         self._write(cut_lineage(kept.unionByName(bars, allowMissingColumns=True), "overwrite"), "overwrite")
 
-    def merge(self, bars: DataFrame, order: Column | None = None) -> None:
+    def merge(self, bars: DataFrame, order: Column | None = None, skip: tuple[str, ...] = ()) -> None:
         """New rows win over old ones; among new copies of a key the highest `order` wins.
 
-        Without `order` it is the place of a row in `bars`, so the last copy
-        wins; a frame that has passed a shuffle has no such place and needs one.
+        Without `order` the copy of the latest file wins, in a file the last
+        one, and in a frame without files the last one; a frame that has
+        passed a shuffle has no such places and needs an order. Columns of
+        `skip` serve the order only.
         """
-        order = F.monotonically_increasing_id() if order is None else order
-        bars = cut_lineage(bars.withColumn("_o", order), "new-bars")
+        order = arrival(bars) if order is None else order
+        bars = cut_lineage(bars.withColumn("_o", order).drop(*skip), "new-bars")
         new = bars.withColumn("_src", F.lit(1))
         if self._exists():
             old = self.spark.read.parquet(self.path).where(F.col("year").isin(self._years(bars))).drop("year")
@@ -190,7 +208,7 @@ def update_table(current: DataFrame, changes: DataFrame, keys: list[str]) -> Dat
     Of several changes of a key the last one in `changes` counts.
     """
     cols = [c for c in changes.columns if c not in keys]
-    last = keep_last(changes.withColumn("_o", F.monotonically_increasing_id()), keys, F.col("_o"), cols)
+    last = keep_last(changes.withColumn("_o", arrival(changes)), keys, F.col("_o"), cols)
     marked = last.select(*keys, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_n_{c}") for c in cols])
     out = current.join(marked, keys, "left")
     return out.select(
