@@ -90,7 +90,7 @@ def st_signal(spark, sf):
     """All signals of the price stream, the last month's too: a closing marker moves the watermark past it."""
     p = t.prices_supp(spark, sf).select("symbol", "date", "close").withColumn("ts", F.col("date").cast("timestamp"))
     out = scratch_path(spark, "signals")
-    run = lambda stream, cp: jobs.signals(stream, out, cp, 3, 6, lookback=12, threshold=0.05)
+    run = lambda stream, cp: jobs.signals(stream, out, cp, 3, 6, lookback=12, threshold=0.05, stretch_ms=30 * jobs.DAY_MS)
     with jobs.rocksdb_state(spark):
         _replay(spark, p, "ticks", ["1998-01-01"], run, closing=True)
     r = spark.read.schema(jobs.SIGNAL_SCHEMA).parquet(out)
@@ -112,7 +112,7 @@ def st_ledger(spark, sf):
         F.floor(F.col("seq") / F.lit(10**18)).cast("bigint").alias("s1"), (F.col("seq") % F.lit(10**18)).cast("bigint").alias("s2"))
     out = scratch_path(spark, "ledger")
     with jobs.rocksdb_state(spark):
-        _replay(spark, flat, "fills", ["1998-01-01"], lambda stream, cp: jobs.ledger(stream, out, cp, start=start), closing=True)
+        _replay(spark, flat, "fills", ["1998-01-01"], lambda stream, cp: jobs.ledger(stream, out, cp, start=start, stretch_ms=30 * jobs.DAY_MS), closing=True)
     return rounded(jobs.latest_positions(spark, out, start), ["strategy", "symbol", "orders"], _LQ)
 
 
@@ -170,5 +170,5 @@ def st_syncprogress(spark, sf):
         for part in (o, o.where(recent)):
             part.write.mode("append").parquet(path)
             # tasks of this table pause for weeks: they end after a year
-            _run(jobs.sync_progress(spark.readStream.schema(o.schema).parquet(path), out, checkpoint, idle_ms=366 * 86_400_000))
+            _run(jobs.sync_progress(spark.readStream.schema(o.schema).parquet(path), out, checkpoint, idle_ms=366 * jobs.DAY_MS))
     return rounded(jobs.latest_progress(spark, out), SYNC_KEYS, ["progress"], 5)

@@ -21,6 +21,7 @@ from ..operators.stats import progress
 from ..sources.store import BarStore, file_time
 
 STATE_CONF = "spark.sql.streaming.stateStore.providerClass"
+DAY_MS = 86_400_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -105,7 +106,7 @@ class OrderedProcessor(StatefulProcessor):
 
     FIELDS: tuple[tuple[str, str], ...] = ()
     STATE = ""
-    STRETCH_MS = 86_400_000
+    STRETCH_MS = DAY_MS
     CHUNK = 1000
 
     def init(self, handle) -> None:
@@ -201,13 +202,15 @@ SIGNAL_SCHEMA = (
 
 def signals(
     bars: DataFrame, path: str, checkpoint: str, fast: int = 5, slow: int = 20, delay: str = "1 day",
-    lookback: int = 20, threshold: float = 0.02, budget: float = 100_000.0, lot: int = 100,
+    lookback: int = 20, threshold: float = 0.02, budget: float = 100_000.0, lot: int = 100, stretch_ms: int = DAY_MS,
 ) -> StreamingQuery:
     """Trading signals of a bar stream (symbol, ts, close): moving averages that cross, and momentum.
 
-    A signal's quantity is what `budget` buys in whole lots.
+    A signal's quantity is what `budget` buys in whole lots. Bars wait until
+    the watermark has passed the end of their stretch; long stretches suit a
+    replay of history, short ones give signals early.
     """
-    own = {"FAST": fast, "SLOW": slow, "LOOKBACK": lookback, "THRESHOLD": threshold, "BUDGET": budget, "LOT": lot}
+    own = {"STRETCH_MS": stretch_ms} | {"FAST": fast, "SLOW": slow, "LOOKBACK": lookback, "THRESHOLD": threshold, "BUDGET": budget, "LOT": lot}
     df = _opened(bars, delay).withColumn("ts_ms", F.unix_millis("ts"))
     out = df.groupBy("symbol").transformWithStateInPandas(
         statefulProcessor=type("BarSignals", (BarSignals,), own)(), outputStructType=SIGNAL_SCHEMA, outputMode="Append", timeMode="EventTime"
@@ -242,16 +245,19 @@ class LedgerState(OrderedProcessor):
 LEDGER_SCHEMA = "strategy string, symbol string, orders bigint, quantity double, avg_cost double, realized_pnl double"
 
 
-def ledger(fills: DataFrame, path: str, checkpoint: str, delay: str = "1 day", start: DataFrame | None = None) -> StreamingQuery:
+def ledger(
+    fills: DataFrame, path: str, checkpoint: str, delay: str = "1 day", start: DataFrame | None = None, stretch_ms: int = DAY_MS
+) -> StreamingQuery:
     """Ledger rows of a fill stream; the row with the most orders of a key is its state.
 
     `start` holds positions (one row a key, as `LEDGER_SCHEMA`) that the
-    stream goes on from; it is read with the first batch only.
+    stream goes on from; it is read with the first batch only. Fills wait
+    until the watermark has passed the end of their stretch.
     """
     df = _opened(fills, delay).withColumn("ts_ms", F.unix_millis("ts"))
     keys = ["strategy", "symbol"]
     out = df.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=LedgerState(), outputStructType=LEDGER_SCHEMA, outputMode="Append", timeMode="EventTime",
+        statefulProcessor=type("LedgerState", (LedgerState,), {"STRETCH_MS": stretch_ms})(), outputStructType=LEDGER_SCHEMA, outputMode="Append", timeMode="EventTime",
         initialState=None if start is None else start.groupBy(*keys),
     )
     return to_files(out, path, checkpoint)
@@ -375,7 +381,7 @@ class TaskProgress(StatefulProcessor):
     """Counts of a task's outcomes; they end once no outcome has come for `IDLE_MS` of event time."""
 
     STATE = "completed bigint, failed bigint, total bigint, last_ms bigint"
-    IDLE_MS = 86_400_000
+    IDLE_MS = DAY_MS
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -406,7 +412,7 @@ PROGRESS_SCHEMA = "task_id bigint, symbols_completed bigint, symbols_failed bigi
 
 
 def sync_progress(
-    outcomes: DataFrame, path: str, checkpoint: str, delay: str = "1 hour", idle_ms: int = 86_400_000, ident: str = "event_id"
+    outcomes: DataFrame, path: str, checkpoint: str, delay: str = "1 hour", idle_ms: int = DAY_MS, ident: str = "event_id"
 ) -> StreamingQuery:
     """Progress per task (task_id, outcome, ts, `ident`), written as it changes.
 
