@@ -18,8 +18,10 @@ from ..operators import backtest as bt
 from ..operators.asof import asof_join
 from ..session import cut_lineage, scratch_path
 from ..sources import business as bz
+from ..sources import plugins
 from ..sources import results as rs
 from ..sources import tables as t
+from ..streaming.jobs import to_files
 from .indicator_queries import HELD_CTE, SIG_MA_CTE
 from .metric_queries import MET
 from .registry import dated, query
@@ -502,11 +504,22 @@ def udf_sizing(spark, sf):
     return rounded(s.withColumn("size", size("signal", "close")), ["symbol", "date"], ["size"])
 
 
-@dated("udf_source", sql("prices_supp", body=f"SELECT symbol, date, {q('close')} FROM prices_supp WHERE symbol IN ('000001', '000002') AND date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'"))
+@dated("udf_source", sql("prices_supp", body=f"""SELECT mode, symbol, date, {q('close')} FROM prices_supp, (VALUES ('batch'), ('stream')) m(mode)
+WHERE date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'"""))
 def udf_source(spark, sf):
-    """A user data source registered by name."""
-    from ..sources.plugins import load, register_source
-
-    register_source("monthly", lambda session, symbols, start, end: t.prices_supp(session, sf).where(
-        F.col("symbol").isin(symbols) & F.col("date").between(start, end)))
-    return rounded(load(spark, "monthly", ["000001", "000002"], dt.date(1997, 1, 1), dt.date(1998, 12, 31)), ["symbol", "date"], ["close"])
+    """A user's feed of CSV files as a Spark format: all symbols, read in batch with a pushed condition and as a stream in two runs."""
+    folder = scratch_path(spark, "feed")
+    p = t.prices_supp(spark, sf).select("symbol", "date", "close")
+    p.repartition("symbol").write.partitionBy("symbol").csv(folder)
+    symbols = [r[0] for r in p.select("symbol").distinct().orderBy("symbol").collect()]  # the user's list
+    plugins.register_source(spark, "csv_feed", plugins.csv_feed(folder), "symbol string, date date, close double")
+    lo, mid, hi = dt.date(1997, 1, 1), dt.date(1998, 3, 31), dt.date(1998, 12, 31)
+    batch = plugins.load(spark, "csv_feed", symbols).where(F.col("date").between(lo, hi))
+    out, checkpoint = scratch_path(spark, "fed"), scratch_path(spark, "feed-checkpoint")
+    for end in (mid, hi):
+        run = to_files(plugins.load_stream(spark, "csv_feed", symbols, lo, end), out, checkpoint)
+        run.awaitTermination()
+        if run.exception() is not None:
+            raise run.exception()
+    both = batch.withColumn("mode", F.lit("batch")).unionByName(spark.read.parquet(out).withColumn("mode", F.lit("stream")))
+    return rounded(both, ["mode", "symbol", "date"], ["close"])

@@ -1,21 +1,168 @@
-"""User data sources by name (UDF_SOURCE)."""
+"""User data sources as Spark formats (UDF_SOURCE).
+
+A user writes `fetch(symbol, start, end)`, which yields rows of one symbol in
+an inclusive span of dates. Registered under a name it is read like any other
+format, in batch and as a stream; each task fetches some of the symbols, and
+conditions on symbol and date reach the fetch instead of its rows.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import datetime as dt
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    DataSourceStreamReader,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    LessThan,
+    LessThanOrEqual,
+)
+
+BARS = "symbol string, date date, open double, high double, low double, close double, volume double"
+PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
+DAY = dt.timedelta(days=1)
+
+Fetch = Callable[[str, dt.date, dt.date], Iterable[tuple]]
+
+
+class Fetching(InputPartition):
+    """Symbols and dates of one task."""
+
+    def __init__(self, symbols: tuple[str, ...], start: dt.date, end: dt.date):
+        self.symbols, self.start, self.end = symbols, start, end
+
+    def rows(self, fetch: Fetch) -> Iterator[tuple]:
+        for symbol in self.symbols if self.start <= self.end else ():
+            yield from fetch(symbol, self.start, self.end)
+
+
+def _dealt(symbols: Iterable[str], start: dt.date, end: dt.date, chunk: int) -> list[Fetching]:
+    symbols = sorted(symbols)
+    return [Fetching(tuple(symbols[k : k + chunk]), start, end) for k in range(0, len(symbols), chunk)] or [Fetching((), start, end)]
+
+
+class BatchReader(DataSourceReader):
+    """Reads what conditions on symbol and date leave."""
+
+    def __init__(self, fetch: Fetch, symbols: set[str], start: dt.date, end: dt.date, chunk: int):
+        self.fetch, self.symbols, self.start, self.end, self.chunk = fetch, symbols, start, end, chunk
+
+    def _take(self, f: Filter) -> bool:
+        name, value = getattr(f, "attribute", None), getattr(f, "value", None)
+        if name == ("symbol",) and isinstance(f, EqualTo):
+            self.symbols = self.symbols & {value}
+        elif name == ("symbol",) and isinstance(f, In):
+            self.symbols = self.symbols & set(value)
+        elif name == ("date",) and isinstance(f, EqualTo):
+            self.start, self.end = max(self.start, value), min(self.end, value)
+        elif name == ("date",) and isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+            self.start = max(self.start, value + DAY if isinstance(f, GreaterThan) else value)
+        elif name == ("date",) and isinstance(f, (LessThan, LessThanOrEqual)):
+            self.end = min(self.end, value - DAY if isinstance(f, LessThan) else value)
+        else:
+            return False
+        return True
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            if not self._take(f):
+                yield f
+
+    def partitions(self) -> list[Fetching]:
+        return _dealt(self.symbols, self.start, self.end, self.chunk)
+
+    def read(self, partition: Fetching) -> Iterator[tuple]:
+        return partition.rows(self.fetch)
+
+
+class StreamReader(DataSourceStreamReader):
+    """Offsets are dates: a batch holds the dates from one offset up to, not including, the next."""
+
+    def __init__(self, fetch: Fetch, symbols: set[str], start: dt.date, end: dt.date | None, chunk: int):
+        self.fetch, self.symbols, self.start, self.end, self.chunk = fetch, symbols, start, end, chunk
+
+    def initialOffset(self) -> dict:
+        return {"date": self.start.isoformat()}
+
+    def latestOffset(self) -> dict:
+        return {"date": ((self.end or dt.date.today()) + DAY).isoformat()}
+
+    def partitions(self, start: dict, end: dict) -> list[Fetching]:
+        low, high = (dt.date.fromisoformat(x["date"]) for x in (start, end))
+        return _dealt(self.symbols, low, high - DAY, self.chunk)
+
+    def read(self, partition: Fetching) -> Iterator[tuple]:
+        return partition.rows(self.fetch)
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
+def register_source(spark: SparkSession, name: str, fetch: Fetch, schema: str = BARS) -> None:
+    """Make `fetch` a format: `spark.read.format(name).option("symbols", "A,B")`.
+
+    Options: symbols (comma-separated), start and end (yyyy-MM-dd, open by
+    default) and chunk, the number of symbols a task fetches. Filters are
+    pushed where the session allows it (`PUSHDOWN`); registering turns that on.
+    """
+
+    class UserSource(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return name
+
+        def schema(self) -> str:
+            return schema
+
+        def _asked(self) -> tuple[set[str], dt.date, dt.date | None, int]:
+            o = self.options
+            symbols = {s for s in o.get("symbols", "").split(",") if s}
+            start, end = (dt.date.fromisoformat(o[k]) if k in o else None for k in ("start", "end"))
+            return symbols, start or dt.date(1, 1, 2), end, int(o.get("chunk", 50))
+
+        def reader(self, schema) -> BatchReader:
+            symbols, start, end, chunk = self._asked()
+            return BatchReader(fetch, symbols, start, end or dt.date(9999, 12, 30), chunk)
+
+        def streamReader(self, schema) -> StreamReader:
+            return StreamReader(fetch, *self._asked())
+
+    spark.conf.set(PUSHDOWN, "true")
+    spark.dataSource.register(UserSource)
+
+
+def load(spark: SparkSession, name: str, symbols: list[str], start: dt.date | None = None, end: dt.date | None = None, **options) -> DataFrame:
+    """Rows of many symbols from a registered source; one that lacks a symbol just has no rows for it."""
+    asked = {"symbols": ",".join(symbols)} | {k: v.isoformat() for k, v in (("start", start), ("end", end)) if v}
+    return spark.read.format(name).options(**asked, **options).load()
+
+
+def load_stream(spark: SparkSession, name: str, symbols: list[str], start: dt.date, end: dt.date | None = None, **options) -> DataFrame:
+    """The same as a stream: each run takes the dates since the last one, up to `end` or today."""
+    asked = {"symbols": ",".join(symbols), "start": start.isoformat()} | ({"end": end.isoformat()} if end else {})
+    return spark.readStream.format(name).options(**asked, **options).load()
 
-SOURCES: dict[str, Callable[..., DataFrame]] = {}
 
+def csv_feed(folder: str) -> Fetch:
+    """Fetch from CSV files `folder/symbol=<symbol>/*.csv` of (date, close) without header, on any file system that pyarrow reads."""
 
-def register_source(name: str, fn: Callable[..., DataFrame]) -> None:
-    """`fn(spark, symbols, start, end) -> bars`."""
-    SOURCES[name] = fn
+    def fetch(symbol: str, start: dt.date, end: dt.date) -> Iterator[tuple]:
+        from pyarrow import csv, fs
 
+        system, root = fs.FileSystem.from_uri(folder)
+        found = system.get_file_info(fs.FileSelector(f"{root}/symbol={symbol}", allow_not_found=True))
+        for f in sorted(x.path for x in found if x.path.endswith(".csv")):
+            with system.open_input_stream(f) as stream:
+                for date, close in zip(*csv.read_csv(stream, csv.ReadOptions(autogenerate_column_names=True)).to_pydict().values()):
+                    if start <= date <= end:
+                        yield symbol, date, float(close)
 
-def load(spark: SparkSession, name: str, symbols: list[str], start, end) -> DataFrame:
-    """All symbols in one call; a source that lacks a symbol just has no rows for it."""
-    if name not in SOURCES:
-        raise KeyError(f"no data source {name}")
-    return SOURCES[name](spark, symbols, start, end)
+    return fetch
