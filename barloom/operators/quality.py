@@ -112,11 +112,19 @@ def date_logic_ok(now: Column) -> Column:
 
 
 def check_bars(bars: DataFrame, max_null_ratio: float = 0.1, now: Column | None = None) -> DataFrame:
+    """Per symbol: required columns there and numbers, few missing values, sound prices and dates.
+
+    Without its columns a frame fails as a whole; the other checks are then null.
+    """
     now = F.current_date() if now is None else now
     n = F.count(F.lit(1))
+    if not check_schema(frame_types(bars)).isEmpty():
+        unknown = [F.lit(None).cast("boolean").alias(c) for c in ("nulls_ok", "price_ok", "dates_ok")]
+        return bars.groupBy("symbol").agg(n.alias("rows")).select("symbol", "rows", F.lit(False).alias("columns_ok"), *unknown, F.lit(False).alias("is_valid"))
     nulls_ok = all_of([(n - F.count(c)) / n <= max_null_ratio for c in ("date", *REQUIRED)])
     return bars.groupBy("symbol").agg(
         n.alias("rows"),
+        F.lit(True).alias("columns_ok"),
         nulls_ok.alias("nulls_ok"),
         price_logic_ok().alias("price_ok"),
         date_logic_ok(now).alias("dates_ok"),
@@ -125,7 +133,10 @@ def check_bars(bars: DataFrame, max_null_ratio: float = 0.1, now: Column | None
 
 
 def quality_summary(bars: DataFrame) -> DataFrame:
-    """Counts, null ratios, date range, close statistics and the list of issues."""
+    """Counts, null ratios, date range, close statistics and the list of issues.
+
+    All rows count: with an infinite close the mean is infinite and the deviation null.
+    """
     n = F.count(F.lit(1))
     cols = ("date", *REQUIRED)
     a = bars.groupBy("symbol").agg(
@@ -136,7 +147,7 @@ def quality_summary(bars: DataFrame) -> DataFrame:
         F.avg("close").alias("close_mean"),
         F.min("close").alias("close_min"),
         F.max("close").alias("close_max"),
-        F.stddev_samp("close").alias("close_std"),
+        F.nanvl(F.stddev_samp("close"), F.lit(None).cast("double")).alias("close_std"),
     )
     issue = [
         F.when(
@@ -196,6 +207,24 @@ def check_rows(bars: DataFrame) -> DataFrame:
     return bars.withColumn("row_ok", F.coalesce(ok, F.lit(False)))
 
 
+NUMERIC = ("tinyint", "smallint", "int", "bigint", "int8", "int16", "int32", "int64", "float", "double", "decimal")
+
+
+def check_schema(types: DataFrame, required=("date", *REQUIRED), numeric=REQUIRED) -> DataFrame:
+    """Rows (file, column, reason) for what is wrong with (file, column, type): columns that lack, columns that are not numbers."""
+    files = types.groupBy("file").agg(F.collect_set("column").alias("has"))
+    lacking = F.explode(F.array_except(F.array(*[F.lit(c) for c in required]), "has"))
+    missing = files.select("file", lacking.alias("column"), F.lit("missing column").alias("reason"))
+    kind = F.regexp_extract(F.lower("type"), "^[a-z0-9]+", 0)
+    wrong = types.where(F.col("column").isin(*numeric) & ~(kind.isin(*NUMERIC) | kind.startswith("decimal")))
+    return missing.unionByName(wrong.select("file", "column", F.concat(F.lit("not a number: "), "type").alias("reason")))
+
+
+def frame_types(df: DataFrame, name: str = "frame") -> DataFrame:
+    """(file, column, type) of a frame, for `check_schema`."""
+    return df.sparkSession.createDataFrame([(name, c, t) for c, t in df.dtypes], "file string, column string, type string")
+
+
 def check_file(bars: DataFrame) -> DataFrame:
     """One row for a written set: not empty, prices positive, high at or above low."""
     bad_price = F.lit(False)

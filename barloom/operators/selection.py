@@ -106,6 +106,43 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def aligned(frames: list[DataFrame], value: str = "close") -> DataFrame:
+    """Series of any number of symbols on the union of their dates, in long form: date, symbol, value, present, absent.
+
+    `present` symbols have a value on the date and `absent` ones lack it; of
+    repeated (date, symbol) rows the largest value counts. No column per
+    symbol is made, so the number of symbols is not bounded.
+    """
+    rows = union_all([f.select("date", "symbol", value) for f in frames]).groupBy("date", "symbol").agg(F.max(value).alias(value))
+    per_date = rows.groupBy("date").agg(F.count(F.lit(1)).alias("present"))
+    total = rows.agg(F.count_distinct("symbol")).scalar()
+    return rows.join(per_date, "date").withColumn("absent", total - F.col("present"))
+
+
+def page_after(df: DataFrame, order: list[str], after: dict | None = None, page_size: int = 10, max_page_size: int = 100) -> DataFrame:
+    """The rows that follow the one with the values `after` of the `order` columns (the first ones without it).
+
+    The condition on the last row's key reaches the scan, so a late page costs
+    what the first one costs and nothing before it is sorted or skipped. The
+    order columns ascend, hold no nulls and are unique together; `next_of`
+    gives the key of the page after.
+    """
+    _, page_size = clamp_page(1, page_size, max_page_size)
+    if after is not None:
+        beyond, same = F.lit(False), F.lit(True)
+        for c in order:
+            beyond = beyond | (same & (F.col(c) > F.lit(after[c])))
+            same = same & (F.col(c) == F.lit(after[c]))
+        df = df.where((F.col(order[0]) >= F.lit(after[order[0]])) & beyond)
+    return df.orderBy(*order).limit(page_size)
+
+
+def next_of(page: DataFrame, order: list[str]) -> dict | None:
+    """Key of a page's last row, or None for an empty page."""
+    last = page.orderBy(*[F.col(c).desc() for c in order]).select(*order).first()
+    return None if last is None else last.asDict()
+
+
 def select_query(
     df: DataFrame, sort_by: str = "date", ascending: bool = False, include_volume: bool = True,
     include_amount: bool = True, limit: int = 1000, offset: int = 0, symbols: list[str] | None = None, start=None, end=None,

@@ -310,15 +310,14 @@ def jn_anti_missing(spark, sf):
     return t.table(spark, sf, "customer").join(o, "c_custkey", "left_anti").select("c_custkey")
 
 
-@dated("jn_full_prices", sql("prices_supp", "bars_event", body=f"""SELECT date, {q('max(close) FILTER (WHERE symbol = $$000001$$)', 5, 'a')},
- {q('max(close) FILTER (WHERE symbol = $$000002$$)', 5, 'b')}, {q('max(close) FILTER (WHERE symbol = $$click$$)', 5, 'c')}
-FROM (SELECT symbol, date, close FROM prices_supp UNION ALL SELECT symbol, date, close FROM bars_event) WHERE symbol IN ('000001', '000002', 'click') GROUP BY date"""))
+@dated("jn_full_prices", sql("prices_supp", "bars_event", extra="""al AS (SELECT date, symbol, max(close) AS close FROM
+ (SELECT symbol, date, close FROM prices_supp UNION ALL SELECT symbol, date, close FROM bars_event) GROUP BY 1, 2)""", body=f"""
+SELECT date, symbol, count(*) OVER (PARTITION BY date) AS present, (SELECT count(DISTINCT symbol) FROM al) - count(*) OVER (PARTITION BY date) AS absent,
+ {q('close', 5)} FROM al"""))
 def jn_full_prices(spark, sf):
-    """Series of several symbols side by side on the union of their dates."""
-    u = sl.union_all([x.select("symbol", "date", "close") for x in (t.prices_supp(spark, sf), t.bars_event(spark, sf))])
-    names = {"000001": "a", "000002": "b", "click": "c"}
-    w = u.where(F.col("symbol").isin(*names)).groupBy("date").pivot("symbol", list(names)).agg(F.max("close"))
-    return rounded(w.withColumnsRenamed(names), ["date"], ["a", "b", "c"], 5)
+    """Series of all symbols of two universes on the union of their dates."""
+    both = sl.aligned([t.prices_supp(spark, sf), t.bars_event(spark, sf)])
+    return rounded(both, ["date", "symbol", "present", "absent"], ["close"], 5)
 
 
 @query("scl_typecoerce", """SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, json_extract_string(props, '$.none') AS missing FROM events""")

@@ -148,7 +148,7 @@ _DATE_OK = "count(date) = count(DISTINCT date) AND min(date) >= DATE '1990-01-01
 
 
 @query("chk_bars", sql("bars_brand", extra=DIRTY, body=f"""
-SELECT symbol, count(*) AS rows, {_NULLS} AS nulls_ok, {_PRICE_OK} AS price_ok, {_DATE_OK} AS dates_ok,
+SELECT symbol, count(*) AS rows, true AS columns_ok, {_NULLS} AS nulls_ok, {_PRICE_OK} AS price_ok, {_DATE_OK} AS dates_ok,
   ({_NULLS}) AND {_PRICE_OK} AND ({_DATE_OK}) AS is_valid FROM dirty GROUP BY symbol"""))
 def chk_bars(spark, sf):
     return ql.check_bars(dirty(spark, sf), now=F.lit(dt.date(2001, 12, 31)))
@@ -172,11 +172,12 @@ _ISSUES = "concat_ws('; ', " + ", ".join(
 @query("chk_summary", sql("bars_brand", extra=DIRTY, body=f"""
 SELECT symbol, total_records, close_nulls, first_day, last_day, {qs(_SUMQ, 4)}, issues, issues = '' AS is_valid FROM (
 SELECT symbol, count(*) AS total_records, count(*) - count(close) AS close_nulls, min(date) AS first_day, max(date) AS last_day,
- avg(close) AS close_mean, min(close) AS close_min, max(close) AS close_max, stddev_samp(close) AS close_std, {_ISSUES} AS issues
-FROM (SELECT * FROM dirty WHERE close IS NULL OR close < 'inf'::DOUBLE) GROUP BY symbol)"""), dates="first_day last_day")
+ CASE WHEN bool_or(close = 'inf'::DOUBLE) THEN 'inf'::DOUBLE ELSE avg(CASE WHEN close < 'inf'::DOUBLE THEN close END) END AS close_mean,
+ min(close) AS close_min, max(close) AS close_max,
+ CASE WHEN NOT bool_or(coalesce(close = 'inf'::DOUBLE, false)) THEN stddev_samp(CASE WHEN close < 'inf'::DOUBLE THEN close END) END AS close_std, {_ISSUES} AS issues
+FROM dirty GROUP BY symbol)"""), dates="first_day last_day")
 def chk_summary(spark, sf):
-    d = dirty(spark, sf).where(F.col("close").isNull() | (F.col("close") < float("inf")))
-    s = ql.quality_summary(d).withColumn("issues", F.array_join("issues", "; "))
+    s = ql.quality_summary(dirty(spark, sf)).withColumn("issues", F.array_join("issues", "; "))
     return rounded(s, ["symbol", "total_records", "close_nulls", "first_day", "last_day", "issues", "is_valid"], _SUMQ, 4)
 
 
@@ -217,6 +218,20 @@ def chk_file(spark, sf):
     return ql.check_file(s.read())
 
 
+@query("chk_fileschema", sql("bars_brand", body="""SELECT kind, col AS "column", reason, CAST(files AS BIGINT) AS files FROM (VALUES
+ ('narrow', 'volume', 'missing column', 1), ('text', 'close', 'not a number: string', 1)) v(kind, col, reason, files) WHERE (SELECT count(*) FROM bars_brand) > 0"""))
+def chk_fileschema(spark, sf):
+    """A folder with sound files, one without a column and one with text for numbers: the faults are rows, by the files' footers."""
+    b = t.bars_brand(spark, sf)
+    path = scratch_path(spark, "files")
+    b.write.parquet(f"{path}/sound")
+    b.drop("volume").coalesce(1).write.parquet(f"{path}/narrow")
+    b.withColumn("close", F.col("close").cast("string")).coalesce(1).write.parquet(f"{path}/text")
+    faults = ql.check_schema(st.file_schemas(spark, path))
+    kind = F.regexp_extract("file", "/([a-z]+)/[^/]*$", 1)
+    return faults.groupBy(kind.alias("kind"), "column", "reason").agg(F.count_distinct("file").alias("files"))
+
+
 @query("chk_ohlcv", sql("bars_brand", extra=DIRTY, body="""
 SELECT symbol, count(*) FILTER (WHERE ok) AS good, count(*) FILTER (WHERE NOT ok) AS bad FROM (
 SELECT symbol, coalesce(high = greatest(open, high, low, close) AND low = least(open, high, low, close) AND coalesce(volume, 0) >= 0, false) AS ok FROM dirty)
@@ -486,7 +501,7 @@ SELECT c_custkey, c_mktsegment, CASE WHEN n IS NOT NULL THEN c_acctbal + n ELSE
 LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) ON c_custkey = o_custkey
 UNION ALL SELECT c_custkey + 1000000, c_mktsegment, c_acctbal FROM customer WHERE c_nationkey = 3)""")
 def snk_bulk(spark, sf):
-    """Bulk insert (append) and bulk update (merge by key) of a written table."""
+    """Bulk insert (append) and bulk update (by key) of a stored table, which is read again."""
     c = t.table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
     extra = t.table(spark, sf, "customer").where("c_nationkey = 3").select(
         (F.col("c_custkey") + 1000000).alias("c_custkey"), "c_mktsegment", "c_acctbal")
@@ -496,17 +511,19 @@ def snk_bulk(spark, sf):
     n = t.table(spark, sf, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("c_custkey")).count()
     current = spark.read.parquet(path)
     changes = current.join(n, "c_custkey").select("c_custkey", (F.col("c_acctbal") + F.col("count")).alias("c_acctbal"))
-    return rounded(st.update_table(current, changes, ["c_custkey"]), ["c_custkey", "c_mktsegment"], ["c_acctbal"], 2)
+    st.write_updates(spark, path, changes, ["c_custkey"])
+    return rounded(spark.read.parquet(path), ["c_custkey", "c_mktsegment"], ["c_acctbal"], 2)
 
 
 @query("snk_retention", """SELECT o_orderkey, o_orderstatus FROM orders
 WHERE NOT (o_orderdate < TIMESTAMP '1999-01-01' AND o_orderstatus IN ('F', 'O'))""")
 def snk_retention(spark, sf):
-    """Finished task rows older than the cutoff are dropped from the written table."""
+    """Finished task rows older than the cutoff go from the stored table, which is read again."""
     o = t.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
     old = (F.col("o_orderdate") < F.lit(dt.datetime(1999, 1, 1))) & F.col("o_orderstatus").isin("F", "O")
     path = scratch_path(spark, "tasks")
-    o.where(~old).write.parquet(path)
+    o.write.parquet(path)
+    st.write_retention(spark, path, old)
     return spark.read.parquet(path).select("o_orderkey", "o_orderstatus")
 
 
@@ -595,6 +612,16 @@ def srt_page(spark, sf):
     return sl.paginate(c, ["c_acctbal", "c_custkey"], 3, 500).select("c_custkey", "total", "page", "total_pages", "has_next", "has_prev")
 
 
+@query("srt_pageafter", f"""SELECT o_orderkey, {q('o_totalprice', 2)} FROM orders ORDER BY o_custkey, o_orderkey LIMIT 300""")
+def srt_pageafter(spark, sf):
+    """Three pages of a listing, each found from the key of the row before it."""
+    o, order, after, pages = t.table(spark, sf, "orders"), ["o_custkey", "o_orderkey"], None, []
+    for _ in range(3):
+        pages.append(sl.page_after(o, order, after, 100))
+        after = sl.next_of(pages[-1], order)
+    return rounded(sl.union_all(pages), ["o_orderkey"], ["o_totalprice"], 2)
+
+
 @dated("srt_offset", sql("bars_brand", body=f"""
 SELECT date, {q('close')}, n AS total_count, true AS has_more, 150 AS next_offset FROM bars_brand,
  (SELECT count(*) AS n FROM bars_brand WHERE symbol = 'Brand#3') WHERE symbol = 'Brand#3' ORDER BY date LIMIT 100 OFFSET 50"""))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from ..operators.quality import keep_last
 from ..session import cut_lineage
 
 
-BARS = "symbol string, date date, open double, high double, low double, close double, volume double, amount double, year int"
+BARS = "symbol string, date date, open double, high double, low double, close double, volume double, amount double, year int, bucket int"
 STATS = "total_files long, total_size_mb double, symbols_count long, total_records long, first_year int, last_year int"
 
 
@@ -33,52 +34,71 @@ def arrival(df: DataFrame) -> Column:
     return F.struct(file_time().alias("file"), place.alias("place"))
 
 
+def _folder(spark: SparkSession, path: str):
+    """File system and path of a folder, wherever Spark keeps it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 @dataclass
 class BarStore:
-    """Bars under one path.
+    """Bars under one path, in folders of a year and a bucket of symbols.
 
-    A rewrite touches only the years present in the new rows. It is staged in
-    the shared folder first, because the old files are read while the new ones
-    are made, and then replaces those years' partitions.
+    A rewrite touches only the (year, bucket) folders that hold keys of the
+    new rows. It is staged in the shared folder first, because the old files
+    are read while the new ones are made, and then replaces those folders.
+    The number of buckets belongs to the store and stays what it was made with.
     """
 
     spark: SparkSession
     path: str
+    buckets: int = 8
 
     def _exists(self) -> bool:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        fs, p = _folder(self.spark, self.path)
         return fs.exists(p)
 
     def _table(self) -> DataFrame:
-        """All years; no rows where nothing has been written yet."""
+        """All folders; no rows where nothing has been written yet."""
         if not self._exists():
             return self.spark.createDataFrame([], BARS)
         return self.spark.read.parquet(self.path)
 
+    def _bucket(self, symbol: Column | str = "symbol") -> Column:
+        return F.pmod(F.xxhash64(symbol), F.lit(self.buckets)).cast("int")
+
     def _write(self, df: DataFrame, mode: str) -> None:
         # range partitioning splits a large symbol or year over many files of
         # like size, and gives row groups narrow symbol ranges to prune by
-        out = df.withColumn("year", F.year("date"))
-        out = out.repartitionByRange("year", "symbol", "date").sortWithinPartitions("year", "symbol", "date")
+        out = df.withColumns({"year": F.year("date"), "bucket": self._bucket()})
+        order = ["year", "bucket", "symbol", "date"]
         (
-            out.write.mode(mode)
+            out.repartitionByRange(*order)
+            .sortWithinPartitions(*order)
+            .write.mode(mode)
             .option("partitionOverwriteMode", "dynamic")
             .option("compression", "snappy")
-            .partitionBy("year")
+            .partitionBy("year", "bucket")
             .parquet(self.path)
         )
 
-    def _years(self, df: DataFrame) -> list[int]:
-        """Distinct years: bounded by the calendar, so safe to bring to the driver."""
-        return [r[0] for r in df.select(F.year("date")).distinct().collect() if r[0] is not None]
+    def _touched(self, df: DataFrame) -> list[tuple[int, int]]:
+        """(year, bucket) of the rows: bounded by the calendar and the number of buckets, so safe to bring to the driver."""
+        pairs = df.select(F.year("date").alias("year"), self._bucket().alias("bucket")).distinct().collect()
+        return sorted((r.year, r.bucket) for r in pairs if r.year is not None)
+
+    @staticmethod
+    def _within(folders: list[tuple[int, int]]) -> Column:
+        out = F.lit(False)
+        for year in sorted({y for y, _ in folders}):
+            out = out | ((F.col("year") == year) & F.col("bucket").isin([b for y, b in folders if y == year]))
+        return out
 
     def read(
         self, symbols: list[str] | DataFrame | None = None, start: dt.date | None = None,
         end: dt.date | None = None, columns: list[str] | None = None,
     ) -> DataFrame:
-        """Bars of many symbols in one scan; either bound alone prunes years too."""
+        """Bars of many symbols in one scan; either bound alone prunes years, and listed symbols prune buckets."""
         df = self._table()
         if start is not None:
             df = df.where((F.col("year") >= start.year) & (F.col("date") >= F.lit(start)))
@@ -87,8 +107,8 @@ class BarStore:
         if isinstance(symbols, DataFrame):
             df = df.join(symbols.select("symbol").distinct(), "symbol", "left_semi")
         elif symbols is not None:
-            df = df.where(F.col("symbol").isin(symbols))
-        return df.select(*columns) if columns else df.drop("year")
+            df = df.where(F.col("symbol").isin(symbols) & F.col("bucket").isin([self._bucket(F.lit(x)) for x in symbols]))
+        return df.select(*columns) if columns else df.drop("year", "bucket")
 
     def append(self, bars: DataFrame) -> None:
         self._write(bars, "append")
@@ -98,10 +118,9 @@ class BarStore:
         if not self._exists():
             return self._write(bars, "append")
         bars = cut_lineage(bars, "new-bars")
-        years = self._years(bars)
         touched = bars.select("symbol", F.year("date").alias("year")).distinct()
-        old = self.spark.read.parquet(self.path).where(F.col("year").isin(years))
-        kept = old.join(touched, ["symbol", "year"], "left_anti").drop("year")
+        old = self._table().where(self._within(self._touched(bars)))
+        kept = old.join(touched, ["symbol", "year"], "left_anti").drop("year", "bucket")
         self._write(cut_lineage(kept.unionByName(bars, allowMissingColumns=True), "overwrite"), "overwrite")
 
     def merge(self, bars: DataFrame, order: Column | None = None, skip: tuple[str, ...] = ()) -> None:
@@ -116,7 +135,7 @@ class BarStore:
         bars = cut_lineage(bars.withColumn("_o", order).drop(*skip), "new-bars")
         new = bars.withColumn("_src", F.lit(1))
         if self._exists():
-            old = self.spark.read.parquet(self.path).where(F.col("year").isin(self._years(bars))).drop("year")
+            old = self._table().where(self._within(self._touched(bars))).drop("year", "bucket")
             old = old.withColumn("_src", F.lit(0)).withColumn("_o", F.lit(None).cast(new.schema["_o"].dataType))
             new = old.unionByName(new, allowMissingColumns=True)
         rank = F.struct("_src", "_o")
@@ -125,25 +144,24 @@ class BarStore:
         self._write(cut_lineage(merged, "merge"), "overwrite")
 
     def delete(self, symbol: str, year: int | None = None) -> None:
-        """Remove a symbol from all years or one.
+        """Remove a symbol from all years or one: one folder a year is rewritten.
 
-        A year that held nothing else keeps no file: its partition is removed.
+        A folder that held nothing else is removed.
         """
         if not self._exists():
             return
         df = self._table()
-        hit = F.col("symbol") == symbol
+        hit = (F.col("symbol") == symbol) & (F.col("bucket") == self._bucket(F.lit(symbol)))
         if year is not None:
             hit = hit & (F.col("year") == year)
-        years = [r[0] for r in df.where(hit).select("year").distinct().collect()]
-        affected = df.where(F.col("year").isin(years))
-        kept = cut_lineage(affected.where(~hit).drop("year"), "delete")
-        left = set(self._years(kept))
+        folders = [(r.year, r.bucket) for r in df.where(hit).select("year", "bucket").distinct().collect()]
+        kept = df.where(self._within(folders) & (F.col("symbol") != symbol)).drop("year", "bucket")
+        kept = cut_lineage(kept, "delete")
+        left = self._touched(kept)
         self._write(kept, "overwrite")
-        jvm = self.spark._jvm
-        for y in set(years) - left:
-            p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/year={y}")
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        for y, b in set(folders) - set(left):
+            fs, p = _folder(self.spark, f"{self.path}/year={y}/bucket={b}")
+            fs.delete(p, True)
 
     def symbols(self) -> DataFrame:
         return self._table().select("symbol").distinct().orderBy("symbol")
@@ -219,6 +237,46 @@ def update_table(current: DataFrame, changes: DataFrame, keys: list[str]) -> Dat
     )
 
 
+def _replace(spark: SparkSession, path: str, df: DataFrame) -> None:
+    """Put the rows in place of a stored table; they are staged in the shared folder, where they stay if the last step fails."""
+    cut_lineage(df, "replace").write.mode("overwrite").parquet(path)
+
+
+def write_updates(spark: SparkSession, path: str, changes: DataFrame, keys: list[str]) -> None:
+    """Bulk update of a stored table: `update_table`, written back."""
+    _replace(spark, path, update_table(spark.read.parquet(path), changes, keys))
+
+
+def write_retention(spark: SparkSession, path: str, expired: Column) -> int:
+    """Take rows that are `expired` out of a stored table; how many they were. Rows for which that is unknown stay."""
+    rows = spark.read.parquet(path)
+    gone = rows.where(expired).count()
+    if gone:
+        _replace(spark, path, rows.where(~F.coalesce(expired, F.lit(False))))
+    return gone
+
+
+def file_schemas(spark: SparkSession, path: str) -> DataFrame:
+    """(file, column, type) of all Parquet files below `path`.
+
+    Spark lists the files; each task opens some of them and reads their
+    footers alone, through pyarrow, so the store must be one that it reaches.
+    """
+
+    def footers(batches):
+        from pyarrow import fs, parquet
+
+        for pdf in batches:
+            for file in pdf["path"]:
+                system, name = fs.FileSystem.from_uri(file)
+                with system.open_input_file(name) as f:
+                    schema = parquet.read_schema(f)
+                yield pd.DataFrame({"file": file, "column": schema.names, "type": [str(t) for t in schema.types]})
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    return files.select("path").mapInPandas(footers, "file string, column string, type string")
+
+
 def raw_sql(spark: SparkSession, text: str, params: dict | None = None, views: dict[str, DataFrame] | None = None) -> DataFrame:
     """Run SQL text with named parameters over the given views."""
     for name, df in (views or {}).items():

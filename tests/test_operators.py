@@ -7,12 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.operators import constraints as con
-from barloom.operators import costs, evaluation, indicators, ledger, metrics, models, rebalance, runs, selection, signals, weights
+from barloom.operators import costs, evaluation, indicators, ledger, metrics, models, quality, rebalance, runs, selection, signals, weights
 from barloom.operators import covariance as cv
 from barloom.operators import optimize as op
 from barloom.operators.quantiles import exact_quantiles
 from barloom.functions import rules
 from barloom.sources.results import FeatureStore, describe
+from barloom.sources import store
 from barloom.sources.store import BarStore, update_table
 from barloom.session import scratch_path
 
@@ -292,3 +293,53 @@ def test_plans_hold_no_cross_join_and_no_row_udf(spark, sf):
         plan = e.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
             assert bad not in plan, (name, bad)
+
+
+def test_pages_by_key_reach_the_scan(spark):
+    path = scratch_path(spark, "t")
+    spark.range(5000).selectExpr("id % 7 AS a", "id AS b").write.parquet(path)
+    df = spark.read.parquet(path)
+    after, seen = None, []
+    for _ in range(60):
+        page = selection.page_after(df, ["a", "b"], after, 100)
+        seen += [tuple(r) for r in page.collect()]
+        after = selection.next_of(page, ["a", "b"])
+        if after is None:
+            break
+    assert seen == sorted((k % 7, k) for k in range(5000))
+    plan = selection.page_after(df, ["a", "b"], {"a": 5, "b": 40}, 100)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(a,5)" in plan
+
+
+def test_store_rewrites_only_the_folders_it_must(spark):
+    s = BarStore(spark, scratch_path(spark, "t"), buckets=4)
+    rows = [(f"s{k}", D(y, 1, 2), 1.0) for k in range(20) for y in (2022, 2023)]
+    s.append(spark.createDataFrame(rows, "symbol string, date date, close double"))
+    files = lambda: {r[0] for r in s._table().select("_metadata.file_path").distinct().collect()}
+    before = files()
+    s.delete("s3", 2023)
+    touched = {f.rsplit("/", 1)[0] for f in before ^ files()}
+    assert len(touched) == 1 and "year=2023" in touched.pop()
+    assert s.read(["s3"]).count() == 1 and s.read().count() == 39
+    again = files()
+    s.merge(spark.createDataFrame([("s4", D(2022, 1, 2), 9.0)], "symbol string, date date, close double"))
+    assert len({f.rsplit("/", 1)[0] for f in again ^ files()}) == 1
+    assert s.read(["s4"], end=D(2022, 12, 31)).first().close == 9.0 and s.read().count() == 39
+
+
+def test_stored_tables_are_written_back(spark):
+    path = scratch_path(spark, "t")
+    spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "id int, v string").write.parquet(path)
+    store.write_updates(spark, path, spark.createDataFrame([(3, "z")], "id int, v string"), ["id"])
+    assert store.write_retention(spark, path, F.col("v") == "a") == 1 and store.write_retention(spark, path, F.col("v") == "a") == 0
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(2, None), (3, "z")]
+
+
+def test_columns_and_types_are_checked(spark):
+    good = spark.createDataFrame([("a", D(2023, 1, 2), 1.0, 1.0, 1.0, 1.0, 1.0)], "symbol string, date date, open double, high double, low double, close double, volume double")
+    assert quality.check_bars(good).first().is_valid
+    bad = good.drop("low").withColumn("high", F.lit("x"))
+    r = quality.check_bars(bad).first()
+    assert (r.columns_ok, r.is_valid, r.price_ok, r.rows) == (False, False, None, 1)
+    faults = {(x.column, x.reason) for x in quality.check_schema(quality.frame_types(bad)).collect()}
+    assert faults == {("low", "missing column"), ("high", "not a number: string")}
