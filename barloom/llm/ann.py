@@ -162,7 +162,9 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec
     """query_id, rank, vec_id, score: the `k` rows of largest inner product with each query, nearest first.
 
     Queries are the rows whose id is divisible by `every`; candidates all other
-    rows (of rows that share the query's id, none). Ties go to the smaller id.
+    rows (of rows that share the query's id, none). A query id that occurs
+    several times is searched once, with the smallest of its vectors (component
+    by component). Ties go to the smaller id.
     Vectors that are null, zero or hold null or non-finite components, and rows
     without an id, take no part. Vectors must share one length; those of a
     length other than the commonest raise. An empty table gives no rows.
@@ -177,7 +179,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec
     spread = lambda parts: F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts)).cast("int")
     packs = max(1, -(-n // every // QUERIES))
     index = _pack(rows.withColumn("block", spread(blocks)), "block", block, "base")
-    asked = rows.where(F.col("vec_id") % every == 0).withColumn("pack", spread(packs))
+    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("pack", spread(packs))
     queries = _pack(asked, "pack", QUERIES, "query").drop("dim")
     # each pack of queries visits each block; both sides are packed rows, so the visits are few and even
     visits = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(index, "block")

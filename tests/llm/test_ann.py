@@ -48,3 +48,12 @@ def test_no_vectors(spark):
     assert ann.nearest(empty).count() == 0
     alone = spark.createDataFrame([(20, [1.0, 2.0])], "vec_id long, embedding array<float>")
     assert ann.nearest(alone).count() == 0
+
+
+def test_a_repeated_query_is_searched_once(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, rng.normal(size=4).tolist()) for k in range(1, 40)]
+    asked = [(0, [1.0, 0.0, 0.0, 0.0])] * 2 + [(0, [2.0, 0.0, 0.0, 0.0])]
+    got = ann.nearest(frame(spark, [(k, x, 0, "s", "b") for k, x in rows + asked]), k=5, every=100).collect()
+    want = sorted(((-v[0], k) for k, v in rows))[:5]
+    assert [(r["rank"], r.vec_id) for r in sorted(got, key=lambda r: r["rank"])] == [(j + 1, k) for j, (_, k) in enumerate(want)]
