@@ -137,8 +137,9 @@ class FeaturePipeline:
     """Fit once, then transform any bars with the same numbers."""
 
     scaler: str = "standard"  # minmax, robust, none
-    selection: str = "k_best_f"  # mutual_info, none
+    selection: str = "k_best_f"  # mutual_info, variance, correlation, none
     n_features: int = 20
+    threshold: float | None = None  # variance to exceed (0 by default), correlation not to exceed (0.95)
     fill: dict[str, float] = field(default_factory=dict)
     scales: dict[str, tuple[float, float]] = field(default_factory=dict)
     selected: list[str] = field(default_factory=list)
@@ -150,7 +151,13 @@ class FeaturePipeline:
         if self.scaler != "none":
             self.scales = scale_params(filled, cols, self.scaler)
         self.selected = cols
-        if self.selection != "none" and "close" in cols:
+        if self.selection == "variance":
+            gone = {r["feature"] for r in low_variance(filled, cols, self.threshold or 0.0).collect()}
+            self.selected = [c for c in cols if c not in gone]
+        elif self.selection == "correlation":
+            gone = set(correlated_columns(filled, cols, 0.95 if self.threshold is None else self.threshold))
+            self.selected = [c for c in cols if c not in gone]
+        elif self.selection != "none" and "close" in cols:
             scored = next_return(filled)
             if self.selection == "k_best_f":
                 s, name = f_scores(scored, cols), "f_score"

@@ -10,25 +10,27 @@ from ..operators import indicators as ind
 from ..operators import models as ml
 from ..session import cut_lineage, scratch_path
 from ..sources import tables as t
-from .indicator_queries import MOVES, W, _BOLL_CTE, _WILL, _WILL_SRC, _rsi_cte, rows
+from .indicator_queries import _ALL_COLS, _ALL_EXTRA, W
 from .registry import dated, query
 from .shape import q, qs, rounded
 from .views_sql import sql
 
 K = ("symbol", "date")
-COLS = ["close", "volume", "rsi_14", "boll_position", "williams_r", "volume_ratio"]
-
-FT = f"""{MOVES}, {_rsi_cte(14, False)}, {_BOLL_CTE},
-wv AS (SELECT symbol, date, {_WILL} AS williams_r, volume / nullif(avg(volume) OVER {rows(5)}, 0) AS volume_ratio FROM {_WILL_SRC}),
-ft AS (SELECT symbol, date, r14.close, r14.volume, rsi_14, boll_position, williams_r, volume_ratio FROM r14 JOIN b2 USING (symbol, date) JOIN wv USING (symbol, date))"""
+#: Prices, sizes and the indicators of all families.
+COLS = ["open", "high", "low", "close", "volume", "amount", *_ALL_COLS]
+BEST = 20
+
+FT = f"""{_ALL_EXTRA},
+ft AS (SELECT symbol, date, b.open, b.high, b.low, b.close, b.volume, b.amount, {", ".join(_ALL_COLS)} FROM bars_brand b
+ JOIN m USING (symbol, date) JOIN r14 USING (symbol, date) JOIN r6 USING (symbol, date) JOIN e5 USING (symbol, date)
+ JOIN b2 USING (symbol, date) JOIN k3 USING (symbol, date) JOIN wv USING (symbol, date))"""
 MED = ", ".join(f"quantile_cont({c}, 0.5) AS m_{c}" for c in COLS)
 FI = f"md AS (SELECT {MED} FROM ft), fi AS (SELECT symbol, date, " + ", ".join(
     f"coalesce({c}, m_{c}) AS {c}" for c in COLS) + " FROM ft, md)"
 
 
 def _features(spark, sf):
-    b = t.bars_brand(spark, sf)
-    df = ind.all_indicators(b, ("rsi", "boll", "williams", "volume_ma"), rsi={"windows": (14,)}, volume_ma={"windows": (5,)})
+    df = ind.all_indicators(t.bars_brand(spark, sf))
     # the fit reads the features several times
     return cut_lineage(df.select(*K, *COLS), "features")
 
@@ -38,16 +40,15 @@ def fsql(body: str, extra: str = "") -> str:
 
 
 @dated("fp_raw", sql("bars_brand", extra=FT + ", big AS (SELECT symbol FROM bars_brand GROUP BY 1 HAVING count(*) >= 30)",
-                     body=f"SELECT symbol, date, {qs(COLS, 5)} FROM ft WHERE symbol IN (SELECT symbol FROM big)"))
+                     body=f"SELECT symbol, date, {qs(COLS, 4)} FROM ft WHERE symbol IN (SELECT symbol FROM big)"))
 def fp_raw(spark, sf):
-    df = fp.raw_features(t.bars_brand(spark, sf), 30, families=("rsi", "boll", "williams", "volume_ma"))
-    return rounded(df, K, COLS, 5)
+    return rounded(fp.raw_features(t.bars_brand(spark, sf), 30), K, COLS, 4)
 
 
-@dated("fp_impute", fsql(f"SELECT symbol, date, {qs(COLS, 5)} FROM fi"))
+@dated("fp_impute", fsql(f"SELECT symbol, date, {qs(COLS, 4)} FROM fi"))
 def fp_impute(spark, sf):
     f = _features(spark, sf)
-    return rounded(fp.impute(f, fp.medians(f, COLS)), K, COLS, 5)
+    return rounded(fp.impute(f, fp.medians(f, COLS)), K, COLS, 4)
 
 
 _SC = {
@@ -83,9 +84,9 @@ def _filled(spark, sf):
     return fp.next_return(fp.impute(f, fp.medians(f, COLS)))
 
 
-@query("fp_select_f", fsql(f"SELECT feature, {q('f_score', 5)} FROM fs ORDER BY f_score DESC LIMIT 4", f"{_TG}, {_LONG}, {_FS}"))
+@query("fp_select_f", fsql(f"SELECT feature, {q('f_score', 5)} FROM fs ORDER BY f_score DESC LIMIT {BEST}", f"{_TG}, {_LONG}, {_FS}"))
 def fp_select_f(spark, sf):
-    s = fp.f_scores(_filled(spark, sf), COLS).orderBy(F.desc("f_score"), "feature").limit(4)
+    s = fp.f_scores(_filled(spark, sf), COLS).orderBy(F.desc("f_score"), "feature").limit(BEST)
     return rounded(s, ["feature"], ["f_score"], 5)
 
 
@@ -115,10 +116,17 @@ def fp_select_var(spark, sf):
     return rounded(fp.low_variance(_filled(spark, sf), COLS, 0.5), ["feature"], ["variance"], 4)
 
 
-@query("fp_select_corr")
+_CORR = f"""nm AS (SELECT unnest({COLS!r}) AS feature, unnest(range(1, {len(COLS) + 1})) AS i),
+cm AS (SELECT """ + ", ".join(f"corr({a}, {b}) AS c_{i}_{j}" for i, a in enumerate(COLS, 1) for j, b in enumerate(COLS[: i - 1], 1)) + """ FROM fi),
+ca AS (SELECT CAST(split_part(k, '_', 2) AS INTEGER) AS i, CAST(split_part(k, '_', 3) AS INTEGER) AS j FROM (UNPIVOT cm ON COLUMNS(*) INTO NAME k VALUE v) WHERE abs(v) > 0.95),
+gr AS (SELECT 0 AS i, []::INTEGER[] AS kept UNION ALL SELECT i + 1,
+ CASE WHEN EXISTS (SELECT 1 FROM ca WHERE ca.i = gr.i + 1 AND list_contains(kept, ca.j)) THEN kept ELSE list_append(kept, i + 1) END FROM gr WHERE i < """ + f"{len(COLS)})"
+
+
+@query("fp_select_corr", fsql(f"SELECT feature FROM nm, (SELECT kept FROM gr WHERE i = {len(COLS)}) WHERE NOT list_contains(kept, nm.i)", _CORR).replace("WITH ", "WITH RECURSIVE ", 1))
 def fp_select_corr(spark, sf):
-    """Columns dropped because they correlate with an earlier one."""
-    gone = fp.correlated_columns(_filled(spark, sf), COLS, 0.5)
+    """Columns dropped because they correlate with an earlier one that stays."""
+    gone = fp.correlated_columns(_filled(spark, sf), COLS)
     return spark.createDataFrame([(c,) for c in gone], "feature string")
 
 
@@ -128,21 +136,21 @@ _TR_LONG = "un AS (" + " UNION ALL ".join(f"SELECT symbol, date, '{c}' AS featur
 
 
 @query("fp_transform", fsql(f"""SELECT symbol, count(*) AS cells, {q('sum(abs(v))', 3, 'total')} FROM un
-WHERE feature IN (SELECT feature FROM fs ORDER BY f_score DESC LIMIT 4) GROUP BY symbol""", f"{_TG}, {_LONG}, {_FS}, {_TR_SC}, {_TR_LONG}"))
+WHERE feature IN (SELECT feature FROM fs ORDER BY f_score DESC LIMIT {BEST}) GROUP BY symbol""", f"{_TG}, {_LONG}, {_FS}, {_TR_SC}, {_TR_LONG}"))
 def fp_transform(spark, sf):
     f = _features(spark, sf)
-    out = fp.FeaturePipeline(n_features=4).fit(f).transform(f)
+    out = fp.FeaturePipeline(n_features=BEST).fit(f).transform(f)
     cols = [c for c in out.columns if c not in K]
     total = sum((F.abs(F.col(c)) for c in cols[1:]), F.abs(F.col(cols[0])))
     g = out.groupBy("symbol").agg((F.count(F.lit(1)) * len(cols)).alias("cells"), F.sum(total).alias("total"))
     return rounded(g, ["symbol", "cells"], ["total"], 3)
 
 
-@query("fp_persist", fsql("SELECT feature FROM fs ORDER BY f_score DESC LIMIT 4", f"{_TG}, {_LONG}, {_FS}"))
+@query("fp_persist", fsql(f"SELECT feature FROM fs ORDER BY f_score DESC LIMIT {BEST}", f"{_TG}, {_LONG}, {_FS}"))
 def fp_persist(spark, sf):
     """Fitted pipeline saved and loaded again; its selected features."""
     path = scratch_path(spark, "pipeline")
-    fp.FeaturePipeline(n_features=4).fit(_features(spark, sf)).save(spark, path)
+    fp.FeaturePipeline(n_features=BEST).fit(_features(spark, sf)).save(spark, path)
     return spark.createDataFrame([(c,) for c in fp.FeaturePipeline.load(spark, path).selected], "feature string")
 
 
