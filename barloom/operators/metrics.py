@@ -149,10 +149,30 @@ _PERIOD_END = {
 }
 
 
+_UNIT = {"weekly": ("week", "INTERVAL 1 WEEK"), "monthly": ("month", "INTERVAL 1 MONTH"), "quarterly": ("quarter", "INTERVAL 3 MONTHS"), "yearly": ("year", "INTERVAL 1 YEAR")}
+
+
+def _all_periods(p: DataFrame, period: str, key: str) -> DataFrame:
+    """Periods without data between a key's first and last one: a return of 0, and the metrics of the period before."""
+    unit, step = _UNIT[period]
+    start = lambda c: F.date_trunc(unit, c).cast("date")
+    span = p.groupBy(key).agg(F.min("period_end").alias("_from"), F.max("period_end").alias("_to"))
+    grid = span.select(key, F.explode(F.sequence(start("_from"), start("_to"), F.expr(step))).alias("_start"))
+    grid = grid.select(key, _PERIOD_END[period](F.col("_start")).alias("period_end"))
+    w = Window.partitionBy(key).orderBy("period_end").rowsBetween(Window.unboundedPreceding, 0)
+    carried = [c for c in p.columns if c not in (key, "period_end", "period_return")]
+    return grid.join(p, [key, "period_end"], "left").select(
+        key,
+        "period_end",
+        F.coalesce("period_return", F.lit(0.0)).alias("period_return"),
+        *[F.last(c, ignorenulls=True).over(w).alias(c) for c in carried],
+    )
+
+
 def period_metrics(
     returns: DataFrame, period: str = "monthly", key: str = "strategy", risk_free: float = RISK_FREE
 ) -> DataFrame:
-    """Compounded return per period, and metrics from the start to each period's end."""
+    """Compounded return per period, and metrics from the start to each period's end; periods without data are there too."""
     w = running(key)
     df = curve(returns, key).withColumns(
         {
@@ -169,6 +189,8 @@ def period_metrics(
         F.max_by("_sd", "date").alias("_sd"),
         F.min("_mdd").alias("max_drawdown"),
     )
+    if period in _UNIT:
+        p = _all_periods(p, period, key)
     p = p.withColumn("volatility", F.col("_sd") * math.sqrt(TRADING_DAYS))
     ann = annualize(F.col("_v"), F.col("_n").cast("double"))
     return p.select(

@@ -133,12 +133,23 @@ _PER_END = {
     "quarterly": "last_day(CAST(date_trunc('quarter', date) + INTERVAL 2 MONTH AS DATE))",
     "yearly": "make_date(year(date), 12, 31)",
 }
+_PER_STEP = {"weekly": ("week", "1 WEEK"), "monthly": ("month", "1 MONTH"), "quarterly": ("quarter", "3 MONTH"), "yearly": ("year", "1 YEAR")}
+_PER_GRID = " UNION ALL ".join(
+    f"SELECT strategy, period, {_PER_END[k]} AS period_end FROM (SELECT strategy, period, "
+    f"CAST(unnest(generate_series(date_trunc('{u}', lo), hi::TIMESTAMP, INTERVAL {i})) AS DATE) AS date FROM ps WHERE period = '{k}')"
+    for k, (u, i) in _PER_STEP.items())
+_PER_LAST = ", ".join(
+    f"last_value({c} IGNORE NULLS) OVER (PARTITION BY strategy, period ORDER BY period_end ROWS UNBOUNDED PRECEDING) AS {c}"
+    for c in ("cumulative_return", "volatility", "n", "max_drawdown"))
 _PER_SQL = f"""
 p0 AS (SELECT *, count(*) OVER {WU} AS n, stddev_samp(ret) OVER {WU} AS sd, min(drawdown) OVER {WU} AS mdd FROM cd),
 p1 AS ({' UNION ALL '.join(f"SELECT '{k}' AS period, {e} AS period_end, * FROM p0" for k, e in _PER_END.items())}),
 p2 AS (SELECT strategy, period, period_end, product(1 + ret) - 1 AS period_return, arg_max(value, date) - 1 AS cumulative_return,
    arg_max(sd, date) * sqrt(252) AS volatility, max(n) AS n, min(mdd) AS max_drawdown FROM p1 GROUP BY 1, 2, 3),
-p3 AS (SELECT *, CASE WHEN volatility > 0 THEN (pow(1 + cumulative_return, 252.0 / n) - 1 - 0.03) / volatility ELSE 0 END AS sharpe_ratio FROM p2)"""
+ps AS (SELECT strategy, period, min(period_end) AS lo, max(period_end) AS hi FROM p2 GROUP BY 1, 2),
+pg AS ({_PER_GRID}),
+pf AS (SELECT strategy, period, period_end, coalesce(period_return, 0) AS period_return, {_PER_LAST} FROM pg LEFT JOIN p2 USING (strategy, period, period_end)),
+p3 AS (SELECT *, CASE WHEN volatility > 0 THEN (pow(1 + cumulative_return, 252.0 / n) - 1 - 0.03) / volatility ELSE 0 END AS sharpe_ratio FROM pf)"""
 
 
 @query(

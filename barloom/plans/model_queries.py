@@ -360,13 +360,16 @@ _FIN = """v0 AS (SELECT *, product(1 + y_pred) OVER (PARTITION BY model ORDER BY
 v1 AS (SELECT *, v / max(v) OVER (PARTITION BY model ORDER BY seq ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM v0),
 v2 AS (SELECT model, avg(y_pred) AS m, stddev_pop(y_pred) AS sd, stddev_pop(y_pred) FILTER (WHERE y_pred < 0) AS dsd, min(dd) AS max_drawdown,
  avg((sign(y_pred) = sign(y_true))::INTEGER) AS hit_rate, avg((sign(y_pred) = sign(y_true))::INTEGER) FILTER (WHERE y_pred <> 0 AND y_true <> 0) AS directional_accuracy,
+ coalesce(avg(y_pred - y_true) / nullif(stddev_pop(y_pred - y_true), 0), 0) AS information_ratio,
  max(q5) AS var_95, avg(y_pred) FILTER (WHERE y_pred <= q5) AS cvar_95 FROM v1 GROUP BY model),
 v3 AS (SELECT *, (m - 0.02) / sd AS sharpe_ratio, m / abs(max_drawdown) AS calmar_ratio, (m - 0.02) / dsd AS sortino_ratio FROM v2)"""
 
 
-@query("ev_fin", sql("predictions", extra=_FIN, body=f"SELECT model, {qs(ev.FINANCIAL)} FROM v3"))
+@query("ev_fin", sql("predictions", extra=_FIN, body=f"SELECT model, {qs([*ev.FINANCIAL, 'information_ratio'])} FROM v3"))
 def ev_fin(spark, sf):
-    return rounded(ev.financial(t.predictions(spark, sf)), ["model"], ev.FINANCIAL)
+    """Financial metrics of predictions, the information ratio against what came true."""
+    found = ev.financial(t.predictions(spark, sf), benchmark="y_true")
+    return rounded(found, ["model"], [*ev.FINANCIAL, "information_ratio"])
 
 
 _RM = ["mse", "mae", "r2", "max_error", "mean_bias"]

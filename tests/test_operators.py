@@ -343,3 +343,24 @@ def test_columns_and_types_are_checked(spark):
     assert (r.columns_ok, r.is_valid, r.price_ok, r.rows) == (False, False, None, 1)
     faults = {(x.column, x.reason) for x in quality.check_schema(quality.frame_types(bad)).collect()}
     assert faults == {("low", "missing column"), ("high", "not a number: string")}
+
+
+def test_periods_without_data_are_there(spark):
+    days = [D(2023, 1, 3), D(2023, 1, 4), D(2023, 4, 5), D(2023, 4, 6)]
+    df = spark.createDataFrame([("s", d, 0.1) for d in days], "strategy string, date date, ret double")
+    got = metrics.period_metrics(df, "monthly").orderBy("period_end").collect()
+    assert [r.period_end.month for r in got] == [1, 2, 3, 4]
+    assert [round(r.period_return, 6) for r in got] == [0.21, 0.0, 0.0, 0.21]
+    assert [round(r.cumulative_return, 6) for r in got] == [0.21, 0.21, 0.21, round(1.1**4 - 1, 6)]
+    assert got[1].sharpe_ratio == got[0].sharpe_ratio and metrics.period_metrics(df, "weekly").count() == 14
+
+
+def test_pipeline_selects_by_variance_and_correlation(spark):
+    from barloom.operators.features import FeaturePipeline
+
+    rows = [(f"s{k % 3}", float(k), float(2 * k + 1), 4.0, float((k * 7) % 11)) for k in range(60)]
+    df = spark.createDataFrame(rows, "symbol string, a double, b double, c double, d double")
+    assert FeaturePipeline(scaler="none", selection="variance").fit(df).selected == ["a", "b", "d"]
+    p = FeaturePipeline(scaler="none", selection="correlation").fit(df)
+    assert "b" not in p.selected and {"a", "d"} <= set(p.selected)
+    assert FeaturePipeline(selection="correlation", threshold=1.5).fit(df).selected == ["a", "b", "c", "d"]
