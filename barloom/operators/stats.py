@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.guards import div
-from ..functions.rules import topic
+from ..functions.rules import topic, topic_label
 from .selection import apply_filters, top_per_group
 
 
@@ -98,8 +98,9 @@ def chat_totals(messages: DataFrame, stored_per_session: int = 200) -> DataFrame
 
 
 def chat_categories(messages: DataFrame, keywords: dict[str, list[str]] | None = None) -> DataFrame:
+    """Messages per category, with the name it is shown by."""
     c = messages.groupBy(topic("text", keywords).alias("category")).agg(F.count(F.lit(1)).alias("count"))
-    return c.orderBy(F.desc("count"), "category")
+    return c.withColumn("label", topic_label("category")).orderBy(F.desc("count"), "category")
 
 
 def history_summary(backtests: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from ..sources import business as bz
 from ..sources import plugins
 from ..sources import results as rs
 from ..sources import tables as t
+from ..sources.store import BarStore
 from ..streaming.jobs import to_files
 from .indicator_queries import HELD_CTE, SIG_MA_CTE
 from .metric_queries import MET
@@ -240,7 +241,8 @@ def agg_chatstats(spark, sf):
     return rounded(s, ["total_conversations", "total_messages", "stored_messages", "user_satisfaction"], ["response_time_avg"], 4)
 
 
-@query("agg_chatcategories", f"SELECT {_topic_sql(_KW)} AS category, count(*) AS count FROM conversations GROUP BY 1")
+@query("agg_chatcategories", f"""SELECT category, count, CASE category {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.TOPIC_NAMES.items())} ELSE category END AS label
+FROM (SELECT {_topic_sql(_KW)} AS category, count(*) AS count FROM conversations GROUP BY 1)""")
 def agg_chatcategories(spark, sf):
     return ss.chat_categories(_messages(spark, sf), _KW)
 
@@ -255,14 +257,20 @@ def agg_histsum(spark, sf):
 
 
 @query("agg_cards", f"""SELECT count(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS active, count(*) FILTER (WHERE c_mktsegment = 'HOUSEHOLD') AS testing,
- {q('avg(c_acctbal / 10000)', 6, 'mean_return')}, (SELECT count(DISTINCT l_suppkey) FROM lineitem) AS total_symbols FROM customer""")
+ {q('avg(c_acctbal / 10000)', 6, 'mean_return')}, (SELECT count(DISTINCT l_suppkey) FROM lineitem) AS total_symbols, true AS has_files FROM customer""")
 def agg_cards(spark, sf):
     c = t.table(spark, sf, "customer")
     s = c.select(F.when(F.col("c_mktsegment") == "BUILDING", "active").when(F.col("c_mktsegment") == "HOUSEHOLD", "testing").otherwise("x").alias("status"),
                  (F.col("c_acctbal") / 10000).alias("total_return"))
-    stores = t.table(spark, sf, "lineitem").agg(F.count_distinct("l_suppkey").alias("symbols")).withColumns({"files": F.lit(1), "size_mb": F.lit(1.0)})
-    cards = ss.strategy_cards(s).withColumn("total_symbols", ss.storage_cards(stores).select("total_symbols").scalar())
-    return rounded(cards, ["active", "testing", "total_symbols"], ["mean_return"])
+    store = BarStore(spark, scratch_path(spark, "card-bars"))
+    days = t.table(spark, sf, "lineitem").select(F.col("l_suppkey").cast("string").alias("symbol"), F.col("l_shipdate").cast("date").alias("date"))
+    store.append(days)
+    kept = store.stats().select(F.col("total_files").alias("files"), F.col("total_size_mb").alias("size_mb"), F.col("symbols_count").alias("symbols"))
+    stored = cut_lineage(ss.storage_cards(kept), "cards")
+    cards = ss.strategy_cards(s).withColumns({
+        "total_symbols": stored.select("total_symbols").scalar(),
+        "has_files": stored.select((F.col("total_files") > 0) & (F.col("total_size_mb") > 0)).scalar()})
+    return rounded(cards, ["active", "testing", "total_symbols", "has_files"], ["mean_return"])
 
 
 # -- business tables and joins -------------------------------------------

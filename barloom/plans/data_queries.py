@@ -394,7 +394,7 @@ def src_industry(spark, sf):
 _QT = [v for v in vn.QUOTE_HEADERS.values() if v not in ("symbol", "name")]
 
 
-@query("src_quote", sql("bars_brand", body="SELECT symbol, name, " + qs(_QT, 4) + f""" FROM (
+@query("src_quote", sql("bars_brand", body="SELECT symbol, name, '2001-12-31 15:00:00' AS timestamp, " + qs(_QT, 4) + f""" FROM (
 SELECT symbol, 'N' || symbol AS name, close AS latest_price, (close / p - 1) * 100 AS change_pct, close - p AS change_amount, volume, amount,
  open AS open_price, high AS high_price, low AS low_price, p AS pre_close
 FROM (SELECT *, lag(close) OVER ({_W}) AS p FROM bars_brand) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1)"""))
@@ -403,11 +403,13 @@ def src_quote(spark, sf):
 
     b = t.bars_brand(spark, sf).withColumn("p", F.lag("close").over(by_date()))
     snap = ql.keep_last(b, ["symbol"], "date")
-    return rounded(vn.quotes(snap.select(
+    found = vn.quotes(snap.select(
         F.col("symbol").alias("代码"), F.concat(F.lit("N"), "symbol").alias("名称"), F.col("close").alias("最新价"),
         ((F.col("close") / F.col("p") - 1) * 100).alias("涨跌幅"), (F.col("close") - F.col("p")).alias("涨跌额"),
         F.col("volume").alias("成交量"), F.col("amount").alias("成交额"), F.col("open").alias("今开"),
-        F.col("high").alias("最高"), F.col("low").alias("最低"), F.col("p").alias("昨收"))), ["symbol", "name"], _QT, 4)
+        F.col("high").alias("最高"), F.col("low").alias("最低"), F.col("p").alias("昨收")), at=F.lit("2001-12-31 15:00:00").cast("timestamp"))
+    taken = F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("timestamp")
+    return rounded(found, ["symbol", "name", taken], _QT, 4)
 
 
 @query("src_calendar", "SELECT DISTINCT CAST(l_shipdate AS DATE) AS trade_date FROM lineitem WHERE year(l_shipdate) = 1998", dates="trade_date")

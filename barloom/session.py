@@ -42,7 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = spark.conf.get(LOCAL_CONF, None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="barloom-")
         spark.conf.set(LOCAL_CONF, base)

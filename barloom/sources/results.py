@@ -156,9 +156,10 @@ class BacktestStore:
             )
 
     def table(self, name: str) -> DataFrame:
-        # ids stay text even when all of them look like numbers
-        df = self.spark.read.parquet(f"{self.path}/{name}")
-        return df.withColumn("backtest_id", F.col("backtest_id").cast("string"))
+        # ids stay text, leading zeros included, even when all of them look like numbers
+        kinds = self.spark.read.parquet(f"{self.path}/{name}").schema
+        kinds["backtest_id"].dataType = T.StringType()
+        return self.spark.read.schema(kinds).parquet(f"{self.path}/{name}")
 
     def list(self, status: str | None = None, since: str | None = None, limit: int = 20) -> DataFrame:
         df = self.table("meta")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -85,12 +85,14 @@ def industry_classification(df: DataFrame) -> DataFrame:
     )
 
 
-def quotes(df: DataFrame, symbol: str | None = None) -> DataFrame:
+def quotes(df: DataFrame, symbol: str | None = None, at: Column | None = None) -> DataFrame:
+    """Quotes by their field names, with the time they were taken at (now by default)."""
     if symbol is not None:
         df = df.where(F.col("代码") == symbol)
     text = ("代码", "名称")
     return df.select(
-        *[(F.col(k) if k in text else F.col(k).cast("double")).alias(v) for k, v in QUOTE_HEADERS.items()]
+        *[(F.col(k) if k in text else F.col(k).cast("double")).alias(v) for k, v in QUOTE_HEADERS.items()],
+        (F.current_timestamp() if at is None else at).alias("timestamp"),
     )
 
 

@@ -364,3 +364,13 @@ def test_pipeline_selects_by_variance_and_correlation(spark):
     p = FeaturePipeline(scaler="none", selection="correlation").fit(df)
     assert "b" not in p.selected and {"a", "d"} <= set(p.selected)
     assert FeaturePipeline(selection="correlation", threshold=1.5).fit(df).selected == ["a", "b", "c", "d"]
+
+
+def test_backtest_ids_keep_their_zeros(spark):
+    from barloom.sources.results import BacktestStore
+
+    s = BacktestStore(spark, scratch_path(spark, "t"))
+    one = spark.createDataFrame([(1.0,)], "x double")
+    for i in ("007", "12"):
+        s.save(i, {"name": i, "status": "completed", "created_at": "2024"}, one, one, one)
+    assert sorted(r.backtest_id for r in s.table("meta").collect()) == ["007", "12"] and s.get("007").count() == 1
