@@ -47,12 +47,13 @@ class BarStore:
     A rewrite touches only the (year, bucket) folders that hold keys of the
     new rows. It is staged in the shared folder first, because the old files
     are read while the new ones are made, and then replaces those folders.
-    The number of buckets belongs to the store and stays what it was made with.
+    The number of buckets belongs to the store and stays what it was made with;
+    large stores want more of them, so that a folder holds some gigabytes.
     """
 
     spark: SparkSession
     path: str
-    buckets: int = 8
+    buckets: int = 4
 
     def _exists(self) -> bool:
         fs, p = _folder(self.spark, self.path)
