@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import free_name, id_text, text_runs
+from .common import id_text, text_runs
 from .components import components
 
 SEED = 42
@@ -42,7 +42,7 @@ def _mix(h: np.ndarray, lane: int) -> np.ndarray:
     """Further hashes made of a hash; the first is itself."""
     if not lane:
         return h
-    h = h + np.uint64(lane) * np.uint64(0x9E3779B97F4A7C15)
+    h = h + np.uint64(lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
@@ -70,7 +70,9 @@ def fingerprint_lanes(text: str, words: int, lanes: int) -> list[int]:
         counts = np.zeros(64, np.int64)
         for k in range(0, last, 1 << 14):
             part = _mix(hashes[k : k + (1 << 14)], lane).astype("<u8").view(np.uint8)
-            counts += np.unpackbits(part, bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+            bits = np.unpackbits(part, bitorder="little").reshape(-1, 64)
+            at = np.arange(0, len(bits), 255)  # as many ones as a byte can count
+            counts += np.add.reduceat(bits, at, axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)
         out.append(int(np.packbits(counts * 2 > last, bitorder="little").view("<u8")[0]))
     return out
 
@@ -170,8 +172,8 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[moved], values[label[moved]]
 
 
-def compare_groups(group: np.ndarray, fps: list[np.ndarray], home: np.ndarray, node: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links within sorted groups whose homes come first, as forests."""
+def pairs_within(group: np.ndarray, fps: list[np.ndarray], home: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, home it is near, differing bits) within sorted groups whose homes come first, some at a time."""
     starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     sizes = np.diff(np.append(starts, len(group)))
     n_homes = np.add.reduceat(home.astype(np.int64), starts)
@@ -189,10 +191,39 @@ def compare_groups(group: np.ndarray, fps: list[np.ndarray], home: np.ndarray, n
             apart += np.bitwise_count(lane[row] ^ lane[with_home])
         near = (apart <= distance) & (row != with_home)
         if near.any():
-            yield forest(node[row[near]], node[with_home[near]])
+            yield row[near], with_home[near], apart[near]
         lo = hi
 
 
+def compare_groups(group: np.ndarray, fps: list[np.ndarray], home: np.ndarray, node: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links within sorted groups whose homes come first, as forests."""
+    for row, with_home, _ in pairs_within(group, fps, home, distance):
+        yield forest(node[row], node[with_home])
+
+
+def whole_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of batches sorted by (group, home first), cut between groups.
+
+    A long group comes in parts, each with all homes seen so far.
+    """
+    held: list[np.ndarray] = []
+    for batch in batches:
+        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not len(now[0]):
+            continue
+        if held:
+            now = [np.concatenate(x) for x in zip(held, now)]
+        at = int(np.searchsorted(now[0], now[0][-1]))  # the last group may go on
+        whole, held = [x[:at] for x in now], [x[at:] for x in now]
+        if at:
+            yield whole
+        elif len(held[0]) > 2 * HOMES:  # a long group: its homes stay, the others can go once compared
+            yield held
+            held = [x[held[1]] for x in held]
+    if held:
+        yield held
+
+
 def link(prints: DataFrame, distance: int = 4, lanes: int = 1) -> DataFrame:
     """Links (u, v) that join all distinct fingerprints (fp long) differing in at most `distance` bits.
 
@@ -217,28 +248,10 @@ def link(prints: DataFrame, distance: int = 4, lanes: int = 1) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["anchor", "node", *names, "home"])
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def found(group, home, node, *fps):
+        for group, home, node, *fps in whole_groups(batches):
             for u, v in compare_groups(group, [x.view(np.uint64) for x in fps], home, node, distance):
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-        for batch in batches:
-            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if not len(now[0]):
-                continue
-            if held:
-                now = [np.concatenate(x) for x in zip(held, now)]
-            at = int(np.searchsorted(now[0], now[0][-1]))  # the last group may go on
-            whole, held = [x[:at] for x in now], [x[at:] for x in now]
-            if at:
-                yield from found(*whole)
-            elif len(held[0]) > 2 * HOMES:  # a long group: its homes stay, the others can go once compared
-                yield from found(*held)
-                held = [x[held[1]] for x in held]
-        if held:
-            yield from found(*held)
-
     of_node = F.col("fp") if lanes == 1 else F.xxhash64(*names)
     longs = ", ".join(f"{c} long" for c in names)
     schema = f"anchor long, node long, {longs}, home boolean"
@@ -299,29 +312,3 @@ def near_copies(docs: DataFrame, words: int = 4, distance: int = 4, doc_id: str
     first = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(first, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def similar_groups(docs: DataFrame, words: int = 5, lanes: int = 2, distance: int = 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, component_id) per row, as `near_copies`, from fingerprints of 64 bits a lane.
-
-    Texts that share 0.8 of their shingles differ in about 15% of the bits: 20
-    of 128 stand for that similarity.
-    """
-    names = lane_names(lanes)
-    prints = cut_lineage(fingerprints(docs, words, doc_id, text, lanes), "prints")
-    node = F.xxhash64(*names) if lanes > 1 else F.col("fp")
-    prints = prints.select("doc_id", *names, node.alias("node"))
-    firsts = prints.groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    found = components(link(prints, distance, lanes)).withColumnRenamed("node", "linked")
-    rooted = cut_lineage(firsts.join(found, F.col("node") == F.col("linked"), "left").select("node", "first_id", F.coalesce("root", "node").alias("root")), "rooted")
-    first = cut_lineage(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "roots")
-    return prints.join(rooted.join(first, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
-
-
-def drop_near_copies(docs: DataFrame, words: int = 5, lanes: int = 2, distance: int = 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with the smallest doc_id of each component; all columns as they were. Rows without a doc_id stay."""
-    found = similar_groups(docs, words, lanes, distance, doc_id, text)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    ident = free_name(docs, "_id")
-    rows = docs.withColumn(ident, docs[doc_id].cast("long"))
-    return rows.join(gone, rows[ident] == gone["_gone"], "left_anti").drop(ident)

@@ -1,13 +1,14 @@
 import hashlib
 import random
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from barloom.llm import components, exact_dedup, simhash, suffix_dedup
+from barloom.llm import components, exact_dedup, simhash, similar, suffix_dedup
 
 from .conftest import odd_rows, prose
 
@@ -154,11 +155,82 @@ def test_thresholds_of_the_segments_cover_the_distance(distance):
     assert sum(t + 1 for t in limits) == distance + 1
 
 
-def test_drop_near_copies_keeps_the_first(odd):
-    got = simhash.drop_near_copies(odd)
+def shingle_set(text, words=5):
+    parts = text.encode().lower().split()
+    return {b" ".join(parts[k : k + words]) for k in range(max(len(parts) - words + 1, 1))}
+
+
+def similarity(a, b):
+    return len(a & b) / len(a | b)
+
+
+def brute_similar(texts, least=0.8):
+    """Component number of each text; texts are linked at a Jaccard similarity of `least` of their shingles."""
+    sets = [shingle_set(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i, j in combinations(range(len(texts)), 2):
+        if similarity(sets[i], sets[j]) >= least:
+            i, j = sorted((find(i), find(j)))
+            root[j] = i
+    return [find(k) for k in range(len(texts))]
+
+
+def edited(rng, words, share):
+    return [f"n{rng.integers(1 << 40)}" if rng.random() < share else w for w in words]
+
+
+def test_similar_groups_recall_against_brute_force(spark):
+    """Pairs on both sides of 0.8; none below is linked, at least 0.9 of those above are."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for _ in range(150):
+        base = [f"w{k}" for k in rng.integers(0, 5000, rng.integers(60, 300))]
+        texts += [" ".join(base), " ".join(edited(rng, base, rng.choice([0.005, 0.015, 0.025, 0.04])))]
+    sets = [shingle_set(t) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in similar.similar_groups(df).collect()}
+    above = [k for k in range(0, 300, 2) if similarity(sets[k], sets[k + 1]) >= 0.8]
+    linked = [k for k in range(0, 300, 2) if got[k + 1] == k]
+    assert set(linked) <= set(above) and len(above) > 60
+    assert len(linked) >= 0.9 * len(above)
+    assert all(got[k] == k for k in range(0, 300, 2))
+
+
+def test_similar_groups_of_one_large_group(spark, monkeypatch):
+    monkeypatch.setattr(similar, "HOMES", 32)
+    monkeypatch.setattr(simhash, "HOMES", 32)
+    rng = np.random.default_rng(4)
+    base = [f"w{k}" for k in range(400)]
+    texts = [" ".join(edited(rng, base, 0.01)) for _ in range(200)] + ["other words stand here", "Other  WORDS stand here"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.component_id for r in similar.similar_groups(df).sort("doc_id").collect()]
+    assert got == brute_similar(texts)
+
+
+def test_segments_grow_with_the_texts():
+    few, many = (similar.segments_for(n, 0.8) for n in (1 << 16, 1 << 24))
+    assert len(many[0]) == len(few[0]) + 8 and len(few) < len(many) < 5 * len(few)
+    texts = np.random.default_rng(1).integers(0, 1 << 63, (50, 8), np.uint64)
+    # equal and neighbouring words of a segment have anchors within one bit
+    keys = similar.homes_of(texts, few)
+    bits = np.unpackbits(texts.view(np.uint8).reshape(50, -1), axis=1, bitorder="little")
+    for k, chosen in enumerate(few):
+        word = (bits[:, chosen].astype(np.int64) << np.arange(len(chosen))).sum(axis=1)
+        assert (np.bitwise_count((word ^ keys[:, k]) & (1 << 40) - 1) <= 1).all() and (keys[:, k] >> 40 == k).all()
+
+
+def test_drop_similar_keeps_the_first(odd, none):
+    got = similar.drop_similar(odd)
     ids = [r.doc_id for r in got.select("doc_id").collect()]
     assert got.columns == odd.columns
     assert 5 in ids and 6 not in ids and 7 not in ids and 9 not in ids and ids.count(None) == 2
+    assert similar.drop_similar(none).count() == 0
 
 
 def test_components(spark):

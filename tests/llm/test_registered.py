@@ -10,11 +10,10 @@ from check import compare, duck, frame
 import __spark_entry__ as entry_mod
 import corpus_pipeline
 from barloom.llm import catalog, mixing, quality
-from barloom.llm.simhash import fingerprint_lanes
 from barloom.llm.tokenizer_files import BYTE_BPE
 
 from .conftest import odd_rows
-from .test_dedup import brute_components, brute_fingerprint, brute_repeats
+from .test_dedup import brute_components, brute_fingerprint, brute_repeats, brute_similar
 
 
 @pytest.mark.parametrize("name", sorted(catalog.checks()))
@@ -59,8 +58,7 @@ def brute_pipeline(rows, labels, model):
     for r in sorted(good, key=lambda r: (r[0] is None, r[0] or 0)):
         by_text.setdefault(r[1] or "", r)
     single = list(by_text.values())
-    prints = [sum(x << 64 * k for k, x in enumerate(fingerprint_lanes(r[1] or "", 5, 2))) for r in single]
-    roots = brute_components(prints, 20)
+    roots = brute_similar([r[1] or "" for r in single])
     least = {}
     for r, root in zip(single, roots):
         if r[0] is not None:
