@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,10 +97,12 @@ def closing_marker(df: DataFrame, after: str = "INTERVAL 400 DAYS") -> DataFrame
 class OrderedProcessor(StatefulProcessor):
     """Buffers the rows of a key and hands them over in event-time order.
 
-    Rows wait in map states under the stretch of event time they fall into, in
-    chunks of bounded size, with one timer at the end of each stretch. A timer
-    reads the chunks of what is due and nothing that is still to wait.
-    Subclasses set `FIELDS` (name and type of a buffered row's values, first
+    Rows wait in map states in pieces of 1, 2, 4, ... stretches of event time,
+    chunks of bounded size, under the first stretch of each, with one timer at
+    the end of the earliest. It reads the pieces that hold what is due, takes
+    that in order and stores what is still to wait again in such pieces, so a
+    row is stored about log2(stretches it waits) times and a long replay takes
+    few state calls. Subclasses set `FIELDS` (name and type of a buffered row's values, first
     `ts_ms`; rows are taken in their order), `STATE` (schema of the value
     state) and implement `advance`.
     """
@@ -123,38 +126,61 @@ class OrderedProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for pdf in rows:
-            for stretch, part in pdf.groupby(pdf["ts_ms"] // self.STRETCH_MS):
-                stretch = int(stretch)
-                known = self.counts.containsKey((stretch,))
-                n = int(self.counts.getValue((stretch,))[0]) if known else 0
-                for start in range(0, len(part), self.CHUNK):
-                    some = part.iloc[start : start + self.CHUNK]
-                    self.chunks.updateValue((stretch, n), tuple(some[c].tolist() for c in self.names))
-                    n += 1
-                self.counts.updateValue((stretch,), (n,))
-                if not known:
-                    self.handle.registerTimer(self._end(stretch))
+            known = self._known()
+            earliest = min(known, default=None)
+            order = np.argsort(pdf["ts_ms"].to_numpy(), kind="stable")
+            self._store([pdf[c].to_numpy()[order].tolist() for c in self.names], known)
+            if earliest is None or min(known) < earliest:
+                self.handle.registerTimer(self._end(min(known)))
         yield from ()
 
+    def _known(self) -> dict[int, int]:
+        """Number of chunks under each stretch."""
+        return {int(k[0]): int(v[0]) for k, v in self.counts.iterator()}
+
+    def _store(self, values: list[list], known: dict[int, int]) -> None:
+        """Store columns in order of time; `known` is kept up to date."""
+        of = np.asarray(values[0]) // self.STRETCH_MS
+        starts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist()]
+        k, span = 0, 1
+        while k < len(starts):
+            stop = starts[k + span] if k + span < len(starts) else len(of)
+            for lo in range(starts[k], stop, self.CHUNK):
+                first, hi = int(of[lo]), min(lo + self.CHUNK, stop)
+                n = known.get(first, 0)
+                self.chunks.updateValue((first, n), tuple(v[lo:hi] for v in values))
+                self.counts.updateValue((first,), (n + 1,))
+                known[first] = n + 1
+            k, span = k + span, span * 2
+
     def _end(self, stretch: int) -> int:
         return (stretch + 1) * self.STRETCH_MS - 1
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        due = sorted(int(k[0]) for k in self.counts.keys() if self._end(int(k[0])) <= mark)
+        known = self._known()
+        due = sorted(stretch for stretch in known if self._end(stretch) <= mark)
         if not due:  # an earlier timer of the key took this stretch along
             return
         state = self.value.get() if self.value.exists() else None
-        for stretch in due:
-            rows = []
-            for place in range(int(self.counts.getValue((stretch,))[0])):
+        rows, late = [], (mark + 1) // self.STRETCH_MS  # the first stretch that is not due
+        for stretch, until in zip(due, [*due[1:], late]):
+            for place in range(known.pop(stretch)):
                 rows += zip(*self.chunks.getValue((stretch, place)))
                 self.chunks.removeKey((stretch, place))
             self.counts.removeKey((stretch,))
-            state, out = self.advance(key, state, sorted(rows))
-            if len(out):
-                yield out
+            if len(rows) >= self.CHUNK or until == late:
+                # rows of later stretches may lie in pieces not yet read
+                ready = [r for r in rows if r[0] // self.STRETCH_MS < until]
+                rows = [r for r in rows if r[0] // self.STRETCH_MS >= until]
+                state, out = self.advance(key, state, sorted(ready)) if ready else (state, ())
+                if len(out):
+                    yield out
+        if rows:
+            self._store([list(v) for v in zip(*sorted(rows, key=lambda r: r[0]))], known)
         self.value.update(state)
+        if known:
+            self.handle.registerTimer(self._end(min(known)))
 
     def advance(self, key, state, rows):
         raise NotImplementedError

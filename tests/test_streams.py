@@ -2,7 +2,10 @@
 
 import datetime as dt
 import time
+from types import SimpleNamespace
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +112,112 @@ def test_the_later_file_wins_whatever_its_size(spark, paths):
     with_ties = spark.createDataFrame([("Q", day, 1.0), ("Q", day, 3.0)], small.schema).coalesce(1)
     batch.merge(with_ties)
     assert batch.read().where(F.col("symbol") == "Q").select("close").collect() == [(3.0,)]
+
+
+class _Map(dict):
+    """A map state that counts calls."""
+
+    def __init__(self, calls):
+        super().__init__()
+        self.calls = calls
+
+    def _count(self):
+        self.calls.append(1)
+
+    def containsKey(self, k):
+        self._count()
+        return k in self
+
+    def getValue(self, k):
+        self._count()
+        return self[k]
+
+    def updateValue(self, k, v):
+        self._count()
+        self[k] = v
+
+    def removeKey(self, k):
+        self._count()
+        del self[k]
+
+    def iterator(self):
+        self._count()
+        return iter(list(self.items()))
+
+    def keys(self):
+        self._count()
+        return iter(list(super().keys()))
+
+
+class _Value:
+    def __init__(self):
+        self.held = None
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        return self.held
+
+    def update(self, v):
+        self.held = v
+
+
+class _Handle:
+    def __init__(self, calls):
+        self.calls, self.timers = calls, set()
+
+    def getMapState(self, *a):
+        return _Map(self.calls)
+
+    def getValueState(self, *a):
+        return _Value()
+
+    def registerTimer(self, ms):
+        self.calls.append(1)
+        self.timers.add(ms)
+
+
+class _Seen(jobs.OrderedProcessor):
+    FIELDS = (("ts_ms", "bigint"), ("v", "bigint"))
+    STATE = "n bigint"
+    STRETCH_MS, CHUNK = 10, 4
+
+    def advance(self, key, state, rows):
+        return ((state or (0,))[0] + len(rows),), pd.DataFrame(rows, columns=["ts_ms", "v"])
+
+
+def test_buffered_rows_come_once_in_order_with_few_state_calls():
+    rng = np.random.default_rng(4)
+    calls, got, sent = [], [], []
+    p = _Seen()
+    p.init(_Handle(calls))
+
+    def expire(mark):
+        while due := sorted(t for t in p.handle.timers if t <= mark):
+            p.handle.timers.discard(due[0])
+            for out in p.handleExpiredTimer(("k",), SimpleNamespace(getCurrentWatermarkInMs=lambda: mark), None):
+                got.extend(out.itertuples(index=False, name=None))
+
+    mark = -1
+    for step in range(12):  # rows up to 80 stretches ahead, watermarks in the middle of stretches
+        ts = mark + 1 + rng.integers(0, 800, 30)
+        rows = [(int(t), 100 * step + i) for i, t in enumerate(ts)]
+        sent += rows
+        list(p.handleInputRows(("k",), iter([pd.DataFrame(rows, columns=["ts_ms", "v"])]), None))
+        mark += int(rng.integers(5, 120))
+        expire(mark)
+        bound = (mark + 1) // 10 * 10
+        assert got == sorted(r for r in sent if r[0] < bound)
+        # rows of a stretch that is over are late: the watermark drops them
+        assert len(p.handle.timers) >= 1
+        mark = bound + 9
+        expire(mark)
+    expire(10**6)
+    assert got == sorted(sent) and not p.counts and not p.chunks and p.value.held == (len(sent),)
+
+    calls.clear()
+    p.CHUNK = 1000
+    list(p.handleInputRows(("k",), iter([pd.DataFrame([(2 * 10**6 + 10 * i, i) for i in range(80)], columns=["ts_ms", "v"])]), None))
+    expire(10**8)
+    assert len(calls) < 80  # one stretch each: 80 rows took over 500 calls
