@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -12,7 +13,7 @@ from pyspark.ml.evaluation import (
 )
 from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .indicators import lag_features, ma_features, target
@@ -38,35 +39,33 @@ def prepare(
     return df.select("symbol", "date", *all_cols, "target").dropna(), all_cols
 
 
-def _with_offsets(df: DataFrame) -> DataFrame:
-    """Rows per date with the number of rows before it; one row per calendar day."""
-    per = df.groupBy("date").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
-    return per.withColumns(
-        {"_before": F.coalesce(F.sum("_c").over(before), F.lit(0)), "_total": F.sum("_c").over(Window.partitionBy())}
-    )
+def _cut(df: DataFrame, per: list, position: int) -> Column:
+    """Condition of the rows before `position` in (date, symbol) order; `per` has the rows of each date in order."""
+    before = 0
+    for date, n in per:
+        if position < before + n:
+            # the symbol at the cut; a date's rows are told apart by symbol
+            names = df.where(F.col("date") == F.lit(date)).select("symbol").orderBy("symbol")
+            at = names.offset(position - before).limit(1).first()[0] if position > before else None
+            earlier = F.col("date") < F.lit(date)
+            return earlier if at is None else earlier | ((F.col("date") == F.lit(date)) & (F.col("symbol") < F.lit(at)))
+        before += n
+    return F.lit(True)
 
 
 def time_split(df: DataFrame, train: float = 0.7, validation: float = 0.15) -> DataFrame:
     """Label rows train, validation or test by their place in (date, symbol) order.
 
-    Only the rows of the dates that a cut runs through are ranked; all others
-    get their label from the count of earlier rows.
+    The rows of each date are counted (the calendar bounds them) and the symbol
+    is looked up at which a cut runs through its date; the label then follows
+    from a row's own date and symbol, and `df` is neither joined nor shuffled.
+    `df` is read for each of these, so a costly one should be stored. A symbol
+    has one row per date.
     """
-    per = _with_offsets(df)
-    a = F.floor(F.col("_total") * F.lit(train))
-    b = F.floor(F.col("_total") * F.lit(train + validation))
-
-    def label(pos):
-        return F.when(pos < a, "train").when(pos < b, "validation").otherwise("test")
-
-    end = F.col("_before") + F.col("_c")
-    cut = ((F.col("_before") < a) & (end > a)) | ((F.col("_before") < b) & (end > b))
-    joined = df.join(per.withColumn("_cut", cut), "date")
-    whole = joined.where("NOT _cut").withColumn("split", label(F.col("_before")))
-    rank = F.row_number().over(Window.partitionBy("date").orderBy("symbol")) - 1
-    broken = joined.where("_cut").withColumn("split", label(F.col("_before") + rank))
-    return whole.unionByName(broken).select(*df.columns, "split")
+    per = [tuple(r) for r in df.groupBy("date").count().orderBy("date").collect()]
+    total = sum(n for _, n in per)
+    a, b = (_cut(df, per, math.floor(total * share)) for share in (train, train + validation))
+    return df.withColumn("split", F.when(a, "train").when(b, "validation").otherwise("test"))
 
 
 def time_folds(df: DataFrame, folds: int = 5) -> DataFrame:

@@ -196,7 +196,7 @@ def ml_split(spark, sf):
 
 def _train_test(spark, sf, kind="return"):
     df, cols = _prepared(spark, sf, kind)
-    df = cut_lineage(ml.time_split(df), "training")
+    df = ml.time_split(cut_lineage(df, "training"))
     return df.where("split = 'train'"), df.where("split = 'test'"), cols
 
 

@@ -1,5 +1,7 @@
 """Registered model queries that have no SQL."""
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry_mod
 from barloom.operators import models
 
@@ -17,3 +19,15 @@ def test_ml_batch_trains_full_models(spark, sf, monkeypatch):
     assert got == {"a": True, "b": True, "broken": False}
     trees = [s.getNumTrees() if s.hasParam("numTrees") else s.getMaxIter() for s in trained]
     assert trees == [models.DEFAULTS["maxIter"]] * 2 and {s.getMaxDepth() for s in trained} == {models.DEFAULTS["maxDepth"]}
+
+
+def test_time_split_neither_joins_nor_shuffles_rows(spark):
+    df = spark.range(200).select(F.format_string("s%02d", F.col("id") % 20).alias("symbol"), F.date_add(F.lit("2024-01-01"), (F.col("id") / 20).cast("int")).alias("date"))
+    for train, validation in ((0.7, 0.15), (0.333, 0.333), (0.5, 0.5), (1.0, 0.0)):
+        out = models.time_split(df, train, validation)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan and "Window" not in plan
+        got = [r.split for r in out.collect()]
+        want = [int(200 * train), int(200 * (train + validation)) - int(200 * train)]
+        assert [got.count("train"), got.count("validation"), got.count("test")] == [*want, 200 - sum(want)]
+    assert models.time_split(df.limit(0)).count() == 0
