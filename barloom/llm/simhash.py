@@ -15,7 +15,7 @@ fingerprints that exceed t in every segment differ in more than `distance`.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -172,8 +172,13 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[moved], values[label[moved]]
 
 
-def pairs_within(group: np.ndarray, fps: list[np.ndarray], home: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, home it is near, differing bits) within sorted groups whose homes come first, some at a time."""
+def pairs_within(
+    group: np.ndarray, fps: list[np.ndarray], home: np.ndarray, distance: int, may: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, home it is near, differing bits) within sorted groups whose homes come first, some at a time.
+
+    `may(rows, homes)` tells which pairs need their bits compared.
+    """
     starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     sizes = np.diff(np.append(starts, len(group)))
     n_homes = np.add.reduceat(home.astype(np.int64), starts)
@@ -186,6 +191,9 @@ def pairs_within(group: np.ndarray, fps: list[np.ndarray], home: np.ndarray, dis
         w = work[lo:hi]
         row = np.repeat(np.arange(lo, hi), w)
         with_home = starts[mine[row]] + np.arange(len(row)) - np.repeat(np.cumsum(w) - w, w)
+        if may:
+            chosen = may(row, with_home)
+            row, with_home = row[chosen], with_home[chosen]
         apart = np.zeros(len(row), np.int64)
         for lane in fps:
             apart += np.bitwise_count(lane[row] ^ lane[with_home])

@@ -213,6 +213,47 @@ def test_similar_groups_of_one_large_group(spark, monkeypatch):
     assert got == brute_similar(texts)
 
 
+@pytest.mark.parametrize("homes", [4096, 8])
+def test_similar_groups_miss_no_link(spark, monkeypatch, homes):
+    """Hardly any anchors: the exact join finds what they miss, in hot groups too."""
+    monkeypatch.setattr(similar, "MEETINGS", 0.01)
+    monkeypatch.setattr(similar, "HOMES", homes)
+    monkeypatch.setattr(simhash, "HOMES", homes)
+    rng = np.random.default_rng(5)
+    texts = ["", "one", "two words", "Two WORDS"]
+    for size in (5, 9, 40, 300):
+        for _ in range(6):
+            base = [f"w{k}" for k in rng.integers(0, 3000, size)]
+            texts += [" ".join(edited(rng, base, share)) for share in (0, 0.01, 0.02, 0.03, 0.04, 0.06)]
+            texts += [" ".join(base + base[: size // 5]), " ".join(base[: size - size // 6])]
+    # unrelated texts with many common shingles
+    line = [f"c{k}" for k in range(60)]
+    texts += [" ".join(line + [f"v{j}x{k}" for k in range(rng.integers(5, 60))]) for j in range(60)]
+    # exactly 0.8: 4 of 5 shingles shared
+    texts += ["a b c d e f g h", "a b c d e f g h i", "p q r s t u v w x", "p q r s t u v w y"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.component_id for r in similar.similar_groups(df).sort("doc_id").collect()]
+    assert got == brute_similar(texts)
+    assert len(set(got)) < len(texts) - 40
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(6)
+    common = np.unique(rng.integers(0, 1000, 300))
+    at = rng.permutation(len(common))
+    for _ in range(300):
+        both = rng.choice(1000, rng.integers(8, 200), replace=False)
+        n = len(both)
+        cut = rng.integers(0, n // 5 + 1)
+        extra = rng.integers(0, n // 5 - cut + 1) if n // 5 > cut else 0
+        a, b = np.unique(both[cut:]), np.unique(np.append(both, 1000 + np.arange(extra)))
+        if len(a) / len(b) >= 0.8:
+            mine, other = (set(similar.prefix(x, common, at, 0.8)) for x in (a, b))
+            assert mine & other
+            apart = sum(int(np.bitwise_count(x ^ y)) for x, y in zip(*(similar.parities(s).view(np.uint64) for s in (a, b))))
+            assert apart <= len(b) - len(a)
+
+
 def test_segments_grow_with_the_texts():
     few, many = (similar.segments_for(n, 0.8) for n in (1 << 16, 1 << 24))
     assert len(many[0]) == len(few[0]) + 8 and len(few) < len(many) < 5 * len(few)
