@@ -2,18 +2,23 @@
 
 Input is predictions(model, ..., y_true, y_pred), any number of rows per model:
 everything is an aggregate by model, order statistics come from
-`exact_quantiles`, and the drawdown of the prediction series from folds in
-several levels.
+`exact_quantiles`, and the drawdown of the prediction series from folds of
+sorted ranges.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.guards import div
 from .quantiles import exact_quantiles
-from .runs import dealt
 
 # Metrics for which a larger value ranks first; all others rank
 # lower-is-better, `correlation` and `max_drawdown` included.
@@ -147,16 +152,34 @@ def _fold(xs: Column) -> Column:
 
 
 def series_drawdown(df: DataFrame, ret: str, key: str = "model", order: tuple[str, ...] = ("date", "seq")) -> DataFrame:
-    """Worst drawdown of the compounded series of each key, in the given order.
+    """Worst drawdown of the compounded series of each key, in the given order; a missing return changes nothing.
 
-    Blocks of rows are folded in parallel, then the blocks of a range, then
-    the ranges of a key.
+    Rows are dealt into sorted ranges of that order and folded as they pass, a
+    batch at a time; the pieces of a range are joined, then the ranges of a key.
     """
-    g = 1 + F.col(ret)
-    names = [f"o{i}" for i in range(len(order))]
-    at = [F.col(c).alias(n) for c, n in zip(order, names)]
-    row = F.struct(*at, g.alias("g"), g.alias("hi"), g.alias("lo"), F.lit(0.0).alias("dd"))
-    folded = dealt(df, [key], list(order)).groupBy(key, "_range", "_block").agg(_fold(F.array_sort(F.collect_list(row))).alias("s"))
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, piece = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            runs, out = pc.run_end_encode(batch.column(0)), []
+            start, growth = 0, batch.column(1).to_numpy(zero_copy_only=False)
+            for end in runs.run_ends.to_pylist():
+                g = growth[start:end]
+                v = np.cumprod(g[~np.isnan(g)])  # NULLs come as NaN
+                if len(v):
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        fall = float(np.fmin.reduce(v / np.maximum.accumulate(v) - 1))
+                    out.append((part, piece, v[-1], v.max(), v.min(), min(fall, 0.0)))
+                else:
+                    out.append((part, piece, 1.0, None, None, 0.0))
+                start, piece = end, piece + 1
+            cols = [pa.array(c, t) for c, t in zip(zip(*out), [pa.int32(), pa.int64(), *[pa.float64()] * 4])]
+            if out:
+                yield pa.RecordBatch.from_arrays([runs.values, *cols], names=["key", "_range", "_block", "g", "hi", "lo", "dd"])
+
+    placed = df.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
+    growth = placed.select(key, (1 + F.col(ret)).cast("double").alias("g"))
+    schema = f"key {df.select(key).schema[0].dataType.simpleString()}, _range int, _block long, g double, hi double, lo double, dd double"
+    folded = growth.mapInArrow(run, schema).select(F.col("key").alias(key), "_range", "_block", F.struct("g", "hi", "lo", "dd").alias("s"))
     for level in ("_block", "_range"):
         link = F.struct(F.col(level).alias("o"), *[F.col(f"s.{c}").alias(c) for c in ("g", "hi", "lo", "dd")])
         by = [key, "_range"] if level == "_block" else [key]

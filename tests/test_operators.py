@@ -186,6 +186,31 @@ def test_drawdown_of_a_series_of_one_day(spark, monkeypatch):
     assert evaluation.series_drawdown(df, "y").first().max_drawdown == pytest.approx(want)
 
 
+def test_series_drawdown_of_many_batches_and_missing_returns(spark):
+    """Folded as rows pass: keys and batches meet anywhere, a missing return changes nothing."""
+    import random
+
+    rnd = random.Random(9)
+    rows = [(m, k // 7, k, None if rnd.random() < 0.1 or k < 3 else rnd.uniform(-0.1, 0.1)) for m in "abc" for k in range(500)]
+    df = spark.createDataFrame(rows + [("none", 1, 1, None)], "model string, date int, seq int, y double").repartition(5)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = {r.model: r.max_drawdown for r in evaluation.series_drawdown(df, "y").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got.pop("none") == 0 and len(got) == 3
+    for m, found in got.items():
+        v, high, worst = 1.0, None, 0.0
+        for r in rows:
+            if r[0] == m and r[3] is not None:
+                v *= 1 + r[3]
+                high = max(v, high or v)
+                worst = min(worst, v / high - 1)
+        assert found == pytest.approx(worst)
+
+
+
 def test_last_copy_of_a_key_in_a_batch_wins(spark):
     for values in ((1.0, 2.0), (2.0, 1.0)):
         s = BarStore(spark, scratch_path(spark, "t"))
