@@ -517,9 +517,9 @@ def udf_source(spark, sf):
     """A user's feed of CSV files as a Spark format: all symbols, read in batch with a pushed condition and as a stream in two runs."""
     folder = scratch_path(spark, "feed")
     p = t.prices_supp(spark, sf).select("symbol", "date", "close")
-    p.repartition("symbol").write.partitionBy("symbol").csv(folder)
     symbols = [r[0] for r in p.select("symbol").distinct().orderBy("symbol").collect()]  # the user's list
-    plugins.register_source(spark, "csv_feed", plugins.csv_feed(folder), "symbol string, date date, close double")
+    firsts = plugins.write_csv_feed(p, symbols, folder)
+    plugins.register_source(spark, "csv_feed", plugins.csv_feed(folder, firsts), "symbol string, date date, close double")
     lo, mid, hi = dt.date(1997, 1, 1), dt.date(1998, 3, 31), dt.date(1998, 12, 31)
     batch = plugins.load(spark, "csv_feed", symbols).where(F.col("date").between(lo, hi))
     out, checkpoint = scratch_path(spark, "fed"), scratch_path(spark, "feed-checkpoint")
