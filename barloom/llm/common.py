@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,13 +29,19 @@ def free_name(df: DataFrame, label: str) -> str:
     return label
 
 
-def text_runs(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of the batches whose texts hold about `limit` characters (one row at least), with those texts."""
+def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches whose texts hold about `limit` bytes (one row at least)."""
     for batch in batches:
-        texts = [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
-        start = size = 0
-        for k, t in enumerate(texts):
-            size += len(t)
-            if size >= limit or k == len(texts) - 1:
-                yield batch.slice(start, k + 1 - start), texts[start : k + 1]
-                start, size = k + 1, 0
+        size = pc.binary_length(batch.column(batch.schema.get_field_index(column))).fill_null(0).to_numpy(zero_copy_only=False)
+        ends, start = np.cumsum(size, dtype=np.int64), 0
+        while start < len(batch):
+            held = ends[start - 1] if start else 0
+            end = min(int(np.searchsorted(ends, held + limit)) + 1, len(batch))
+            yield batch.slice(start, end - start)
+            start = end
+
+
+def text_runs(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of the batches with their texts; only a slice's texts become Python strings at a time."""
+    for batch in slices(batches, column, limit):
+        yield batch, [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]

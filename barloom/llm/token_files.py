@@ -23,6 +23,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
@@ -32,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, scratch_path
-from .common import id_text, text_runs
+from .common import id_text, slices
 
 #: Fixed values of the zstd formats.
 SKIPPABLE_TABLE, SKIPPABLE_SEEK, SEEKABLE, HAS_CHECKSUM = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -136,7 +137,9 @@ class WordEncoder:
     """The tokenizers library behind a memory of the words it has seen.
 
     For files that drop white space: pieces never reach across it, so a text's
-    ids are those of its words one after the other. Words of letters alone go
+    ids are those of its words one after the other. Words are cut and numbered
+    by Arrow; only new ones become Python strings, and what is known lies in
+    three arrays. Words of letters alone go
     to the library side by side and are told apart by the mark that ends a
     word; everything else goes by itself.
     """
@@ -151,19 +154,23 @@ class WordEncoder:
         self.closing = np.zeros(self.lib.get_vocab_size(with_added_tokens=True) + 1, bool)
         self.closing[[k for t, k in vocab.items() if t.endswith("</w>")]] = True
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        # characters that str.split() takes for white space and the library does not
-        self.odd = re.compile("[\x1c-\x1f]")
-        self.known: dict[str, bytes] = {}
+        self.words, self.ids, self.begins = pa.array([], pa.string()), np.empty(0, "<u4"), np.zeros(1, np.int64)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: set[str]) -> None:
-        known = self.known
+    def learn(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words that are not known."""
         tails = {w: b for w in words if (b := w.rstrip(".,;:!?")) != w and b.isalpha()}
-        ends = {w[len(b) :] for w, b in tails.items()}
-        plain = sorted(w for w in {*tails.values(), *words.difference(tails)}.difference(known) if w.isalpha())
-        rest = sorted({*ends, *words.difference(tails)}.difference(known, plain))
+        bare = pa.array({*tails.values()}, pa.string())
+        made = {
+            b: self.ids[self.begins[k] : self.begins[k + 1]].tobytes()
+            for b, k in zip(bare.to_pylist(), pc.index_in(bare, self.words).to_pylist())
+            if k is not None
+        }
+        todo = [w for w in dict.fromkeys([*words, *tails.values(), *(w[len(b) :] for w, b in tails.items())]) if w not in tails and w not in made]
+        plain = [w for w in todo if w.isalpha()]
+        rest = [w for w in todo if not w.isalpha()]
         for k in range(0, len(plain), 512):
             some = plain[k : k + 512]
             ids = np.frombuffer(self.whole([" ".join(some)])[0], "<u4")
@@ -171,21 +178,49 @@ class WordEncoder:
             if len(ends_at) == len(some) and ends_at[-1] == len(ids):
                 raw = ids.tobytes()
                 cuts = [0, *(ends_at * 4).tolist()]
-                known.update(zip(some, (raw[a:b] for a, b in zip(cuts, cuts[1:]))))
+                made.update(zip(some, (raw[a:b] for a, b in zip(cuts, cuts[1:]))))
             else:  # a letter that lower-cases to more than letters
-                known.update(zip(some, self.whole(some)))
-        known.update(zip(rest, self.whole(rest)))
-        known.update((w, known[b] + known[w[len(b) :]]) for w, b in tails.items())
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        cut = [None if self.odd.search(t) else t.split() for t in texts]
-        new = set().union(*(c for c in cut if c)).difference(self.known)
+                made.update(zip(some, self.whole(some)))
+        made.update(zip(rest, self.whole(rest)))
+        return [made[tails[w]] + made[w[len(tails[w]) :]] if w in tails else made[w] for w in words]
+
+    def keep(self, rows: np.ndarray) -> None:
+        """Forget all words but these."""
+        sizes = np.diff(self.begins)[rows]
+        self.ids = self.ids[_ranges(self.begins[rows], sizes)]
+        self.words, self.begins = self.words.take(pa.array(rows)), np.append(0, np.cumsum(sizes))
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        texts = pa.array(texts, pa.string())
+        if not len(texts):
+            return []
+        # characters that Arrow takes for white space and the library does not
+        odd = pc.match_substring_regex(texts, "[\x1c-\x1f]")
+        cut = pc.utf8_split_whitespace(pc.if_else(odd, "", texts))
+        # the known words come first and keep their numbers, new ones follow; the empty words at white space on the outside have no ids
+        coded = pa.chunked_array([self.words, cut.flatten()]).dictionary_encode().chunks[-1]
+        new = coded.dictionary[len(self.words) :].to_pylist()
         if new:
-            self.learn(new)
-        get = self.known.__getitem__
-        return [self.whole([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
+            made = self.learn(new)
+            self.words = coded.dictionary
+            self.ids = np.append(self.ids, np.frombuffer(b"".join(made), "<u4"))
+            self.begins = np.append(self.begins, self.begins[-1] + np.cumsum([len(b) // 4 for b in made]))
+        rows = coded.indices.to_numpy()
+        sizes = np.diff(self.begins)[rows]
+        raw = self.ids[_ranges(self.begins[rows], sizes)].tobytes()
+        cuts = np.append(0, 4 * np.cumsum(sizes))[cut.offsets.to_numpy()].tolist()
+        if len(self.words) > REMEMBERED:  # words met again stay
+            self.keep(np.flatnonzero(np.bincount(rows) > 1))
+        return [
+            self.whole([texts[k].as_py()])[0] if strange else raw[a:b]
+            for k, (strange, a, b) in enumerate(zip(odd.to_pylist(), cuts, cuts[1:]))
+        ]
+
+
+def _ranges(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(begins - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 _OPEN: dict[str, WordEncoder] = {}
@@ -220,9 +255,9 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: in
         encode = encoder(spec).encode
         path = f"{folder}/shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.zst"
         out, tokens = None, 0
-        for batch, texts in text_runs(batches, "text", 8 << 20):
+        for batch in slices(batches, "text", 8 << 20):
             out = out or ShardWriter(path)
-            for k, ids in zip(batch.column(0).to_pylist(), encode(texts)):
+            for k, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
                 out.add(k, ids + end)
                 tokens += len(ids) // 4 + 1
         if out:

@@ -50,6 +50,26 @@ def test_words_encoder_equals_the_library(libraries):
     assert [np.frombuffer(x, "<u4").tolist() for x in ours.encode(texts)] == [libraries[1].encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_known_words_take_little_memory(libraries, monkeypatch):
+    import tracemalloc
+
+    spec = open(WORD_BPE, encoding="utf-8").read()
+    ours, letters = token_files.WordEncoder(spec), "abcdefghij"
+    words = ["".join(letters[int(c)] for c in f"{k:06d}") + "." * (k % 2) for k in range(100_000)]
+    tracemalloc.start()
+    got = ours.encode([" ".join(words[k : k + 1000]) for k in range(0, len(words), 1000)])
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held - sum(map(len, got)) < 4e6
+    assert got[7] == np.array(libraries[1].encode(" ".join(words[7000:8000]), add_special_tokens=False).ids, "<u4").tobytes()
+    # words that are forgotten and met again
+    monkeypatch.setattr(token_files, "REMEMBERED", 50)
+    ours, texts = token_files.WordEncoder(spec), [prose(k, 60) for k in range(8)] + TEXTS
+    for some in (texts, texts[::-1], texts[:3], [], texts):
+        want = [libraries[1].encode(t, add_special_tokens=False).ids for t in some]
+        assert [np.frombuffer(x, "<u4").tolist() for x in ours.encode(some)] == want
+
+
 def test_token_files(odd, none, libraries):
     manifest = token_files.write(odd, WORD_BPE, end_id=1)
     got = token_files.read(manifest).orderBy("start").collect()
