@@ -86,3 +86,23 @@ def test_likeness_of_columns(spark):
     want = np.mean([got[1][k : k + 4] == got[2][k : k + 4] for k in range(0, 512, 4)])
     row = spark.createDataFrame([(got[1], got[2])], "a string, b string").select(likeness("a", "b").alias("x")).first()
     assert row.x == pytest.approx(want) and 0.4 < want < 0.8
+
+
+def test_only_a_slice_of_a_batch_becomes_strings():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from barloom.llm.common import text_runs
+
+    texts = [None, "", "é" * 9000, *(f"{k:09d}" * 300 for k in range(8000)), "x" * 3_000_000, None]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    want, at, most = [t or "" for t in texts], 0, 0
+    tracemalloc.start()
+    for some, held in text_runs([batch, batch.slice(5, 0)], "text", 1 << 20):
+        assert held == want[at : at + len(some)] and some.column(0)[0].as_py() == at
+        assert len(held) == 1 or sum(map(len, held)) < 5e6
+        at += len(held)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert at == len(texts) and most < 10e6
