@@ -69,9 +69,20 @@ def time_split(df: DataFrame, train: float = 0.7, validation: float = 0.15) -> D
 
 
 def time_folds(df: DataFrame, folds: int = 5) -> DataFrame:
-    """Add `fold` 0..folds by date: fold k is tested on a model of folds 0..k-1."""
-    dates = df.select("date").distinct().withColumn("fold", F.ntile(folds + 1).over(Window.orderBy("date")) - 1)
-    return df.join(dates, "date")
+    """Add `fold` 0..folds by date: fold k is tested on a model of folds 0..k-1.
+
+    The distinct dates (the calendar bounds them) are dealt in order, the first
+    folds taking one more; the fold then follows from a row's own date, so
+    `df` is neither joined nor shuffled. Rows without a date have no fold.
+    """
+    days = [d for (d,) in df.select("date").distinct().orderBy("date").collect()]
+    each, more = divmod(len(days), folds + 1)
+    fold, at = F.lit(None).cast("int"), len(days)
+    for k in reversed(range(min(folds + 1, len(days)))):
+        last, at = days[at - 1], at - each - (k < more)
+        if last is not None:
+            fold = F.when(F.col("date") <= F.lit(last), k).otherwise(fold)
+    return df.withColumn("fold", fold).where("date IS NOT NULL")
 
 
 def _stage(kind: str, params: dict):

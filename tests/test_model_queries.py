@@ -31,3 +31,17 @@ def test_time_split_neither_joins_nor_shuffles_rows(spark):
         want = [int(200 * train), int(200 * (train + validation)) - int(200 * train)]
         assert [got.count("train"), got.count("validation"), got.count("test")] == [*want, 200 - sum(want)]
     assert models.time_split(df.limit(0)).count() == 0
+
+
+def test_time_folds_neither_join_nor_shuffle_rows(spark):
+    for days, folds in ((20, 3), (23, 5), (4, 3), (2, 5), (1, 1)):
+        df = spark.range(days * 7).select(F.date_add(F.lit("2024-01-01"), (F.col("id") % days * 3).cast("int")).alias("date"), "id")
+        df = df.union(spark.createDataFrame([(None, -1)], df.schema)) if days == 23 else df
+        out = models.time_folds(df, folds)
+        assert out.schema["fold"].dataType.simpleString() == "int"
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan and "Window" not in plan
+        # the dates in order, dealt by ntile
+        dates = df.select("date").distinct().withColumn("fold", F.expr(f"ntile({folds + 1}) OVER (ORDER BY date) - 1"))
+        assert sorted(out.select("id", "fold").collect()) == sorted(df.join(dates, "date").select("id", "fold").collect())
+    assert models.time_folds(df.limit(0), 3).count() == 0
