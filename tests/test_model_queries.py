@@ -1,5 +1,7 @@
 """Registered model queries that have no SQL."""
 
+import threading
+
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_mod
@@ -45,3 +47,21 @@ def test_time_folds_neither_join_nor_shuffle_rows(spark):
         dates = df.select("date").distinct().withColumn("fold", F.expr(f"ntile({folds + 1}) OVER (ORDER BY date) - 1"))
         assert sorted(out.select("id", "fold").collect()) == sorted(df.join(dates, "date").select("id", "fold").collect())
     assert models.time_folds(df.limit(0), 3).count() == 0
+
+
+def test_models_are_trained_side_by_side(spark, monkeypatch):
+    both, ends = threading.Barrier(2, timeout=30), []
+
+    def train(df, cols, kind="regression", **params):
+        if kind == "broken":
+            raise ValueError(kind)
+        both.wait()  # for another model's training
+        return (kind, params)
+
+    monkeypatch.setattr(models, "train", train)
+    monkeypatch.setattr(models, "score", lambda m, df, *a, **k: float(df.select("date").distinct().count() + df.agg(F.min("x")).first()[0]))
+    df = spark.range(50).select(F.date_add(F.lit("2024-01-01"), (F.col("id") / 5).cast("int")).alias("date"), F.col("id").alias("x"))
+    assert models.cross_validate(df, ["x"], folds=4, maxIter=3) == models.CrossValidation({"maxIter": 3}, [12.0, 22.0, 32.0, 42.0])
+    out = models.train_many(df, ["x"], {"a": {"maxIter": 1}, "c": {"kind": "broken"}, "b": {"maxIter": 2}})
+    assert list(out) == ["a", "c", "b"] and isinstance(out["c"], ValueError)
+    assert out["a"] == ("regression", {"maxIter": 1}) and out["b"] == ("regression", {"maxIter": 2})
