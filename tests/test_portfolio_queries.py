@@ -15,6 +15,12 @@ def test_optimizers_solve_every_date(spark, sf, name):
     assert want and {str(x)[:10] for x in got} >= want
 
 
+def test_covariances_of_every_date(spark, sf):
+    got = {r.as_of for r in entry_mod.queries()["agg_covar"](spark, sf).select("as_of").distinct().collect()}
+    want = {r.d for r in pq._returns(spark, sf).select(F.col("date").cast("string").alias("d")).distinct().collect()}
+    assert len(want) > 70 and got == want
+
+
 def test_bt_run_optimized_takes_all_signals(spark, sf, monkeypatch):
     seen = {}
 
