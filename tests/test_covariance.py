@@ -57,6 +57,32 @@ def test_blocks_are_counted_from_the_symbols(spark, monkeypatch):
     assert "9" in str(seen[0])  # 40 symbols, 10 blocks
 
 
+def test_rows_are_sent_to_a_bounded_number_of_blocks(spark, monkeypatch):
+    seen = []
+    sequence = F.sequence
+    wide = _wide()
+    monkeypatch.setattr(cv, "BLOCK", 1)
+    want = sorted(map(tuple, cv.pairwise(_tall(spark, wide), blocks=40).select("sym_i", "sym_j", "n").collect()))
+    monkeypatch.setattr(cv.F, "sequence", lambda a, b, *r: seen.append(b) or sequence(a, b, *r))
+    monkeypatch.setattr(cv, "PAIRS_OF_STRIP", 3, raising=False)
+    got = cv.pairwise(_tall(spark, wide))
+    assert "15" in str(seen[0])  # 16 blocks of two or three symbols, not 40
+    assert sorted(map(tuple, got.select("sym_i", "sym_j", "n").collect())) == want and len(want) > 800
+    cov = got.toPandas().set_index(["sym_i", "sym_j"])["cov"]
+    assert np.allclose(cov, [wide.cov().loc[k] for k in cov.index], equal_nan=True)
+
+
+def test_blocks_hold_a_bounded_number_of_returns(spark, monkeypatch):
+    seen = []
+    sequence = F.sequence
+    monkeypatch.setattr(cv, "CELLS", 30)
+    monkeypatch.setattr(cv.F, "sequence", lambda a, b, *r: seen.append(b) or sequence(a, b, *r))
+    rows = cv.series(_tall(spark, _wide()))
+    days = max(len(r.days) for r in rows.collect())
+    cv.framed_pairs(rows, [(None, 0, 2**31 - 1)])
+    assert str(-(-40 * days // 30) - 1) in str(seen[0])
+
+
 def test_windows_multiply_like_the_matrix():
     wide = _wide()
     c, want = op.WindowCovariance(wide.to_numpy().T), _wanted(wide)
