@@ -256,7 +256,7 @@ def ml_tscv(spark, sf):
 @query("ml_grid")
 def ml_grid(spark, sf):
     tr, _, cols = _train_test(spark, sf)
-    runs = ml.grid_search(tr, cols, {"maxDepth": [3, 6], "maxIter": [20]})
+    runs = ml.grid_search(tr, cols, {"maxDepth": [3, 6], "maxIter": [ml.DEFAULTS["maxIter"]]})
     return spark.createDataFrame([(i + 1, r.params["maxDepth"], r.params["maxIter"], r.mean) for i, r in enumerate(runs)],
                                  "rank int, max_depth int, max_iter int, score double")
 

@@ -23,6 +23,16 @@ def test_ml_batch_trains_full_models(spark, sf, monkeypatch):
     assert trees == [models.DEFAULTS["maxIter"]] * 2 and {s.getMaxDepth() for s in trained} == {models.DEFAULTS["maxDepth"]}
 
 
+def test_ml_grid_scores_full_models(spark, sf, monkeypatch):
+    trained = []
+    monkeypatch.setattr(models, "train", lambda df, cols, kind="regression", **p: trained.append({**models.DEFAULTS, **p}))
+    monkeypatch.setattr(models, "score", lambda m, df, *a, **k: 1.0)
+    got = entry_mod.queries()["ml_grid"](spark, sf).collect()
+    full = models.DEFAULTS["maxIter"]
+    assert [(r.max_depth, r.max_iter) for r in got] == [(3, full), (6, full)]
+    assert sorted((p["maxDepth"], p["maxIter"]) for p in trained) == [(3, full)] * 3 + [(6, full)] * 3
+
+
 def test_time_split_neither_joins_nor_shuffles_rows(spark):
     df = spark.range(200).select(F.format_string("s%02d", F.col("id") % 20).alias("symbol"), F.date_add(F.lit("2024-01-01"), (F.col("id") / 20).cast("int")).alias("date"))
     for train, validation in ((0.7, 0.15), (0.333, 0.333), (0.5, 0.5), (1.0, 0.0)):
