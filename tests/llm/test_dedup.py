@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 from collections import Counter
 from itertools import combinations
 
@@ -8,6 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from barloom import session
 from barloom.llm import components, exact_dedup, simhash, similar, suffix_dedup
 
 from .conftest import odd_rows, prose
@@ -237,6 +239,54 @@ def test_similar_groups_miss_no_link(spark, monkeypatch, homes):
     assert len(set(got)) < len(texts) - 40
 
 
+def test_whole_sets_are_sent_for_likely_pairs_only(spark, monkeypatch):
+    stored = {}
+
+    def note(df, label="stage"):
+        stored[label] = kept(df, label)
+        return stored[label]
+
+    kept = similar.cut_lineage
+    monkeypatch.setattr(similar, "cut_lineage", note)
+    rng = np.random.default_rng(9)
+    texts = ["a b c d e f g h", "a b c d e f g h i", "", "one"]
+    for size in (6, 12, 80, 400):
+        for _ in range(4):
+            base = [f"w{k}" for k in rng.integers(0, 5000, size)]
+            texts += [" ".join(edited(rng, base, share)) for share in (0, 0.01, 0.02, 0.03)]
+    sets = [shingle_set(t) for t in texts]
+    every = list(combinations(range(len(texts)), 2))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = similar.links(df, spark.createDataFrame(every, "u long, v long"), 5, 0.8)
+    want = [(i, j) for i, j in every if similarity(sets[i], sets[j]) >= 0.8]
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 20
+    likely = {tuple(r) for r in stored["likely"].collect()}
+    assert set(want) <= likely
+    assert not any(similarity(sets[i], sets[j]) < 0.1 for i, j in likely if min(len(sets[i]), len(sets[j])) > 50)
+
+
+def test_written_tables_leave_no_shuffle_files(spark, tmp_path):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = disk.getAllFiles()
+        return {name for k in range(found.size()) if (name := found.apply(k).getName()).startswith("shuffle_")}
+
+    before = spark.conf.get(session.CLEANUP_CONF, None)
+    there = files()
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    df.write.parquet(str(tmp_path / "kept"))
+    left = files() - there
+    with session.without_old_shuffles(spark):
+        df.write.parquet(str(tmp_path / "dropped"))
+    deadline = time.time() + 20
+    while (more := files() - there - left) and time.time() < deadline:
+        time.sleep(0.2)
+    assert left and not more
+    assert spark.conf.get(session.CLEANUP_CONF, None) == before
+    assert sorted(spark.read.parquet(str(tmp_path / "dropped")).collect()) == sorted(df.collect())
+
+
 def test_prefixes_of_similar_sets_meet():
     rng = np.random.default_rng(6)
     common = np.unique(rng.integers(0, 1000, 300))
