@@ -239,6 +239,27 @@ def test_similar_groups_miss_no_link(spark, monkeypatch, homes):
     assert len(set(got)) < len(texts) - 40
 
 
+@pytest.mark.parametrize("order", ["none", "reversed", "other shingles", "sampled"])
+def test_similar_groups_do_not_depend_on_the_order_of_shingles(spark, monkeypatch, order):
+    """Whichever shingles are known as common, none, wrong ones or those of few texts: the links are those of brute force."""
+    rng = np.random.default_rng(8)
+    line = [f"c{k}" for k in range(60)]
+    texts = [" ".join(line + [f"v{j}x{k}" for k in range(rng.integers(5, 40))]) for j in range(30)]
+    for _ in range(10):
+        base = [f"w{k}" for k in rng.integers(0, 3000, 60)]
+        texts += [" ".join(edited(rng, base, share)) for share in (0, 0.02, 0.04)]
+    counted = similar.common_shingles
+    monkeypatch.setattr(similar, "MEETINGS", 0.01)
+    if order == "sampled":
+        monkeypatch.setattr(similar, "COUNTED", 10)
+    else:
+        change = {"none": lambda x: x[:0], "reversed": lambda x: x[::-1].copy(), "other shingles": lambda x: similar.shingles(texts[-1], 5).view(np.int64)}[order]
+        monkeypatch.setattr(similar, "common_shingles", lambda *a: change(counted(*a)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.component_id for r in similar.similar_groups(df).sort("doc_id").collect()]
+    assert got == brute_similar(texts) and len(set(got)) < len(texts)
+
+
 def test_whole_sets_are_sent_for_likely_pairs_only(spark, monkeypatch):
     stored = {}
 
